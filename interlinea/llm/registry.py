@@ -3,13 +3,23 @@
 from __future__ import annotations
 
 from .chat import OP2_SQL, op2_format_chats
+from .licenses import op5_license_scan
+from .media import op10_media_columns
 from .mixture import OP9_SQL, op9_mix_sources
+from .pieces import op3_sentencepiece
 from .quality import op8_quality_rules
+from .shards import OP7_SQL, op7_shards
+from .simhash import op1_simhash_near_dedup
 
 QUERIES = {
+    "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_format_chats": op2_format_chats,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op5_license_scan": op5_license_scan,
+    "op7_shards": op7_shards,
     "op8_quality_rules": op8_quality_rules,
     "op9_mix_sources": op9_mix_sources,
+    "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL = {"op2_format_chats": OP2_SQL, "op9_mix_sources": OP9_SQL}
+ORACLE_SQL = {"op2_format_chats": OP2_SQL, "op7_shards": OP7_SQL, "op9_mix_sources": OP9_SQL}
