@@ -1,12 +1,17 @@
-"""Stages of the corpus pipeline; each is written as Parquet and read again before the next."""
+"""Stages of the corpus pipeline; each is written as Parquet and read again before the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last
+return the columns of documents. Nulls, empty texts, ties, repeated rows and empty tables are
+defined by the operators that the stages call.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import mixture, quality
-from .common import stored, table
+from . import mixture, pieces, quality, simhash, suffix_array
+from .common import fresh, stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,12 +20,39 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return judged.where(F.col(name)["kept"]).select(*docs.columns)
 
 
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: that with the least id; of rows that share it, the one with the least text."""
+    near = simhash.near_duplicates(docs)
+    chosen = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("chosen")).distinct()
+    no = fresh(docs, "row_no")
+    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
+    return kept.withColumn(no, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(no) == 1).select(*docs.columns)
+
+
+def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without passages that an earlier place has too; n_chars follows the text."""
+    out = suffix_array.dedup(docs)
+    chars = F.when(F.col("text").isNotNull(), F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return out.withColumn("n_chars", chars).select(*docs.columns)
+
+
 def mixture_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed corpus: each copy that is taken, in training order."""
     return mixture.mix(docs)
 
 
-STAGES = [("quality_rules", quality_stage), ("mix_sources", mixture_stage)]
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document of the mix."""
+    return pieces.encode(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("simhash_near_dedup", simhash_stage),
+    ("suffix_array_dedup", suffix_array_stage),
+    ("mix_sources", mixture_stage),
+    ("sentencepiece", pieces_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

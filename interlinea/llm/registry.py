@@ -10,16 +10,26 @@ from .pieces import op3_sentencepiece
 from .quality import op8_quality_rules
 from .shards import OP7_SQL, op7_shards
 from .simhash import op1_simhash_near_dedup
+from .suffix_array import OP6_SQL, op6_suffix_array_dedup
+from .suffix_trees import OP4_SQL, op4_substring_dedup
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_format_chats": op2_format_chats,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_license_scan": op5_license_scan,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_shards": op7_shards,
     "op8_quality_rules": op8_quality_rules,
     "op9_mix_sources": op9_mix_sources,
     "op10_media_columns": op10_media_columns,
 }
 
-ORACLE_SQL = {"op2_format_chats": OP2_SQL, "op7_shards": OP7_SQL, "op9_mix_sources": OP9_SQL}
+ORACLE_SQL = {
+    "op2_format_chats": OP2_SQL,
+    "op4_substring_dedup": OP4_SQL,
+    "op6_suffix_array_dedup": OP6_SQL,
+    "op7_shards": OP7_SQL,
+    "op9_mix_sources": OP9_SQL,
+}
