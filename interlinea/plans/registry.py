@@ -2,6 +2,101 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "igt_examples"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import lexical
+from ..operators import features, grouping, recognise, words
+from . import oracle, synthetic
+
+FLAGSHIP = "igt_morph_report"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features.line_features(synthetic.igt_lines(table(spark, sf_dir, "documents")), synthetic.PARAMS)
+
+
+def igt_line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _features(spark, sf_dir).select(*oracle.FEATURE_COLUMNS.split(", "))
+
+
+def template_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognise.template_table(spark).select("rank", "n_lines", "template")
+
+
+def _labels(f: DataFrame) -> DataFrame:
+    return recognise.label_examples(f)
+
+
+def igt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _labels(_features(spark, sf_dir)).select("doc_id", "x_line", "line_id", "fn", "code", "pass")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = _features(spark, sf_dir)
+    return grouping.example_lines(grouping.group_lines(_labels(f)), f)
+
+
+def igt_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("doc_id", "x_line", "line_id", "fn", "xgg_no", "xfg_no", "x_number", "x_sub_number", "text")
+
+
+def igt_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = grouping.examples(_lines(spark, sf_dir))
+    return x.select("doc_id", "x_line", "x_number", "x_sub_number", F.size("xfgs").cast("long").alias("n_xfg"), F.to_json("xfgs").alias("xfgs"))
+
+
+def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.split_words(_lines(spark, sf_dir))
+
+
+def igt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir).select("doc_id", "x_line", "xgg_no", "line_id", "fn", "line_no", "word_no", "word")
+
+
+def igt_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.alignment(_words(spark, sf_dir))
+
+
+def igt_word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.word_pairs(_words(spark, sf_dir)).drop("morph_misalignment")
+
+
+def _morphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.morphemes(words.word_pairs(_words(spark, sf_dir)))
+
+
+def igt_morphemes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _morphemes(spark, sf_dir)
+
+
+def igt_morph_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.morph_report(_morphemes(spark, sf_dir))
+
+
+def igt_gloss_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.gloss_report(_morphemes(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (igt_line_features, template_grid, igt_labels, igt_groups, igt_examples, igt_words, igt_alignment, igt_word_pairs, igt_morphemes, igt_morph_report, igt_gloss_report)
+}
+
+_W = "WITH RECURSIVE "
+ORACLE_SQL = {
+    "igt_line_features": f"{_W}{oracle.FEATURES} SELECT {oracle.FEATURE_COLUMNS} FROM features",
+    "template_grid": f"WITH {oracle.GRID} SELECT CAST(rank AS INTEGER) AS rank, CAST(n_lines AS INTEGER) AS n_lines, template FROM templates",
+    "igt_labels": f"{_W}{oracle.LABELS} SELECT doc_id, x_line, line_id, fn, code, pass FROM labels",
+    "igt_groups": f"{_W}{oracle.GROUPS} SELECT doc_id, x_line, line_id, fn, xgg_no, xfg_no, x_number, x_sub_number, text FROM example_lines",
+    "igt_words": f"{_W}{oracle.WORDS} SELECT doc_id, x_line, xgg_no, line_id, fn, line_no, word_no, word FROM words",
+    "igt_alignment": f"{_W}{oracle.ALIGNED} SELECT * FROM aligned",
+    "igt_word_pairs": f"{_W}{oracle.PAIRS} SELECT * FROM pairs",
+    "igt_morphemes": f"{_W}{oracle.MORPHEMES} SELECT * FROM morphemes",
+    "igt_morph_report": f"{_W}{oracle.MORPHEMES} SELECT morph, gloss, prev_morph, prev_gloss, next_morph, next_gloss, ex_number FROM morphemes",
+    "igt_gloss_report": f"{_W}{oracle.MORPHEMES} SELECT gloss, morph, prev_gloss, prev_morph, next_gloss, next_morph, ex_number FROM morphemes",
+}
