@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from ..functions import lexical as L
+from ..operators import annotate
 from ..operators import features as f
+from ..operators import sentences as S
 from ..operators.recognise import NAMES, template_grid
+from ..sources import html as H
 from .synthetic import EX_NUMBER, LINES_SQL
 
 
@@ -152,3 +155,113 @@ morphemes AS (
   SELECT *, '/' || lag(morph, 1, '#') OVER w || '__' AS prev_morph, '/__' || lead(morph, 1, '#') OVER w AS next_morph,
          '/' || lag(gloss, 1, '#') OVER w || '__' AS prev_gloss, '/__' || lead(gloss, 1, '#') OVER w AS next_gloss
   FROM parts WINDOW w AS (PARTITION BY doc_id, x_line, xgg_no, word_number ORDER BY morph_no))"""
+
+
+MULTIWORD = "regexp_extract(word, '[a-z]+$') <> '' AND regexp_extract(next_word, '^[a-z]+') <> '' AND regexp_extract(word, '[a-z]+$') || '_' || regexp_extract(next_word, '^[a-z]+') IN ('the_the', 'of_the', 'and_the', 'in_the', 'to_the', 'la_la', 'de_la', 'die_der')"
+PERSON = "regexp_matches(word, '[123]$')"
+
+
+def repaired(glue: str, hit: str) -> str:
+    return f"""{ALIGNED},
+long_words AS (SELECT w.*, a.long_gloss AND w.fn = 'xg' AS is_long, lead(w.word) OVER v AS next_word
+  FROM words w JOIN aligned a USING (doc_id, x_line, xgg_no) WINDOW v AS (PARTITION BY w.doc_id, w.x_line, w.xgg_no, w.line_id ORDER BY w.word_no)),
+hits AS (SELECT *, coalesce(is_long AND {hit}, false) AS hit FROM long_words),
+tied AS (SELECT *, coalesce(lag(hit) OVER (PARTITION BY doc_id, x_line, xgg_no, line_id ORDER BY word_no), false) AS tied FROM hits),
+islands AS (SELECT *, CAST(sum(CASE WHEN tied THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, x_line, xgg_no, line_id ORDER BY word_no) AS INTEGER) AS island FROM tied)
+SELECT doc_id, x_line, xgg_no, line_id, fn, island AS word_no, string_agg(word, {q(glue)} ORDER BY word_no) AS word FROM islands GROUP BY doc_id, x_line, xgg_no, line_id, fn, island"""
+
+
+def report(source: str) -> str:
+    return f"""
+r0 AS (SELECT *, CAST(nullif(regexp_extract(x_number, '([0-9]+)$', 1), '') AS INTEGER) AS ex_order, nullif(x_sub_number, '') AS sub FROM {source} WHERE x_number IS NOT NULL OR nullif(x_sub_number, '') IS NOT NULL),
+r1 AS (SELECT *, CASE WHEN sub IS NULL THEN 0 WHEN regexp_matches(sub, '^[0-9]+$') THEN CAST(sub AS INTEGER) WHEN regexp_matches(lower(sub), '^[a-z]$') THEN ascii(lower(sub)) - 96 END AS subex_order FROM r0),
+r2 AS (SELECT *, ex_order - lag(ex_order, 1, 0) OVER w AS diff, subex_order - lag(subex_order, 1, 0) OVER w AS subdiff FROM r1 WINDOW w AS (PARTITION BY doc_id ORDER BY id))
+SELECT doc_id, '#' || id AS id, x_number || coalesce('-' || sub, '') AS full_ex_number,
+       'text' || CASE WHEN coalesce((diff = 0 AND subdiff <> 1) OR (diff = 1 AND subex_order > 1) OR diff > 1, true) THEN ' **' ELSE '   ' END AS kind FROM r2"""
+
+
+def abbreviations(pattern: str) -> str:
+    one = f"regexp_replace(text, {q(annotate.EDGE_LEFT + pattern + '(' + annotate.EDGE_RIGHT + '|[ ' + chr(92) + 'x{A0}])')}, '\\1⟦\\2⟧\\3', 'g')"
+    return f"regexp_replace({one}, {q('(' + annotate.EDGE_LEFT + '|[ ' + chr(92) + 'x{A0}])' + pattern + annotate.EDGE_RIGHT)}, '\\1⟦\\3⟧\\4', 'g')"
+
+
+def _decoded(col: str) -> str:
+    for entity, to in H.ENTITIES:
+        col = f"replace({col}, {q(entity)}, {q(to)})" if to != "\n" else f"replace({col}, {q(entity)}, chr(10))"
+    return col
+
+
+TOKENS_CTE = f"""
+cut AS (SELECT page_id AS doc_id, regexp_extract_all(regexp_replace(coalesce(html, ''), {q(H.OPAQUE)}, '', 'g'), {q(H.TOKEN)}) AS toks FROM pages),
+tok AS (SELECT doc_id, CAST(unnest(range(1, len(toks) + 1)) AS INTEGER) AS ord, unnest(toks) AS tok FROM cut),
+named AS (SELECT *, CASE WHEN tok LIKE '<%' THEN lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) ELSE '' END AS name FROM tok),
+kinds AS (SELECT *, CASE WHEN tok NOT LIKE '<%' THEN 'text' WHEN tok LIKE '</%' THEN 'close' WHEN name IN ('meta', 'link', 'br', 'img', 'hr', 'input') OR tok LIKE '%/>' THEN 'empty' ELSE 'open' END AS kind FROM named),
+tokens AS (SELECT *, CASE WHEN kind = 'text' THEN {_decoded('tok')} END AS text FROM kinds)"""
+
+
+def depth(names: list[str]) -> str:
+    among = ", ".join(map(q, names))
+    return f"sum(CASE WHEN name IN ({among}) AND kind = 'open' THEN 1 WHEN name IN ({among}) AND kind = 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord)"
+
+
+_PARA = ["p", "h1", "h2", "h3", "h4", "h5", "h6", "h7", "h8", "h9", "li"]
+_IN_PARA = ", ".join(map(q, _PARA))
+PAGE_LINES = f"""
+starts AS (SELECT *, kind = 'open' AND name IN ({_IN_PARA}) AS starts FROM tokens),
+placed AS (SELECT *, CAST(sum(CAST(starts AS INTEGER)) OVER w AS INTEGER) AS para_id, sum(CAST(starts OR name = 'br' AS INTEGER)) OVER w AS line_no,
+                  {depth(_PARA)} AS in_para, {depth(['table'])} AS in_table, last_value(CASE WHEN starts THEN name LIKE 'h_' END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) AS header
+           FROM starts WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
+joined AS (SELECT doc_id, line_no, min(para_id) AS para_id, arg_min(header, ord) AS header, string_agg(text, '' ORDER BY ord) AS text
+           FROM placed WHERE kind = 'text' AND in_para > 0 AND in_table <= 0 GROUP BY doc_id, line_no),
+trimmed AS (SELECT doc_id, line_no, para_id, header, regexp_replace(regexp_replace(text, '[ \\t]*\\n[ \\t]*', ' ', 'g'), {q(f'^{L.WS}+|{L.WS}+$')}, '', 'g') AS text FROM joined)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INTEGER) AS line_id, para_id, header, text FROM trimmed WHERE text <> ''"""
+
+TEXT_LINES = "text_split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), text_lines AS (SELECT doc_id, CAST(unnest(range(1, len(ls) + 1)) AS INTEGER) AS line_id, unnest(ls) AS text FROM text_split)"
+
+
+def lexicon(least: int) -> str:
+    return f"lexicon AS (SELECT word FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[a-z]+'))) AS word FROM documents WHERE lang = 'en') GROUP BY word HAVING count(*) >= {least})"
+
+
+ENGLISH_COUNTS = f"""
+s AS (SELECT doc_id, line_id, string_split_regex({simplified('text')} || ' ', {q(L.WS + '+')}) AS t FROM text_lines),
+e AS (SELECT doc_id, line_id, CAST(len(t) - 1 AS INTEGER) AS word_count, unnest(list_distinct(t)) AS w FROM s),
+c AS (SELECT e.doc_id, e.line_id, e.word_count, CAST(count(l.word) AS INTEGER) AS english_count FROM e LEFT JOIN lexicon l ON e.w = l.word AND l.word <> '' GROUP BY ALL)
+SELECT doc_id, line_id, word_count, english_count, {PROPORTION} AS proportion, {WEIGHT} AS weight FROM c"""
+
+
+def sentences(keys: str) -> str:
+    marked = f"regexp_replace(regexp_replace(text, {q(S.BOUNDARY)}, '\\1' || chr(1) || '\\2', 'g'), {q(S.AT_END)}, '\\1' || chr(1), 'g')"
+    return f"""
+cut_s AS (SELECT {keys}, list_filter(string_split(replace({marked}, '¬ ', ''), chr(1)), lambda s: trim(s) <> '') AS ss FROM paras),
+sentences AS (SELECT {keys}, CAST(unnest(range(1, len(ss) + 1)) AS INTEGER) AS sentence_no, unnest(ss) AS text FROM cut_s)"""
+
+
+OCR = """
+noisy AS (SELECT list_distinct(string_split_regex(translate(text, 'livs', '148$'), '[ \\x{A0}]+')) AS ws FROM text_lines),
+types AS (SELECT old, count(*) AS n FROM (SELECT unnest(ws) AS old FROM noisy) WHERE regexp_matches(old, '[148$]') AND regexp_matches(old, '[a-z]') GROUP BY old)
+SELECT old, translate(old, '148$', 'livs') AS new, n FROM types WHERE lower(translate(old, '148$', 'livs')) IN (SELECT word FROM lexicon)"""
+
+SUFFIXES = """
+SELECT word, regexp_replace(regexp_replace(regexp_replace(regexp_replace(word, '([sxz])$', '\\1es'), '([sc]h)$', '\\1es'), 'y$', 'ies'), '([^s])$', '\\1s') AS s,
+       CASE WHEN word LIKE '%e' THEN word || 'd' WHEN word LIKE '%y' THEN regexp_replace(word, 'y$', 'ied') ELSE word || 'ed' END AS ed,
+       regexp_replace(word, 'e$', '') || 'ing' AS ing FROM lexicon"""
+
+RUN_LENGTHS = """
+WITH n AS (SELECT event_id, user_id, event_type <> 'click' AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS j FROM events)
+SELECT event_id, user_id,
+       CAST(CASE WHEN f THEN i - coalesce(max(CASE WHEN NOT f THEN i END) OVER (PARTITION BY user_id ORDER BY i), 0) ELSE 0 END AS INTEGER) AS since,
+       CAST(CASE WHEN f THEN j - coalesce(max(CASE WHEN NOT f THEN j END) OVER (PARTITION BY user_id ORDER BY j), 0) ELSE 0 END AS INTEGER) AS until FROM n"""
+
+
+def param_lines(lines: list[str]) -> str:
+    listed = ", ".join("replace(" + q(x.replace("\t", "<tab>")) + ", '<tab>', chr(9))" for x in lines)
+    return f"WITH lines AS (SELECT n_name AS doc_id, n_nationkey AS n, unnest([{listed}, 'ex_head_number_regex:' || chr(9) || '[' || n_nationkey || '-9]+']) AS text FROM nation)"
+
+
+TAXONOMY = """
+WITH t AS (
+  SELECT 0 AS line_id, 0 AS depth, 'World' AS label UNION ALL SELECT r_regionkey * 1000 + 1, 1, r_name FROM region
+  UNION ALL SELECT n_regionkey * 1000 + n_nationkey + 2, 2, n_name FROM nation),
+n AS (SELECT *, CAST(row_number() OVER (ORDER BY line_id) AS INTEGER) AS id FROM t)
+SELECT 1 AS doc_id, id, CAST(coalesce((SELECT max(p.id) FROM n p WHERE p.id < n.id AND p.depth = n.depth - 1), 0) AS INTEGER) AS parent_id, CAST(depth AS INTEGER) AS depth, 'geo::' || label AS label, false AS skips FROM n"""

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexical
-from ..operators import features, grouping, recognise, words
+from ..operators import annotate, features, grouping, layout, recognise, reports, sentences, words
+from ..sources import html, params
 from . import oracle, synthetic
 
 FLAGSHIP = "igt_morph_report"
@@ -82,10 +83,196 @@ def igt_gloss_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.gloss_report(_morphemes(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- repairs and reports on the synthetic examples
+
+LEXEMES = ["the_the", "of_the", "and_the", "in_the", "to_the", "la_la", "de_la", "die_der"]
+
+
+def igt_multiword_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mwe = spark.createDataFrame([(x,) for x in LEXEMES], "lexeme string")
+    return words.repair_multiword(_words(spark, sf_dir), mwe).select("doc_id", "x_line", "xgg_no", "line_id", "fn", "word_no", "word")
+
+
+def igt_person_number_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words.repair_person_number(_words(spark, sf_dir)).select("doc_id", "x_line", "xgg_no", "line_id", "fn", "word_no", "word")
+
+
+def igt_misaligned_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _words(spark, sf_dir)
+    return reports.misaligned_groups(words.alignment(w), words.word_pairs(w))
+
+
+def igt_example_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _lines(spark, sf_dir).where("line_id = x_line")
+    return reports.example_report(x.select("doc_id", F.col("x_line").alias("id"), "x_number", "x_sub_number", F.lit("text").alias("kind")))
+
+
+def igt_editable_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _words(spark, sf_dir)
+    return reports.editable_examples(w, reports.misaligned_groups(words.alignment(w), words.word_pairs(w)))
+
+
+def igt_augmented_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.augmented_html(_lines(spark, sf_dir))
+
+
+def igt_abbreviation_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = annotate.tag_abbreviations(F.col("text"), annotate.abbreviation_pattern(ABBREVIATIONS))
+    lines = synthetic.igt_lines(table(spark, sf_dir, "documents")).withColumn("tagged", tagged)
+    return lines.select("doc_id", "line_id", "tagged", annotate.count_abbreviations(F.col("tagged")).alias("n_abbreviation"))
+
+
+ABBREVIATIONS = ["PST", "SG", "PL", "DEM", "NEG", "3", "Q", "3PL"]
+
+
+# ---------------------------------------------------------------- markup of pages
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.tokens(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html"))
+
+
+def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).select("doc_id", "ord", "kind", "name", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def page_tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tokens(spark, sf_dir).where("kind <> 'text'").groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def page_without_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = html.drop_elements(_tokens(spark, sf_dir), ["nav", "footer"])
+    return t.where("kind = 'text'").select("doc_id", "ord", "text")
+
+
+def page_element_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.number_in_order(_tokens(spark, sf_dir), ["p", "tr", "h1"]).where("html_id is not null").select("doc_id", "ord", "name", "html_id")
+
+
+def page_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.lines(_tokens(spark, sf_dir)).select("doc_id", "line_id", "para_id", "header", "text")
+
+
+# ---------------------------------------------------------------- texts of documents
+
+
+def _text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("i", "text"))
+    return d.select("doc_id", (F.col("i") + 1).alias("line_id"), "text")
+
+
+def simplified_english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_lines(spark, sf_dir).select("doc_id", "line_id", lexical.simplify_english(F.col("text")).alias("simple"))
+
+
+def _lexicon(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
+    """Words of lower-case letters that so many English documents hold."""
+    d = table(spark, sf_dir, "documents").where("lang = 'en'")
+    w = d.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([a-z]+)"), F.lit(1)))).alias("word"))
+    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("word")
+
+
+def lexicon_by_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lexicon(spark, sf_dir, 5)
+
+
+def english_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = lexical.count_english_by_join(_text_lines(spark, sf_dir), _lexicon(spark, sf_dir, 20), ["doc_id", "line_id"])
+    words_, english = F.col("word_count"), F.col("english_count")
+    return c.select("doc_id", "line_id", "word_count", "english_count", lexical.proportion_english(words_, english).alias("proportion"), lexical.weight_of_english(words_, english).alias("weight"))
+
+
+def document_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _text_lines(spark, sf_dir).withColumn("para_id", F.lit(1))
+    return sentences.sentences(lines).select("doc_id", "sentence_no", "text")
+
+
+def conversation_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("para_id"), F.lit(1).alias("line_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return sentences.sentences(c)
+
+
+def ocr_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as a scanner may have misread them, from the texts' own words: l, i, v, s become 1, 4, 8, $."""
+    noisy = _text_lines(spark, sf_dir).select(F.translate("text", "livs", "148$").alias("text"))
+    return layout.repair_ocr(noisy, _lexicon(spark, sf_dir, 3))
+
+
+def suffix_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = _lexicon(spark, sf_dir, 3)
+    col = F.col("word")
+    return w.select("word", lexical.suffix_s(col).alias("s"), lexical.suffix_ed(col).alias("ed"), lexical.suffix_ing(col).alias("ing"))
+
+
+def new_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda kind: F.concat(F.lit("g"), F.col("doc_id").cast("string"), F.lit(kind)).alias("doc_id")
+    return params.new_documents(table(spark, sf_dir, "documents").select(name("_body_x")), table(spark, sf_dir, "labels").select(name("_augmented_x")))
+
+
+# ---------------------------------------------------------------- ordered windows
+
+
+def event_run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    flag = F.col("event_type") != "click"
+    return e.select("event_id", "user_id", features.run_length(flag, ["user_id"], ["ts", "event_id"]).alias("since"), features.run_length(flag, ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()]).alias("until"))
+
+
+def event_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("x_number", F.when(F.col("event_type") == "click", F.col("event_id").cast("string")))
+    return recognise.fill_forward(e, "x_number", ["user_id"], ["ts", "event_id"], "??").select("event_id", "x_number")
+
+
+def event_gap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    n = e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("id"), (F.floor(F.col("event_id") / 7) % 50).cast("string").alias("x_number"), F.when(F.col("event_id") % 3 > 0, F.char((F.col("event_id") % 3 + 96).cast("int"))).alias("x_sub_number"), F.lit("text").alias("kind"))
+    return reports.example_report(n)
+
+
+def block_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("place"), F.lit("order").alias("kind"))
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    li = li.groupBy(F.col("o_custkey").alias("doc_id"), F.col("l_orderkey").alias("place")).agg(F.lit("z_items").alias("kind"))
+    return sentences.number_blocks(o, li)
+
+
+# ---------------------------------------------------------------- parameters and taxonomies
+
+_PARAM_LINES = ["defeault_language_glottocodes:\t{abcd1234}", "lacks_numbered_examples:\tFALSE", "ex_number_regex:\t^\\([0-9]+\\)", "expect_parsed_vernacular_lines:\tTRUE", "expect_adjacent_gloss_lines:\tTRUE", "a line that is none"]
+
+
+def _param_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").select(F.col("n_name").alias("doc_id"), "n_nationkey")
+    lines = F.array(*[F.lit(x) for x in _PARAM_LINES], F.concat(F.lit("ex_head_number_regex:\t["), F.col("n_nationkey").cast("string"), F.lit("-9]+")))
+    return n.select("doc_id", F.explode(lines).alias("text"))
+
+
+def params_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return params.parse_params(_param_lines(spark, sf_dir))
+
+
+def params_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return params.params_wide(params.parse_params(_param_lines(spark, sf_dir))).select("doc_id", "ex_number_regex", "ex_head_number_regex", "ex_sub_number_regex", "lacks_numbered_examples", "expect_xv", "expect_xg_xg", "clean_ocr")
+
+
+def geography_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions and their nations as tab-indented text, read back as a tree."""
+    r = table(spark, sf_dir, "region").select((F.col("r_regionkey") * 1000 + 1).cast("long").alias("line_id"), F.concat(F.lit("\t"), "r_name").alias("text"))
+    n = table(spark, sf_dir, "nation").select((F.col("n_regionkey") * 1000 + F.col("n_nationkey") + 2).cast("long").alias("line_id"), F.concat(F.lit("\t\t"), "n_name").alias("text"))
+    top = spark.createDataFrame([(0, "World"), (-1, "# comment")], "line_id long, text string")
+    return html.taxonomy(top.unionByName(r).unionByName(n).withColumn("doc_id", F.lit(1)), "geo")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (igt_line_features, template_grid, igt_labels, igt_groups, igt_examples, igt_words, igt_alignment, igt_word_pairs, igt_morphemes, igt_morph_report, igt_gloss_report)
-}
+    for f in (
+        igt_line_features, template_grid, igt_labels, igt_groups, igt_examples, igt_words, igt_alignment, igt_word_pairs, igt_morphemes,
+        igt_morph_report, igt_gloss_report, igt_multiword_repair, igt_person_number_repair, igt_misaligned_groups, igt_example_report,
+        igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, page_tokens, page_tag_histogram, page_without_navigation, page_element_ids,
+        page_lines, simplified_english, lexicon_by_frequency, english_counts, document_sentences, conversation_sentences, ocr_repairs, suffix_forms,
+        new_documents, event_run_lengths, event_forward_fill, event_gap_flags, block_ids, params_long, params_wide, geography_taxonomy,
+    )
+}
 
 _W = "WITH RECURSIVE "
 ORACLE_SQL = {
@@ -99,4 +286,29 @@ ORACLE_SQL = {
     "igt_morphemes": f"{_W}{oracle.MORPHEMES} SELECT * FROM morphemes",
     "igt_morph_report": f"{_W}{oracle.MORPHEMES} SELECT morph, gloss, prev_morph, prev_gloss, next_morph, next_gloss, ex_number FROM morphemes",
     "igt_gloss_report": f"{_W}{oracle.MORPHEMES} SELECT gloss, morph, prev_gloss, prev_morph, next_gloss, next_morph, ex_number FROM morphemes",
+    "igt_multiword_repair": f"{_W}{oracle.repaired('_', oracle.MULTIWORD)}",
+    "igt_person_number_repair": f"{_W}{oracle.repaired('', oracle.PERSON)}",
+    "igt_misaligned_groups": f"{_W}{oracle.PAIRS} SELECT DISTINCT doc_id, x_line, xgg_no FROM (SELECT doc_id, x_line, xgg_no FROM aligned WHERE word_misalignment UNION ALL SELECT doc_id, x_line, xgg_no FROM pairs WHERE xv_junctures <> xg_junctures)",
+    "igt_example_report": f"{_W}{oracle.GROUPS}, numbered_x AS (SELECT doc_id, x_line AS id, x_number, x_sub_number FROM example_lines WHERE line_id = x_line), {oracle.report('numbered_x')}",
+    "igt_abbreviation_tags": f"WITH {synthetic.LINES_SQL}, tagged AS (SELECT doc_id, line_id, {oracle.abbreviations(annotate.abbreviation_pattern(ABBREVIATIONS))} AS tagged FROM lines) SELECT *, CAST(length(tagged) - length(replace(tagged, '⟦', '')) AS INTEGER) AS n_abbreviation FROM tagged",
+    "page_tokens": f"WITH {oracle.TOKENS_CTE} SELECT doc_id, ord, kind, name, coalesce(text, '') AS text FROM tokens",
+    "page_tag_histogram": f"WITH {oracle.TOKENS_CTE} SELECT name, kind, count(*) AS n FROM tokens WHERE kind <> 'text' GROUP BY ALL",
+    "page_without_navigation": f"WITH {oracle.TOKENS_CTE}, d AS (SELECT *, {oracle.depth(['nav', 'footer'])} AS inside FROM tokens) SELECT doc_id, ord, text FROM d WHERE kind = 'text' AND inside <= 0",
+    "page_element_ids": f"WITH {oracle.TOKENS_CTE} SELECT doc_id, ord, name, 'seq_' || row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS html_id FROM tokens WHERE kind = 'open' AND name IN ('p', 'tr', 'h1')",
+    "page_lines": f"WITH {oracle.TOKENS_CTE}, {oracle.PAGE_LINES}",
+    "simplified_english": f"WITH {oracle.TEXT_LINES} SELECT doc_id, line_id, {oracle.simplified('text')} AS simple FROM text_lines",
+    "lexicon_by_frequency": f"WITH {oracle.lexicon(5)} SELECT word FROM lexicon",
+    "english_counts": f"WITH {oracle.TEXT_LINES}, {oracle.lexicon(20)}, {oracle.ENGLISH_COUNTS}",
+    "document_sentences": f"WITH paras AS (SELECT doc_id, replace(coalesce(text, ''), chr(10), ' ') || ' ' AS text FROM documents), {oracle.sentences('doc_id')} SELECT doc_id, sentence_no, text FROM sentences",
+    "conversation_sentences": f"WITH paras AS (SELECT conv_id AS doc_id, turn AS para_id, coalesce(text, '') || ' ' AS text FROM conversations), {oracle.sentences('doc_id, para_id')} SELECT doc_id, para_id, sentence_no, text FROM sentences",
+    "ocr_repairs": f"WITH {oracle.TEXT_LINES}, {oracle.lexicon(3)}, {oracle.OCR}",
+    "suffix_forms": f"WITH {oracle.lexicon(3)} {oracle.SUFFIXES}",
+    "new_documents": "SELECT 'g' || doc_id || '_body_x' AS doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
+    "event_run_lengths": oracle.RUN_LENGTHS,
+    "event_forward_fill": "SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'click' THEN CAST(event_id AS VARCHAR) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), '??') AS x_number FROM events",
+    "event_gap_flags": f"WITH n AS (SELECT user_id AS doc_id, event_id AS id, CAST((event_id // 7) % 50 AS VARCHAR) AS x_number, CASE WHEN event_id % 3 > 0 THEN chr(CAST(event_id % 3 + 96 AS INTEGER)) END AS x_sub_number FROM events), {oracle.report('n')}",
+    "block_ids": "WITH b AS (SELECT o_custkey AS doc_id, o_orderkey AS place, 'order' AS kind FROM orders UNION ALL SELECT o_custkey, l_orderkey, 'z_items' FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, kind) AS INTEGER) AS id FROM b",
+    "params_long": f"{oracle.param_lines(_PARAM_LINES)} SELECT doc_id, string_split(text, ':' || chr(9))[1] AS param, substr(text, strpos(text, ':' || chr(9)) + 2) AS value FROM lines WHERE contains(text, ':' || chr(9))",
+    "params_wide": f"{oracle.param_lines(_PARAM_LINES)} SELECT DISTINCT doc_id, '^\\([0-9]+\\)' AS ex_number_regex, '[' || n || '-9]+' AS ex_head_number_regex, '' AS ex_sub_number_regex, false AS lacks_numbered_examples, true AS expect_xv, true AS expect_xg_xg, false AS clean_ocr FROM lines",
+    "geography_taxonomy": oracle.TAXONOMY,
 }
