@@ -29,14 +29,12 @@ def group_lines(labels: DataFrame) -> DataFrame:
     return d.withColumns({"xgg_no": F.when(in_gloss & (F.col("xgg_no") > 0), F.col("xgg_no")), "xfg_no": F.when((F.col("fn") != "xh") & (F.col("xfg_no") > 0), F.col("xfg_no"))}).drop("starts_xgg", "before")
 
 
-def example_lines(grouped: DataFrame, features: DataFrame) -> DataFrame:
-    """Labelled, grouped lines with their texts and example numbers; the number is cut off the first line."""
-    f = features.select(F.col("doc_id").alias("f_doc"), F.col("line_id").alias("f_line"), "text", "ex_number_text", "ex_number_head", "ex_number_sub")
-    d = grouped.join(f, F.col("doc_id").eqNullSafe(F.col("f_doc")) & (F.col("line_id") == F.col("f_line"))).drop("f_doc", "f_line")
+def example_lines(grouped: DataFrame) -> DataFrame:
+    """Grouped lines with their examples' numbers; the number is cut off the first line."""
     first = F.col("line_id") == F.col("x_line")
     cut = F.regexp_replace(F.substring(F.col("text"), F.length("ex_number_text") + 1, F.length("text")), f"^{WS}+", "")
     named = Window.partitionBy("doc_id", "x_line")
-    return d.withColumns(
+    return grouped.withColumns(
         {
             "x_number": F.max(F.when(first, F.col("ex_number_head"))).over(named),
             "x_sub_number": F.max(F.when(first, F.col("ex_number_sub"))).over(named),

@@ -39,23 +39,28 @@ def template_table(spark, **expectations: bool) -> DataFrame:
 
 
 def _literal(grid: list[list[int]]) -> Column:
-    text = ";".join(",".join(map(str, t)) for t in grid)
-    return F.transform(F.split(F.lit(text), ";"), lambda t: F.split(t, ",").cast("array<int>"))
+    """The grid as one expression of constants, which is folded to a literal."""
+    return F.expr("array(" + ", ".join("array(" + ", ".join(map(str, t)) + ")" for t in grid) + ")")
 
 
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: What of a line goes along with its masks.
+CARRIED = ["text", "ex_number_text", "ex_number_head", "ex_number_sub"]
+
+
 def spans(features: DataFrame) -> DataFrame:
-    """(doc_id, x_line, span): the lines of each example's span in order, as structs (line_id, disq, affirm)."""
+    """(doc_id, x_line, span): the lines of each example's span in order, as structs (line_id, disq, affirm, ...)."""
     w = Window.partitionBy("doc_id").orderBy("line_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = features.select("doc_id", "line_id", "disq", "affirm", "has_ex_number", "is_end_body")
+    carried = [c for c in CARRIED if c in features.columns]
+    d = features.select("doc_id", "line_id", "disq", "affirm", "has_ex_number", "is_end_body", *carried)
     d = d.withColumn("x_line", F.max(F.when(F.col("has_ex_number"), F.col("line_id"))).over(w)).where(F.col("x_line").isNotNull())
     inside = Window.partitionBy("doc_id", "x_line").orderBy("line_id").rowsBetween(Window.unboundedPreceding, -1)
     ended = F.coalesce(F.max(F.col("is_end_body") & (F.col("line_id") > F.col("x_line"))).over(inside), F.lit(False))
     d = d.withColumn("ended", ended).where(~F.col("ended"))
-    return d.groupBy("doc_id", "x_line").agg(F.sort_array(F.collect_list(F.struct("line_id", "disq", "affirm"))).alias("span"))
+    return d.groupBy("doc_id", "x_line").agg(F.sort_array(F.collect_list(F.struct("line_id", "disq", "affirm", *carried))).alias("span"))
 
 
 def first_template(span: Column, templates: Column) -> Column:
@@ -80,12 +85,13 @@ def _follow(span: Column, at: Column, core: Column) -> Column:
 
 
 def label_examples(features: DataFrame, **expectations: bool) -> DataFrame:
-    """line_labels(doc_id, line_id, x_line, fn, code, pass): pass 1 is the template, 2 and more its follow-on groups."""
+    """line_labels(doc_id, line_id, x_line, fn, code, pass) and the carried columns: pass 1 is the template, 2 and more its follow-on groups."""
     grid = _literal(template_grid(**expectations))
-    found = spans(features).withColumn("template", first_template(F.col("span"), grid)).where(F.col("template").isNotNull())
+    # Exploding arrays of one value computes each expression once, where a filter would have it computed twice.
+    once = F.explode(F.filter(F.array(first_template(F.col("span"), grid)), lambda t: t.isNotNull()))
+    found = spans(features).select("doc_id", "x_line", "span", once.alias("template"))
     # A follow-on group is as long as the core and one line at least, which bounds the number of steps.
-    core = F.filter("template", lambda c: ~c.isin(XH, XFTN, XFTF))
-    found = found.withColumn("core", core)
+    found = found.withColumn("core", F.filter("template", lambda c: ~c.isin(XH, XFTN, XFTF)))
     label = lambda codes, k: F.transform(codes, lambda c: F.struct(c.alias("code"), k.cast("int").alias("pass")))
     start = F.struct(label(F.col("template"), F.lit(1)).alias("labels"), F.lit(False).alias("done"))
 
@@ -97,11 +103,13 @@ def label_examples(features: DataFrame, **expectations: bool) -> DataFrame:
 
     most = F.floor((F.size("span") - F.size("template")) / (F.size("core") + 1)).cast("int")
     steps = F.when(most > 0, F.sequence(F.lit(2), most + 1)).otherwise(F.array().cast("array<int>"))
-    found = found.withColumn("labels", F.aggregate(steps, start, step, lambda s: s["labels"]))
-    each = found.select("doc_id", "x_line", "span", F.posexplode("labels").alias("i", "l"))
-    code = F.col("l.code")
+    labels = F.aggregate(steps, start, step, lambda s: s["labels"])
+    each = found.select("doc_id", "x_line", "span", F.posexplode(labels).alias("i", "l"))
+    each = each.select("doc_id", "x_line", F.get("span", F.col("i")).alias("line"), F.col("l.code").cast("int").alias("code"), F.col("l.pass").alias("pass"))
+    code = F.col("code")
     fn = F.when(code == XH, "xh").when(code == XV, "xv").when(code == XU, "xu").when(code == XG, "xg").otherwise("xf")
-    return each.select("doc_id", F.get("span", F.col("i"))["line_id"].alias("line_id"), "x_line", fn.alias("fn"), code.cast("int").alias("code"), F.col("l.pass").alias("pass"))
+    carried = [f"line.{c}" for c in CARRIED if c in features.columns]
+    return each.select("doc_id", "line.line_id", "x_line", fn.alias("fn"), "code", "pass", *carried)
 
 
 def number_table_rows(cells: DataFrame, pattern: Column, head: Column, sub: Column) -> DataFrame:

@@ -38,8 +38,7 @@ def igt_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _features(spark, sf_dir)
-    return grouping.example_lines(grouping.group_lines(_labels(f)), f)
+    return grouping.example_lines(grouping.group_lines(_labels(_features(spark, sf_dir))))
 
 
 def igt_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
