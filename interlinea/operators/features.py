@@ -75,7 +75,8 @@ def line_features(lines: DataFrame, params: DataFrame | dict | None = None, lexi
     """One row a line with its features and the masks affirm and disq.
 
     params: a dict, or a table (doc_id, regex columns) that is joined by document."""
-    d = lines
+    # Documents are dealt out before the features are computed: lines are narrow, and the windows keep this partitioning.
+    d = lines.repartition("doc_id")
     names = list(DEFAULTS)
     if isinstance(params, DataFrame):
         p = params.select(F.col("doc_id").alias("p_doc"), *[F.col(n).alias(f"p_{n}") for n in names])
