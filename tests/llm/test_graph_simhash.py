@@ -1,0 +1,99 @@
+import random
+
+import pytest
+import xxhash
+
+from interlinea.llm import simhash
+from interlinea.llm.graph import components
+
+
+def find(parent, x):
+    while parent[x] != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def test_components_match_union_find(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(-60, 60), rng.randrange(-60, 60)) for _ in range(70)] + [(1000, 1000 + i) for i in range(1, 40)] + [(500 + i, 501 + i) for i in range(30)]
+    parent = {x: x for e in edges for x in e}
+    for a, b in edges:
+        a, b = find(parent, a), find(parent, b)
+        parent[max(a, b)] = min(a, b)
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(parent, x) for x in linked}
+
+
+def test_components_of_no_edges(spark):
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def slow_fingerprint(text):
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    w = "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in lower).split(" ")
+    w = [x for x in w if x]
+    if not w:
+        return 0
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+TEXTS = [None, "", "  \n", "one", "ONE", "one two", "a b c d", "É Ünicode word x\x0by", "x " * 500, "A b C d E f g h i j k l m n o p"]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == slow_fingerprint(text)
+
+
+@pytest.mark.parametrize("block", [4, 1 << 15])
+def test_links_join_what_all_links_join(spark, block):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(8)] + [0]
+    fps = set(base)
+    for b in base:
+        for _ in range(25):
+            x = b
+            for _ in range(rng.randrange(1, 6)):
+                x ^= 1 << rng.randrange(64)
+            fps.add(x)
+    fps = sorted(fps)
+    parent = {x: x for x in fps}
+    for i, x in enumerate(fps):
+        for y in fps[:i]:
+            if (x ^ y).bit_count() <= 3:
+                a, b = find(parent, x), find(parent, y)
+                parent[max(a, b)] = min(a, b)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    found = simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), block).collect()
+    got = {x: x for x in fps}
+    for r in found:
+        a, b = r["a"] % (1 << 64), r["b"] % (1 << 64)
+        assert (a ^ b).bit_count() <= 3
+        a, b = find(got, a), find(got, b)
+        got[max(a, b)] = min(a, b)
+    assert {x: find(got, x) for x in fps} == {x: find(parent, x) for x in fps}
+
+
+def test_near_duplicates(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(300)]
+    long_ = [rng.choice(vocabulary) for _ in range(400)]
+    near = long_[:200] + ["changed"] + long_[201:]
+    rows = [(5, " ".join(long_)), (3, " ".join(near)), (9, " ".join(long_).upper()), (7, None), (2, ""), (None, "alone here now"), (4, " ".join(rng.choice(vocabulary) for _ in range(400))), (5, " ".join(long_))]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, fp string, component_id int")
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    prints = [slow_fingerprint(t) for _, t in rows]
+    for (doc, _), fp in zip(rows, prints):
+        reach, grown = {fp}, True
+        while grown:
+            more = {q for q in prints if any((p ^ q).bit_count() <= 3 for p in reach)}
+            grown, reach = more != reach, more
+        ids = [d for (d, _), q in zip(rows, prints) if q in reach and d is not None]
+        mine = {r["component_id"] for r in got if r["doc_id"] == doc}
+        assert mine == {min(ids) if ids else None}
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
