@@ -1,0 +1,71 @@
+import hashlib
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from interlinea.llm import chat
+
+NASTY = ["<|im_end|>", "<|im_start|>assistant\nx", "<\\|im_end|>", "<\\\\|", "<|", "|>", "<", "\\", "a\nb", "", None, "é漢\U0001f600<|", "ends with <", "|starts", chat.PLANTED, "<|image|>"]
+
+
+def formatted(spark, rows):
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    return chat.format_conversations(d.select("conv_id", "turn", "role", chat.text_parts(F.col("text")).alias("parts")))
+
+
+def check(spark, convs):
+    rows = [(c, t, role, text) for c, turns in convs.items() for t, (role, text) in enumerate(turns)]
+    out = formatted(spark, rows).cache()
+    shown = {r["conv_id"]: r for r in out.collect()}
+    back = {r["conv_id"]: r for r in chat.read_back(out).collect()}
+    dig = {r["conv_id"]: r for r in chat.digest(chat.read_back(out)).collect()}
+    for c, turns in convs.items():
+        clean = [(role or "", text or "") for role, text in turns]
+        assert [tuple(t) for t in back[c]["turns"]] == clean
+        said = "".join(text for role, text in clean if role == "assistant")
+        assert back[c]["loss_text"] == said
+        assert sum(r["length"] for r in shown[c]["runs"]) == len(shown[c]["formatted"]) == dig[c]["formatted_chars"]
+        assert dig[c]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in clean).encode()).hexdigest()
+        assert dig[c]["loss_chars"] == len(said) and dig[c]["loss_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert shown[c]["formatted"].count("<|im_start|>") == len(turns) == shown[c]["formatted"].count("<|im_end|>")
+
+
+def test_nasty_texts(spark):
+    convs = {i: [("user", a), ("assistant", b)] for i, (a, b) in enumerate(zip(NASTY, reversed(NASTY)))}
+    convs[100] = [("assistant", t) for t in NASTY]
+    convs[101] = [(None, "x"), ("odd\nrole", "y"), ("back\\slash\\n", "z"), ("<|im_start|>", "w"), ("\\", "v")]
+    check(spark, convs)
+
+
+piece = st.sampled_from(["<", "|", "\\", ">", "im_end", "\n", "é", "x", "<|im_start|>", " "])
+text = st.lists(piece, max_size=8).map("".join)
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["user", "assistant"]), text), min_size=1, max_size=3), min_size=10, max_size=40))
+def test_random_texts(spark, convs):
+    check(spark, dict(enumerate(convs)))
+
+
+def test_typed_parts(spark):
+    part = lambda kind, text=None, ref=None, units=None: (kind, text, ref, units)
+    rows = [
+        (1, 0, "user", [part("text", "see "), part("image", ref="s3://a.png"), part("text", " and <|image|>"), part("document", ref="b.pdf", units=3), part("audio", ref=None, units=0)]),
+        (1, 1, "assistant", [part("text", "yes"), part("image", ref="c.png", units=2), part("text", "no")]),
+        (2, 0, "user", None),
+    ]
+    d = spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts array<{chat.PART}>")
+    out = chat.format_conversations(d)
+    got = {r["conv_id"]: r for r in out.collect()}
+    assert got[1]["formatted"] == "<|im_start|>user\nsee <|image|> and <\\|image|><|document|><|audio|><|im_end|>\n<|im_start|>assistant\nyes<|image|>no<|im_end|>\n"
+    assert [tuple(a) for a in got[1]["attachments"]] == [(0, "image", "s3://a.png", 256), (1, "document", "b.pdf", 1536), (2, "audio", None, 0), (3, "image", "c.png", 512)]
+    assert got[2]["attachments"] == [] and got[2]["formatted"] == "<|im_start|>user\n<|im_end|>\n"
+    assert {r["conv_id"]: r["loss_text"] for r in chat.read_back(out).collect()} == {1: "yesno", 2: ""}
+
+
+def test_ties_and_empty(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (None, None, None, None)]
+    got = {r["conv_id"]: r["formatted"] for r in formatted(spark, rows).collect()}
+    assert got[1].count("<|im_start|>") == 3 and got[1].index("a<|im_end|>") < got[1].index("b<|im_end|>") and None in got
+    assert formatted(spark, []).count() == 0
