@@ -71,6 +71,6 @@ def merge_paras_across_pages(lines: DataFrame) -> DataFrame:
     """Paragraph numbers where a paragraph that begins with a page marker goes on with the one before it."""
     w = Window.partitionBy("doc_id").orderBy("line_id")
     starts = F.coalesce(F.lag("para_id").over(w) != F.col("para_id"), F.lit(True))
-    opens = starts & ~F.coalesce(F.col("starts_page"), F.lit(False))
+    opens = starts & (~F.coalesce(F.col("starts_page"), F.lit(False)) | F.lag("para_id").over(w).isNull())
     number = F.sum(F.when(opens, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return lines.withColumn("para_id", F.greatest(number, F.lit(1)).cast("int"))
+    return lines.withColumn("para_id", number.cast("int"))

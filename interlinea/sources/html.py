@@ -9,14 +9,14 @@ VOID = ["meta", "link", "br", "img", "hr", "input"]
 #: Stripped before tokens are cut: their content isn't markup.
 OPAQUE = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<!DOCTYPE[^>]*>"
 #: Entities that stand for markup characters become their small forms, so that texts never hold markup.
-ENTITIES = [("&lt;", "﹤"), ("&gt;", "﹥"), ("&amp;", "﹠"), ("&#13;", "\n"), ("&nbsp;", " "), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'")]
+ENTITIES = [("&lt;", "﹤"), ("&gt;", "﹥"), ("&amp;", "﹠"), ("&#13;", "\n"), ("&nbsp;", "\u00a0"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'")]
 TOKEN = "(<[^>]+>|[^<]+)"
 
 
 def read_documents(spark: SparkSession, path: str, pattern: str = "*_body_*.htm*") -> DataFrame:
     """grammars(doc_id, html): whole files; the id is the file's name without its ending."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(path)
-    return files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.html?$", "").alias("doc_id"), F.regexp_replace("value", "^﻿", "").alias("html"))
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
+    return files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.html?$", "").alias("doc_id"), F.regexp_replace("value", "^\ufeff", "").alias("html"))
 
 
 def decode_entities(text: Column) -> Column:
@@ -78,7 +78,8 @@ def wrap_matches(text: Column, pattern: str, opening: str, closing: str) -> Colu
 
 def count_descendants(t: DataFrame, name: str) -> DataFrame:
     """(doc_id, ord, n): for each opening tag, how many elements of a name are inside it. Matching ends are found by depth."""
-    d = t.withColumn("level", F.sum(F.when(F.col("kind") == "open", 1).when(F.lag("kind").over(Window.partitionBy("doc_id").orderBy("ord")) == "close", -1).otherwise(0)).over(_order()))
+    closed = F.coalesce(F.lag("kind").over(Window.partitionBy("doc_id").orderBy("ord")) == "close", F.lit(False))
+    d = t.withColumn("step", (F.col("kind") == "open").cast("int") - closed.cast("int")).withColumn("level", F.sum("step").over(_order()))
     d = d.withColumn("hits", F.sum(((F.col("name") == name) & F.col("kind").isin("open", "empty")).cast("long")).over(_order()))
     level = Window.partitionBy("doc_id", "level").orderBy("ord").rowsBetween(1, Window.unboundedFollowing)
     end = F.first(F.when(F.col("kind") == "close", F.col("hits")), ignorenulls=True).over(level)

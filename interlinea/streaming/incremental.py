@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 def stream_documents(spark: SparkSession, path: str, pattern: str = "*_body_*.htm*") -> DataFrame:
     """grammars(doc_id, html) as a stream over the files of a folder."""
     files = spark.readStream.schema("value string").option("wholetext", True).option("pathGlobFilter", pattern).format("text").load(path)
-    return files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.html?$", "").alias("doc_id"), F.regexp_replace("value", "^﻿", "").alias("html"))
+    return files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.html?$", "").alias("doc_id"), F.regexp_replace("value", "^\ufeff", "").alias("html"))
 
 
 def process_new(docs: DataFrame, checkpoint: str, process: Callable[[DataFrame, int], None]) -> None:
