@@ -60,6 +60,22 @@ def examples(lines: DataFrame) -> DataFrame:
     return groups.groupBy(*keys).agg(F.flatten(F.collect_list("xh")).alias("xh"), F.sort_array(F.collect_list(F.when(F.col("xfg_no").isNotNull(), g))).alias("xfgs"))
 
 
+def split_paras_at_examples(lines: DataFrame, labels: DataFrame) -> DataFrame:
+    """lines with x_line of the example that holds them, and paragraph numbers that also change where an example begins or ends."""
+    of = labels.select(F.col("doc_id").alias("l_doc"), F.col("line_id").alias("l_line"), "x_line")
+    d = lines.join(of, F.col("doc_id").eqNullSafe(F.col("l_doc")) & (F.col("line_id") == F.col("l_line")), "left").drop("l_doc", "l_line")
+    w = Window.partitionBy("doc_id").orderBy("line_id")
+    edge = (F.lag("para_id").over(w) != F.col("para_id")) | ~F.lag("x_line").over(w).eqNullSafe(F.col("x_line"))
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("edge", F.coalesce(edge, F.lit(True)) | (F.row_number().over(w) == 1))
+    return d.withColumn("para_id", F.sum(F.col("edge").cast("int")).over(running).cast("int")).drop("edge")
+
+
+def example_pages(lines: DataFrame) -> DataFrame:
+    """(doc_id, x_line, page_no): the page on which an example begins, from lines with x_line and page_no."""
+    return lines.where("x_line is not null").groupBy("doc_id", "x_line").agg(F.min_by("page_no", "line_id").alias("page_no"))
+
+
 def join_html_ids(lines: DataFrame) -> DataFrame:
     """(doc_id, x_line, html_id): the ids of the paragraphs that an example came from, in order, joined by plus signs."""
     one = F.struct("line_id", F.coalesce("html_id", F.lit("unknown")).alias("html_id"))

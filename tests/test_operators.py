@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from interlinea.functions import lexical as L
 from interlinea.operators import annotate, features, grouping, layout, recognise, reports, sentences, words
 from interlinea.plans.extract import extract
-from interlinea.sources import html, params
+from interlinea.sources import html, params, sinks
 from interlinea.streaming import incremental
 
 # A page of our own: a header, prose, two examples, a stamp, a table, an example whose number is in a cell.
@@ -322,4 +322,25 @@ def test_extract(spark):
     assert [r["doc_id"] for r in x.errors.collect()] == ["bad"]
     assert x.sentences.where("text like 'This is the prose%'").count() == 1
     assert "<section" in reports.augmented_html(x.example_lines).first()["html"]
-    reports.write_tsv(words.morph_report(x.morphemes), "file:///tmp/interlinea-test-tsv")
+    placed = grouping.split_paras_at_examples(x.lines, x.labels)
+    starts = [r["line_id"] for r in x.labels.where("line_id = x_line").collect()]
+    assert placed.where("x_line is null").join(placed.where("x_line is not null").select("doc_id", "para_id"), ["doc_id", "para_id"]).count() == 0
+    assert {r["x_line"]: r["page_no"] for r in grouping.example_pages(placed).collect()} == {s: 12 for s in starts}
+    ids = grouping.join_html_ids(placed.where("x_line is not null")).collect()
+    assert len(ids) == len(starts) and all(r["html_id"].startswith("seq_") for r in ids)
+    assert [r["text"] for r in layout.pages_after_paras(x.lines).where("page_after_para").collect()] == ["3.1 Clauses"]
+
+
+def test_sinks(spark, tmp_path):
+    x = extract(spark.createDataFrame([("g", PAGE)], "doc_id string, html string"))
+    sinks.write_tsv(words.morph_report(x.morphemes), f"{tmp_path}/morph", header=True)
+    back = spark.read.option("sep", "\t").option("header", True).csv(f"{tmp_path}/morph")
+    assert back.columns == sinks.MORPH_COLUMNS and back.count() == x.morphemes.count()
+    sinks.write_xml(x.examples, f"{tmp_path}/xml", "x", "examples")
+    assert spark.read.format("xml").option("rowTag", "x").load(f"{tmp_path}/xml").count() == x.examples.count()
+    assert sinks.write_tables(x, f"{tmp_path}/t", ["lines", "labels"]) == ["lines", "labels"]
+    made = []
+    for _ in range(2):
+        d = sinks.resumed(spark, f"{tmp_path}/stage", lambda: made.append(1) or x.lines)
+        assert d.count() == x.lines.count()
+    assert made == [1]
