@@ -51,7 +51,7 @@ class Scanner:
         for i, (notice, _) in enumerate(self.notices):
             k = len(notice) // chars_per_error
             self.errors.append(k)
-            self.patterns.append(regex.compile(f"(?b)(?<!\\S)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}(?!\\S)"))
+            self.patterns.append(regex.compile(f"(?e)(?<!\\S)(?:{regex.escape(notice, literal_spaces=True)}){{e<={k}}}(?!\\S)"))
             cuts = [len(notice) * j // (k + 1) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 at.setdefault(notice[a:b], []).append((i, a))

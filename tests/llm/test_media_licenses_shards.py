@@ -128,6 +128,14 @@ def test_fuzzy_notices(notice):
     assert not licenses.scan(("unrelated words of no kind " * 20).encode())[5]
 
 
+def test_every_place_is_found():
+    notice = "permission is hereby granted free of charge to any person obtaining a copy"
+    text = f"{notice.replace('granted', 'grantd')} x {notice} {notice.replace('charge', 'chrge')}"
+    found = licenses.scan(text.encode())[5]
+    assert [(f[2], f[3]) for f in found] == [("mit-notice", 1), ("mit-notice", 0), ("mit-notice", 1)]
+    assert all(text[a:b].split() == text[a:b].strip().split() for a, b, _, _ in found)
+
+
 def test_license_frames(spark):
     docs = spark.createDataFrame([(i, t, "l", 1.0) for i, t in enumerate(TEXTS)] + [(None, "Permission is hereby grantd, free of charge, to any person obtaining a copy", "", 0.0)], "doc_id long, text string, labels string, score double")
     got = licenses.license_scan(docs).collect()
