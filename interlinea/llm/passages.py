@@ -191,10 +191,12 @@ def marks(docs: DataFrame, length: int, gram: int, decider: Callable[[Contexts],
     kind = docs.select(id_col).dtypes[0][1]
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).cast("binary").alias("raw"))
     ddl = f"anchor long, context long, doc_id {kind}, t long, lo int, n int, o int"
-    places = source.mapInArrow(_places(length, gram, _arrow_schema(ddl)), ddl)
+    places, _ = stored(source.mapInArrow(_places(length, gram, _arrow_schema(ddl)), ddl), "places")
 
     first = F.min(F.struct("doc_id", "t", F.expr("lo + o").alias("at"))).alias("first")
     by_anchor = places.groupBy(F.col("anchor").alias("anchor_")).agg(F.count(F.lit(1)).alias("all_places"), F.min("context").alias("c0"), F.max("context").alias("c1"), first).where("all_places > 1")
+    # A table of its own, so that the join has an exchange on either side and a frequent anchor's places can be split.
+    by_anchor, _ = stored(by_anchor, "anchors")
     live = places.join(by_anchor, F.col("anchor") == F.col("anchor_"))
     live = live.select("anchor", "context", "doc_id", "t", "lo", "n", "o", (F.col("c0") != F.col("c1")).alias("mixed"), F.when(F.col("c0") == F.col("c1"), F.col("first")).alias("first"))
     live, _ = stored(live, "live")
