@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import grouped, stored
+from .common import grouped, runs, stored
 
 #: Contexts of an anchor that one task compares at most.
 BLOCK = 1 << 14
+#: Contexts, or those of one anchor if they are more, whose words a worker has in memory at once.
+PART = 1 << 11
 #: Words whose hashes a worker remembers.
 MAX_WORDS = 1 << 18
 #: Windows whose anchors are found at once.
@@ -160,8 +162,14 @@ def _decide(decider: Callable[[Contexts], np.ndarray], length: int, schema: pa.S
             again = (a[1:] == a[:-1]) & (c[1:] == c[:-1])
             if again.any():
                 t = t.filter(pa.array(np.append(True, ~again)))
-            mask = decider(Contexts(t, length))
-            yield pa.RecordBatch.from_arrays([t.column("anchor").combine_chunks(), t.column("context").combine_chunks(), pa.array(mask, pa.int64())], schema=schema)
+            ends = runs([t.column("anchor").to_numpy()])
+            at = 0
+            while at < len(t):  # whole anchors, about PART contexts at once
+                to = int(ends[max(np.searchsorted(ends, at + PART, "right") - 1, np.searchsorted(ends, at, "right"))])
+                part = t.slice(at, to - at)
+                mask = decider(Contexts(part, length))
+                yield pa.RecordBatch.from_arrays([part.column("anchor").combine_chunks(), part.column("context").combine_chunks(), pa.array(mask, pa.int64())], schema=schema)
+                at = to
 
     return run
 
@@ -229,6 +237,8 @@ def marks(docs: DataFrame, length: int, gram: int, decider: Callable[[Contexts],
     plain = live.where("not mixed").select("doc_id", "t", "lo", F.when(here.eqNullSafe(F.col("first")), F.lit(0).cast("long")).otherwise(everything).alias("mask") if keep_first else everything.alias("mask"))
     of = mixed.select(F.col("anchor").alias("anchor_"), F.col("context").alias("context_"), "places", F.struct("f.doc_id", "f.t", "f.at").alias("least"))
     of = of.join(verdict, (F.col("anchor_") == F.col("anchor")) & (F.col("context_") == F.col("context"))).select("anchor_", "context_", "places", "least", "mask")
+    # As above: a table of its own lets the join with the places of a frequent context be split.
+    of, _ = stored(of, "verdicts")
     judged = live.where("mixed").join(of, (F.col("anchor") == F.col("anchor_")) & (F.col("context") == F.col("context_")))
     own = F.when(here.eqNullSafe(F.col("least")), F.col("mask")).otherwise(everything) if keep_first else F.when(F.col("places") > 1, everything).otherwise(F.col("mask"))
     found = plain.unionByName(judged.select("doc_id", "t", "lo", own.alias("mask"))).where("mask <> 0")
