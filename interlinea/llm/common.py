@@ -81,12 +81,16 @@ def stored(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
 # ---------------------------------------------------------------- Arrow streams
 
 
-def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """mapInArrow with a function from a batch to columns; Spark casts nothing, so schema says the types."""
+def arrow_schema(ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    return to_arrow_schema(_parse_datatype_string(ddl))
+
+
+def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
+    """mapInArrow with a function from a batch to columns; Spark casts nothing, so schema says the types."""
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

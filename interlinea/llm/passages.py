@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import grouped, runs, stored
+from .common import arrow_schema, grouped, runs, stored
 
 #: Contexts of an anchor that one task compares at most.
 BLOCK = 1 << 14
@@ -111,13 +111,6 @@ def _places(length: int, gram: int, schema: pa.Schema) -> Callable:
     return run
 
 
-def _arrow_schema(ddl: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    return to_arrow_schema(_parse_datatype_string(ddl))
-
-
 def _fetch(schema: pa.Schema, length: int) -> Callable:
     """Words of the contexts of a document: (doc_id, t, raw, list of (anchor, context, places, n_contexts, lo, n, o)) to one row each."""
 
@@ -199,7 +192,7 @@ def marks(docs: DataFrame, length: int, gram: int, decider: Callable[[Contexts],
     kind = docs.select(id_col).dtypes[0][1]
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("t"), F.col(text_col).cast("binary").alias("raw"))
     ddl = f"anchor long, context long, doc_id {kind}, t long, lo int, n int, o int"
-    places, _ = stored(source.mapInArrow(_places(length, gram, _arrow_schema(ddl)), ddl), "places")
+    places, _ = stored(source.mapInArrow(_places(length, gram, arrow_schema(ddl)), ddl), "places")
 
     first = F.min(F.struct("doc_id", "t", F.expr("lo + o").alias("at"))).alias("first")
     by_anchor = places.groupBy(F.col("anchor").alias("anchor_")).agg(F.count(F.lit(1)).alias("all_places"), F.min("context").alias("c0"), F.max("context").alias("c1"), first).where("all_places > 1")
@@ -216,15 +209,15 @@ def marks(docs: DataFrame, length: int, gram: int, decider: Callable[[Contexts],
     wanted = wanted.groupBy(F.col("f.doc_id").alias("d"), F.col("f.t").alias("t_")).agg(F.collect_list(F.struct("anchor", "context", "places", "n_contexts", "f.lo", "f.n", "f.o")).alias("wanted"))
     ddl = f"anchor long, context long, places long, n_contexts long, doc_id {kind}, t long, n int, o int, at int, words binary"
     joined = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("t_"))).select("doc_id", "t", "raw", "wanted")
-    texts, _ = stored(joined.mapInArrow(_fetch(_arrow_schema(ddl), length), ddl), "contexts")
+    texts, _ = stored(joined.mapInArrow(_fetch(arrow_schema(ddl), length), ddl), "contexts")
 
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ddl = "anchor long, context long, mask long"
     small = texts.where(F.col("n_contexts") <= block).repartition(n_parts, "anchor").sortWithinPartitions("anchor", "doc_id", "t", "at", "context")
-    decided = small.mapInArrow(_decide(decider, length, _arrow_schema(ddl)), ddl)
+    decided = small.mapInArrow(_decide(decider, length, arrow_schema(ddl)), ddl)
     large = texts.where(F.col("n_contexts") > block)
     ddl = f"anchor long, context long, places long, doc_id {kind}, t long, at int, j int, window long"
-    each = large.mapInArrow(_windows(length, _arrow_schema(ddl)), ddl)
+    each = large.mapInArrow(_windows(length, arrow_schema(ddl)), ddl)
     sums = each.groupBy(F.col("anchor").alias("anchor_"), F.col("window").alias("window_")).agg(F.sum("places").alias("total"), F.min(F.struct("doc_id", "t", "at")).alias("least"))
     back = each.join(sums, (F.col("anchor") == F.col("anchor_")) & (F.col("window") == F.col("window_")))
     is_first = F.struct("doc_id", "t", "at").eqNullSafe(F.col("least"))
@@ -258,7 +251,7 @@ def covered(n_words: int, lo: np.ndarray, mask: np.ndarray, length: int) -> np.n
 
 def apply_marks(docs: DataFrame, found: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Joins the marks to the documents and maps fn over batches of (input row as struct, raw text, marks)."""
-    arrow = _arrow_schema(schema)
+    arrow = arrow_schema(schema)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("d"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).cast("binary").alias("raw"))
     joined = rows.join(found, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("t")), "left").select("row", "raw", "m")
 

@@ -7,11 +7,11 @@ defined by the operators that the stages call.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixture, pieces, quality, simhash, suffix_array
-from .common import fresh, stored, table
+from .common import stored, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,12 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the least id; of rows that share it, the one with the least text."""
-    near = simhash.near_duplicates(docs)
-    chosen = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("chosen")).distinct()
-    no = fresh(docs, "row_no")
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi")
-    return kept.withColumn(no, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(no) == 1).select(*docs.columns)
+    """One document of each group of near copies, by sets of five-word shingles with a similarity of 0.8 or more."""
+    return simhash.near_copies(docs)
 
 
 def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

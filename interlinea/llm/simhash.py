@@ -1,56 +1,79 @@
 """SimHash near-dedup: 64-bit fingerprints of word shingles, linked within a Hamming distance by pigeonring filtering.
 
-The 64 bits form a ring of four segments. If two fingerprints differ in at most 3 bits, then from some segment on
-every chain of l consecutive segments holds at most floor(3 l / 4) of the differences: 0, 1, 2, 3. So an index
-key is a chain of two segments with its whole budget built in: the first segment exact, the second with one bit
-wiped out (4 x 16 keys a fingerprint). Pairs that meet under a key are pruned by the chain of three, then
-checked in full. Only distinct fingerprints take part, and each bucket gives a spanning forest of its
+The 64 bits form a ring of d + 1 segments. If two fingerprints differ in at most d bits, then from some segment on
+every chain of l consecutive segments holds at most floor(l d / (d + 1)) of the differences: 0, 1, 2, and so on. So an
+index key is a chain of two segments with its whole budget built in: the first segment exact, the second with one bit
+wiped out (64 keys a fingerprint, whatever d is). Pairs that meet under a key are pruned by the chain of three, then
+checked in full. Only distinct fingerprints take part, and a dense bucket gives a spanning forest of its
 links rather than all pairs. A bucket above BLOCK fingerprints is dealt out as pairs of blocks.
 
+near_duplicates() links by fingerprints alone. near_copies() takes the links of several wider fingerprints as candidates and
+holds texts against the least document of their group by their sets of shingles, so that only true copies are one.
+
 Defined cases: null text is empty; a text without words has fingerprint zero and is linked like any other;
-one or two words are one shingle; a group whose ids are all null has a null component; repeated rows are
+fewer words than a shingle are one shingle; a group whose ids are all null has a null component; repeated rows are
 in one group; an empty table gives no rows. Only the id and the text columns are read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import functools
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import grouped, map_arrow, runs, stored, table
+from .common import arrow_schema, fresh, grouped, map_arrow, remove, runs, stored, table
 from .graph import components
+from .passages import _mix
 
 SEED = 42
 SHINGLE = 3
 DISTANCE = 3
-SEGMENTS, WIDTH = 4, 16
+#: For near_copies: words of a shingle, least similarity, and the fingerprints and their distance that give candidates.
+COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
+COPY_PRINTS, COPY_DISTANCE = 2, 7
 #: Distinct fingerprints of a bucket that one task compares at most, against as many others.
 BLOCK = 1 << 15
+#: Buckets up to this size are compared together; in a larger one, links are a forest if there are more than this a member.
+SMALL, DENSE = 16, 8
 CHUNK = 1 << 16
-#: For each starting segment, the bits of the chain of three.
-CHAIN = [np.uint64(((0xFFFFFFFFFFFF << (WIDTH * i)) | (0xFFFFFFFFFFFF >> (64 - WIDTH * i))) & 0xFFFFFFFFFFFFFFFF) for i in range(SEGMENTS)]
 
 
-def fingerprint(text: str | None) -> int:
-    """The fingerprint as an unsigned integer: bits set in over half the shingles' hashes."""
-    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not w:
+def chains(distance: int) -> np.ndarray:
+    """For each starting segment, the bits of the chain of three."""
+    width = 64 // (distance + 1)
+    ones = (1 << 3 * width) - 1
+    return np.array([((ones << i) | (ones >> (64 - i))) & ((1 << 64) - 1) for i in range(0, 64, width)], np.uint64)
+
+
+def shingle_hashes(text: str | bytes | None, size: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle, repeats included; none for a text without words."""
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    w = raw.lower().split()
+    if len(w) < size:
+        return np.array([xxh64_intdigest(b" ".join(w), SEED)] if w else [], "<u8")
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(size))))
+    return np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), "<u8", len(w) - size + 1)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half the hashes."""
+    if not len(h):
         return 0
-    if len(w) < SHINGLE:
-        shingles, n = [b" ".join(w)], 1
-    else:
-        shingles, n = map(b" ".join, zip(*(w[i:] for i in range(SHINGLE)))), len(w) - SHINGLE + 1
-    h = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), "<u8", n)
     set_ = np.zeros(64, np.int64)
-    for i in range(0, n, CHUNK):
+    for i in range(0, len(h), CHUNK):
         set_ += np.unpackbits(h[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * set_ > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * set_ > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None) -> int:
+    """The fingerprint as an unsigned integer: bits set in over half the shingles' hashes."""
+    return majority(shingle_hashes(text))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,22 +87,23 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), batch, f"doc_id {kind}, fp long")
 
 
-def index_keys(fps: DataFrame) -> DataFrame:
-    """(k, fp): the 64 chain keys of each fingerprint; bits 32 to 37 of a key say the segment and the bit wiped out."""
-    each = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * WIDTH - 1))).alias("e"))
-    turned = each.select("fp", "e", F.expr(f"shiftrightunsigned(fp, {WIDTH} * (e div {WIDTH})) | shiftleft(fp, 64 - {WIDTH} * int(e div {WIDTH}))").alias("r"))
-    return turned.select(F.expr(f"shiftleft(bigint(e), 32) | (r & 4294967295L & ~shiftleft(1L, {WIDTH} + int(e % {WIDTH})))").alias("k"), "fp")
+def index_keys(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(k, fp): the 64 chain keys of each (r, fp); bits 32 to 37 of a key say the segment and the bit wiped out, those above it r."""
+    width = 64 // (distance + 1)
+    each = fps.select("r", "fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("e"))
+    turned = each.select("r", "fp", "e", F.expr(f"shiftrightunsigned(fp, {width} * int(e div {width})) | shiftleft(fp, 64 - {width} * int(e div {width}))").alias("turned"))
+    return turned.select(F.expr(f"shiftleft(64L * r + e, 32) | (turned & {(1 << 2 * width) - 1}L & ~shiftleft(1L, {width} + int(e % {width})))").alias("k"), "fp")
 
 
-def _pairs(f: np.ndarray, a: np.ndarray, b: np.ndarray, chain: np.ndarray | np.uint64) -> np.ndarray:
+def _pairs(f: np.ndarray, a: np.ndarray, b: np.ndarray, chain: np.ndarray | np.uint64, distance: int) -> np.ndarray:
     """Which of the pairs f[a], f[b] pass the chain of three and then the whole ring."""
     x = f[a] ^ f[b]
     ok = np.bitwise_count(x & chain) <= 2
-    ok[ok] = np.bitwise_count(x[ok]) <= DISTANCE
+    ok[ok] = np.bitwise_count(x[ok]) <= distance
     return ok
 
 
-def forest(f: np.ndarray, chain: np.uint64) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def forest(f: np.ndarray, chain: np.uint64, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Links that join what is linked among f: a search from each unseen place, over the places not yet reached."""
     left, queue, src, dst = np.arange(1, len(f)), [0], [], []
     while True:
@@ -90,7 +114,7 @@ def forest(f: np.ndarray, chain: np.uint64) -> tuple[list[np.ndarray], list[np.n
         else:
             return src, dst
         if len(left):
-            ok = _pairs(f, np.full(len(left), at), left, chain)
+            ok = _pairs(f, np.full(len(left), at), left, chain, distance)
             if ok.any():
                 hit, left = left[ok], left[~ok]
                 queue.extend(hit.tolist())
@@ -98,36 +122,60 @@ def forest(f: np.ndarray, chain: np.uint64) -> tuple[list[np.ndarray], list[np.n
                 dst.append(hit)
 
 
-def _links(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def bucket_links(f: np.ndarray, chain: np.uint64, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """All links among f while they are few, otherwise a forest of them."""
+    rows, src, dst, n = max(1, (1 << 20) // len(f)), [], [], 0
+    for i in range(0, len(f), rows):
+        a, b = np.nonzero(np.bitwise_count((f[i : i + rows, None] ^ f[None, i:]) & chain) <= 2)
+        a, b = a[a < b] + i, b[a < b] + i
+        ok = np.bitwise_count(f[a] ^ f[b]) <= distance
+        src.append(a[ok])
+        dst.append(b[ok])
+        n += len(src[-1])
+        if n > DENSE * len(f):
+            return forest(f, chain, distance)
+    return src, dst
+
+
+def _links(distance: int) -> Callable:
     """Links of each bucket; rows (k, lo, hi, fp) come sorted."""
-    chains = np.array(CHAIN, np.uint64)
-    for t in grouped(batches, 3):
-        k, lo, hi, f = (t.column(i).to_numpy() for i in range(4))
-        f = f.view(np.uint64)
-        ends = runs([k, lo, hi])
-        size = np.diff(ends)
-        two = ends[:-1][size == 2]
-        ok = _pairs(f, two, two + 1, chains[k[two] >> 36])
-        src, dst = [two[ok]], [two[ok] + 1]
-        for s, n in zip(ends[:-1][size > 2], size[size > 2]):
-            a, b = forest(f[s : s + n], CHAIN[int(k[s] >> 36)])
-            src += [x + s for x in a]
-            dst += [x + s for x in b]
-        a, b = np.concatenate(src).astype(np.int64), np.concatenate(dst).astype(np.int64)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(f[a].view(np.int64)), pa.array(f[b].view(np.int64))], ["a", "b"])
-
-
-def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b): links within the distance that join exactly what all such links join; fps holds distinct fingerprints."""
-    keys = index_keys(fps)
+    chain, width = chains(distance), 64 // (distance + 1)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, 3):
+            k, lo, hi, f = (t.column(i).to_numpy() for i in range(4))
+            f, at, r = f.view(np.uint64), (k >> 32 & 63) // width, k >> 38
+            ends = runs([k, lo, hi])
+            size = np.diff(ends)
+            end = np.repeat(np.where(size <= SMALL, ends[1:], 0), size)  # of a row's bucket, if it is small
+            src, dst = [], []
+            for gap in range(1, min(SMALL, int(size.max()))):
+                a = np.flatnonzero(np.arange(gap, len(f) + gap) < end)
+                a = a[_pairs(f, a, a + gap, chain[at[a]], distance)]
+                src.append(a)
+                dst.append(a + gap)
+            for s, n in zip(ends[:-1][size > SMALL], size[size > SMALL]):
+                a, b = bucket_links(f[s : s + n], chain[at[s]], distance)
+                src += [x + s for x in a]
+                dst += [x + s for x in b]
+            if sum(map(len, src)):
+                a, b = np.concatenate(src), np.concatenate(dst)
+                yield pa.RecordBatch.from_arrays([pa.array(r[a], pa.int32()), pa.array(f[a].view(np.int64)), pa.array(f[b].view(np.int64))], ["r", "a", "b"])
+
+    return run
+
+
+def links(fps: DataFrame, block: int = BLOCK, distance: int = DISTANCE) -> DataFrame:
+    """(r, a, b): links within the distance that join exactly what all such links join; fps holds distinct (r, fp), r a small
+    number that says which fingerprint of a document it is."""
+    keys = index_keys(fps, distance)
     often = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("k", "k2")
     met = keys.join(often, F.col("k") == F.col("k2")).select("k", "fp", F.ceil(F.col("n") / block).cast("int").alias("s"))
     own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
     dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     dealt = dealt.select("k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "fp").mapInArrow(_links, "a long, b long").distinct()
+    return dealt.repartition(n, "k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "fp").mapInArrow(_links(distance), "r int, a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -135,7 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     prints, _ = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    found = components(links(distinct.select("fp")))
+    found = components(links(distinct.select(F.lit(0).alias("r"), "fp")).select("a", "b"))
     rooted = distinct.join(found.withColumnRenamed("node", "fp2"), F.col("fp") == F.col("fp2"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted, _ = stored(rooted, "rooted")
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "root2")
@@ -143,6 +191,102 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
 
 
+def _copy_prints(prints: int, size: int) -> Callable:
+    """The number of a text's distinct shingles and fingerprints of their set, each from hashes of its own."""
+
+    def batch(b: pa.RecordBatch) -> dict:
+        n, fps = [], []
+        for t in b.column(3):
+            h = np.unique(shingle_hashes(t.as_py(), size))
+            n.append(len(h))
+            fps.append(np.array([majority(h if not r else _mix(h + np.uint64(r))) for r in range(prints)], np.uint64).view(np.int64))
+        return {"doc_id": b.column(0), "q": b.column(1), "t": b.column(2), "n": n, "fps": pa.array(fps, pa.list_(pa.int64()))}
+
+    return batch
+
+
+def _unlike(size: int, similarity: float, schema: pa.Schema) -> Callable:
+    """Rows whose sets of shingles aren't that similar to the leader's; a null leader is unlike."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, its = None, np.zeros(0, np.uint64)
+        for b in batches:
+            rest = np.ones(b.num_rows, bool)
+            for i, (mine, leader) in enumerate(zip(b.column(4), b.column(5))):
+                if not leader.is_valid:
+                    continue
+                leader = leader.as_py()
+                if leader != last:
+                    last, its = leader, np.unique(shingle_hashes(leader, size))
+                h = np.unique(shingle_hashes(mine.as_py(), size))
+                both = len(np.intersect1d(h, its, assume_unique=True))
+                rest[i] = both < similarity * (len(h) + len(its) - both)
+            if rest.any():
+                yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(rest)) for i in range(5)], schema=schema)
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, prints: int = COPY_PRINTS, distance: int = COPY_DISTANCE) -> DataFrame:
+    """docs with one document of each group of copies.
+
+    Texts linked by any of their fingerprints make a component. Its first document, by id (nulls last), leads a group of all
+    those whose sets of shingles have at least that similarity to its own; the rest of the component goes on
+    among itself, until nothing is left. So each document that is left out has a like one that stays, and
+    a document that is only linked to others by way of third ones isn't left out."""
+    q, t = F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.col(text_col))
+    kind = docs.select(id_col).dtypes[0][1]
+    source = docs.select(F.col(id_col).alias("doc_id"), q.alias("q"), t.alias("t"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+    found, _ = stored(map_arrow(source, _copy_prints(prints, size), f"doc_id {kind}, q long, t long, n long, fps array<long>"), "copy_prints")
+
+    # Of equal texts, only the first takes part. o: the order of documents.
+    o = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "q")
+    texts, _ = stored(found.groupBy("n", "t", "fps").agg(F.min(o).alias("o")).withColumn("node", F.xxhash64("t", "fps")), "copy_texts")
+    each = texts.select("node", F.posexplode("fps").alias("r", "fp"))
+    by_print, _ = stored(each.groupBy("r", "fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")), "by_print")
+    met, _ = stored(links(by_print.select("r", "fp"), BLOCK, distance), "copy_links")
+
+    def rep(c: str) -> DataFrame:
+        return by_print.select(F.col("r").alias(f"r_{c}"), F.col("fp").alias(f"fp_{c}"), F.col("rep").alias(f"rep_{c}"))
+
+    near = met.join(rep("a"), (F.col("r") == F.col("r_a")) & (F.col("a") == F.col("fp_a"))).join(rep("b"), (F.col("r") == F.col("r_b")) & (F.col("b") == F.col("fp_b")))
+    shared, _ = stored(by_print.where("n > 1").select(F.col("r").alias("r_"), F.col("fp").alias("fp_"), "rep"), "shared_prints")
+    same = each.join(shared, (F.col("r") == F.col("r_")) & (F.col("fp") == F.col("fp_"))).where("node <> rep")
+    of = components(near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(same.select(F.col("node").alias("a"), F.col("rep").alias("b"))))
+
+    members, _ = stored(texts.join(of.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_")).select("root", "o", F.col("t").alias("t_"), "n"), "copy_members")
+    pool = source.join(members, (F.col("q") == F.col("o.q")) & (F.col("t") == F.col("t_"))).select("root", "o", "t", "n", "raw").dropDuplicates(["o", "t"])
+    pool, path = stored(pool, "copy_pool")
+    ddl = f"root long, o {dict(pool.dtypes)['o']}, t long, n long, raw binary"
+    leading = []
+    while not pool.isEmpty():
+        first = F.min_by(F.struct("o", "n", "raw"), F.struct("o", "t")).alias("l")
+        leaders, _ = stored(pool.groupBy(F.col("root").alias("root_")).agg(first), "copy_leaders")
+        leading.append(leaders.select(F.col("l.o.q").alias("q_")))
+        alike = F.least("n", "l.n") >= F.lit(similarity) * F.greatest("n", "l.n")
+        met = pool.join(leaders, F.col("root") == F.col("root_")).where(F.col("o") != F.col("l.o"))
+        met = met.select("root", "o", "t", "n", "raw", F.when(alike, F.col("l.raw")).alias("l_raw"))
+        rest, rest_path = stored(met.mapInArrow(_unlike(size, similarity, arrow_schema(ddl)), ddl), "copy_pool")
+        remove(docs.sparkSession, path)
+        pool, path = rest, rest_path
+
+    # Documents that go, or that have repeated rows; the others pass without a shuffle of their texts where these are few.
+    staying = texts.select(F.col("o.q").alias("q_"), F.col("t").alias("t_"), F.lit(True).alias("first"))
+    if leading:
+        led = functools.reduce(DataFrame.unionByName, leading)
+        gone = members.select(F.col("o.q").alias("q_"), "t_").join(led, "q_", "left_anti")
+        staying = staying.join(gone, ["q_", "t_"], "left_anti")
+    counted = found.groupBy("q", "t").agg(F.count(F.lit(1)).alias("c"))
+    marks = counted.join(staying, (F.col("q") == F.col("q_")) & (F.col("t") == F.col("t_")), "left").where("first IS NULL OR c > 1")
+    marks, _ = stored(marks.select(F.col("q").alias("q_"), F.col("t").alias("t_"), F.col("first").isNotNull().alias("stays")), "copy_marks")
+    q_, t_, s_ = (fresh(docs, c) for c in ("mark_q", "mark_t", "mark_no"))
+    marks = marks.select(F.col("q_").alias(q_), F.col("t_").alias(t_), "stays")
+    here = (q == F.col(q_)) & (t == F.col(t_))
+    once = docs.join(marks, here, "left_anti")
+    again = docs.join(marks.where("stays").drop("stays"), here).withColumn(s_, F.row_number().over(Window.partitionBy(q_, t_).orderBy(q_))).where(F.col(s_) == 1)
+    return once.unionByName(again.select(*docs.columns))
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = near_duplicates(table(spark, sf_dir, "documents"))
     return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

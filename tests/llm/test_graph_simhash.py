@@ -49,30 +49,33 @@ def test_fingerprint(text):
     assert simhash.fingerprint(text) == slow_fingerprint(text)
 
 
-@pytest.mark.parametrize("block", [4, 1 << 15])
-def test_links_join_what_all_links_join(spark, block):
+@pytest.mark.parametrize(("block", "distance"), [(4, 3), (1 << 15, 3), (4, 7), (1 << 15, 7)])
+def test_links_join_what_all_links_join(spark, block, distance):
     rng = random.Random(2)
     base = [rng.getrandbits(64) for _ in range(8)] + [0]
     fps = set(base)
     for b in base:
         for _ in range(25):
             x = b
-            for _ in range(rng.randrange(1, 6)):
+            for _ in range(rng.randrange(1, distance + 3)):
                 x ^= 1 << rng.randrange(64)
             fps.add(x)
     fps = sorted(fps)
     parent = {x: x for x in fps}
     for i, x in enumerate(fps):
         for y in fps[:i]:
-            if (x ^ y).bit_count() <= 3:
+            if (x ^ y).bit_count() <= distance:
                 a, b = find(parent, x), find(parent, y)
                 parent[max(a, b)] = min(a, b)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    found = simhash.links(spark.createDataFrame([(signed(x),) for x in fps], "fp long"), block).collect()
+    found = simhash.links(spark.createDataFrame([(r, signed(x)) for r in (0, 1) for x in fps], "r int, fp long"), block, distance).collect()
     got = {x: x for x in fps}
+    assert {r["r"] for r in found} == {0, 1}
     for r in found:
+        if r["r"]:
+            continue
         a, b = r["a"] % (1 << 64), r["b"] % (1 << 64)
-        assert (a ^ b).bit_count() <= 3
+        assert (a ^ b).bit_count() <= distance
         a, b = find(got, a), find(got, b)
         got[max(a, b)] = min(a, b)
     assert {x: find(got, x) for x in fps} == {x: find(parent, x) for x in fps}
@@ -97,3 +100,44 @@ def test_near_duplicates(spark):
         mine = {r["component_id"] for r in got if r["doc_id"] == doc}
         assert mine == {min(ids) if ids else None}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def shingle_set(text, size=simhash.COPY_SHINGLE):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+
+
+def similarity(a, b):
+    a, b = shingle_set(a), shingle_set(b)
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies(spark):
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(500)]
+    rows = []
+    for _ in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.choice([60, 300, 900]))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(rng.randrange(0, max(2, len(w) // 90))):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(w)))
+        # Half of the text is another's: not a copy.
+        rows.append((len(rows), " ".join(base[: len(base) // 2] + [rng.choice(vocabulary) for _ in range(len(base) // 2)])))
+    rows += [(500, None), (501, ""), (502, "one"), (503, "ONE"), (504, "one two"), (None, rows[0][1]), (None, "alone"), (3, rows[3][1]), (3, "other text of the same id"), (3, rows[3][1])]
+    docs = spark.createDataFrame([(*r, "x", True) for r in rows], "doc_id long, text string, mark_q string, stays boolean")
+    out = simhash.near_copies(docs)
+    assert out.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len(kept) == len(set(kept)) and set(kept) <= set(rows)
+    # Whatever goes has a like one that stays, and what is like no other stays.
+    for r in set(rows) - set(kept):
+        assert any(similarity(r[1], k[1]) >= 0.8 for k in kept), r
+    for r in set(rows):
+        if not any(similarity(r[1], s[1]) >= 0.8 for s in rows if s != r):
+            assert r in kept
+    # Equal sets of shingles are always found, near ones nearly always.
+    close = [(a, b) for i, a in enumerate(kept) for b in kept[:i] if similarity(a[1], b[1]) >= 0.95]
+    assert not close
+    assert simhash.near_copies(docs.limit(0)).count() == 0
