@@ -37,6 +37,8 @@ DISTANCE = 3
 #: For near_copies: words of a shingle, least similarity, and the fingerprints and their distance that give candidates.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 COPY_PRINTS, COPY_DISTANCE = 2, 7
+#: Rounds of leaders that are joined to their components; what is left then is streamed through one task a component.
+COPY_ROUNDS = 3
 #: Distinct fingerprints of a bucket that one task compares at most, against as many others.
 BLOCK = 1 << 15
 #: Buckets up to this size are compared together; in a larger one, links are a forest if there are more than this a member.
@@ -227,7 +229,32 @@ def _unlike(size: int, similarity: float, schema: pa.Schema) -> Callable:
     return run
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, prints: int = COPY_PRINTS, distance: int = COPY_DISTANCE) -> DataFrame:
+def _leaders(size: int, similarity: float) -> Callable:
+    """Leaders of each component, from rows (root, q, raw) in order: those that are unlike all leaders before them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, led = None, []
+        for b in batches:
+            q = []
+            for root, own, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if root != now:
+                    now, led = root, []
+                h = np.unique(shingle_hashes(raw.as_py(), size))
+                for x in led:
+                    if min(len(h), len(x)) >= similarity * max(len(h), len(x)):
+                        both = len(np.intersect1d(h, x, assume_unique=True))
+                        if both >= similarity * (len(h) + len(x) - both):
+                            break
+                else:
+                    led.append(h)
+                    q.append(own)
+            if q:
+                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64())], ["q_"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, prints: int = COPY_PRINTS, distance: int = COPY_DISTANCE, rounds: int = COPY_ROUNDS) -> DataFrame:
     """docs with one document of each group of copies.
 
     Texts linked by any of their fingerprints make a component. Its first document, by id (nulls last), leads a group of all
@@ -259,7 +286,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pool, path = stored(pool, "copy_pool")
     ddl = f"root long, o {dict(pool.dtypes)['o']}, t long, n long, raw binary"
     leading = []
-    while not pool.isEmpty():
+    for _ in range(rounds):
+        if pool.isEmpty():
+            break
         first = F.min_by(F.struct("o", "n", "raw"), F.struct("o", "t")).alias("l")
         leaders, _ = stored(pool.groupBy(F.col("root").alias("root_")).agg(first), "copy_leaders")
         leading.append(leaders.select(F.col("l.o.q").alias("q_")))
@@ -270,12 +299,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         remove(docs.sparkSession, path)
         pool, path = rest, rest_path
 
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest = pool.repartition(n_parts, "root").sortWithinPartitions("root", "o", "t").select("root", "o.q", "raw")
+    last, _ = stored(rest.mapInArrow(_leaders(size, similarity), "q_ long"), "copy_leaders")
+    leading.append(last)
+
     # Documents that go, or that have repeated rows; the others pass without a shuffle of their texts where these are few.
-    staying = texts.select(F.col("o.q").alias("q_"), F.col("t").alias("t_"), F.lit(True).alias("first"))
-    if leading:
-        led = functools.reduce(DataFrame.unionByName, leading)
-        gone = members.select(F.col("o.q").alias("q_"), "t_").join(led, "q_", "left_anti")
-        staying = staying.join(gone, ["q_", "t_"], "left_anti")
+    led = functools.reduce(DataFrame.unionByName, leading)
+    gone = members.select(F.col("o.q").alias("q_"), "t_").join(led, "q_", "left_anti")
+    staying = texts.select(F.col("o.q").alias("q_"), F.col("t").alias("t_"), F.lit(True).alias("first")).join(gone, ["q_", "t_"], "left_anti")
     counted = found.groupBy("q", "t").agg(F.count(F.lit(1)).alias("c"))
     marks = counted.join(staying, (F.col("q") == F.col("q_")) & (F.col("t") == F.col("t_")), "left").where("first IS NULL OR c > 1")
     marks, _ = stored(marks.select(F.col("q").alias("q_"), F.col("t").alias("t_"), F.col("first").isNotNull().alias("stays")), "copy_marks")

@@ -140,4 +140,6 @@ def test_near_copies(spark):
     # Equal sets of shingles are always found, near ones nearly always.
     close = [(a, b) for i, a in enumerate(kept) for b in kept[:i] if similarity(a[1], b[1]) >= 0.95]
     assert not close
+    for rounds in (0, 1):
+        assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in simhash.near_copies(docs, rounds=rounds).collect()))) == sorted(map(repr, kept))
     assert simhash.near_copies(docs.limit(0)).count() == 0
