@@ -7,8 +7,11 @@ wiped out (64 keys a fingerprint, whatever d is). Pairs that meet under a key ar
 checked in full. Only distinct fingerprints take part, and a dense bucket gives a spanning forest of its
 links rather than all pairs. A bucket above BLOCK fingerprints is dealt out as pairs of blocks.
 
-near_duplicates() links by fingerprints alone. near_copies() takes the links of several wider fingerprints as candidates and
-holds texts against the least document of their group by their sets of shingles, so that only true copies are one.
+near_duplicates() links by fingerprints alone. near_copies() takes the links of several wider fingerprints as candidates, adds
+those of an exact search, and holds texts against the least document of their group by their sets of shingles, so that only
+true copies are one and all of them are found. The exact search is a prefix filter: in any one order of all shingles, two sets
+of similarity s share a shingle among the first n - ceil(s n) + 1 of each. Its order puts shingles that are frequent in a sample
+last, which only saves time. Sets that meet are linked unless the parities of their hashes prove them unlike.
 
 Defined cases: null text is empty; a text without words has fingerprint zero and is linked like any other;
 fewer words than a shingle are one shingle; a group whose ids are all null has a null component; repeated rows are
@@ -37,6 +40,10 @@ DISTANCE = 3
 #: For near_copies: words of a shingle, least similarity, and the fingerprints and their distance that give candidates.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
 COPY_PRINTS, COPY_DISTANCE = 2, 7
+#: The order of shingles: one of so many documents is sampled, shingles that so many of those hold are frequent, and at most so many are told to all tasks.
+ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST = 16, 4, 1 << 20
+#: Sets under a shingle that one task compares at most, against as many others.
+SET_BLOCK = 1 << 11
 #: Rounds of leaders that are joined to their components; what is left then is streamed through one task a component.
 COPY_ROUNDS = 3
 #: Distinct fingerprints of a bucket that one task compares at most, against as many others.
@@ -193,20 +200,116 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(of, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
 
 
-def _copy_prints(prints: int, size: int) -> Callable:
-    """The number of a text's distinct shingles and fingerprints of their set, each from hashes of its own."""
+def frequent_shingles(source: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that are frequent in a sample of the rows (q, raw), and how often they are there."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t.as_py(), size)).view(np.int64))], ["h"])
+
+    sample = source.where(F.pmod(F.xxhash64("q"), F.lit(ORDER_SAMPLE)) == 0).select("raw").mapInArrow(run, "h long")
+    often = sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= ORDER_LEAST)
+    found = often.orderBy(F.col("n").desc(), "h").limit(ORDER_MOST).toArrow()
+    h, n = found.column("h").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    by = np.argsort(h)
+    return h[by], n[by]
+
+
+def prefix(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first of a set's sorted hashes, rare ones before frequent ones: any two sets of that similarity share one of theirs."""
+    n = len(h) - max(int(np.ceil(similarity * len(h) - 1e-6)), 1) + 1 if len(h) else 0
+    if not len(frequent[0]) or not n:
+        return h[:n]
+    at = np.minimum(np.searchsorted(frequent[0], h), len(frequent[0]) - 1)
+    return h[np.lexsort((h, np.where(frequent[0][at] == h, frequent[1][at], 0)))[:n]]
+
+
+def parities(h: np.ndarray) -> bytes:
+    """The parity of the number of hashes in each of 64 or more slots, at least as many as there are hashes, a power of two."""
+    slots = 1 << max(6, (len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def may_be_alike(a: tuple[int, int, int], b: tuple[int, int, int], similarity: float) -> bool:
+    """False only for sets (size, slots, parities) less similar than that: at least as many shingles differ as parities do."""
+    (n, slots, x), (m, others, y) = (a, b) if a[1] <= b[1] else (b, a)
+    if min(n, m) < similarity * max(n, m) - 1e-6:
+        return False
+    while others > slots:
+        others >>= 1
+        y = (y >> others) ^ (y & ((1 << others) - 1))
+    return (x ^ y).bit_count() <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
+def _copy_prints(prints: int, size: int, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> Callable:
+    """The number of a text's distinct shingles, fingerprints of their set, each from hashes of its own, its prefix and parities."""
 
     def batch(b: pa.RecordBatch) -> dict:
-        n, fps = [], []
+        n, fps, first, bits = [], [], [], []
         for t in b.column(3):
             h = np.unique(shingle_hashes(t.as_py(), size))
             n.append(len(h))
             fps.append(np.array([majority(h if not r else _mix(h + np.uint64(r))) for r in range(prints)], np.uint64).view(np.int64))
-        return {"doc_id": b.column(0), "q": b.column(1), "t": b.column(2), "n": n, "fps": pa.array(fps, pa.list_(pa.int64()))}
+            first.append(prefix(h, frequent, similarity).view(np.int64))
+            bits.append(parities(h))
+        lists = pa.list_(pa.int64())
+        return {"doc_id": b.column(0), "q": b.column(1), "t": b.column(2), "n": n, "fps": pa.array(fps, lists), "first": pa.array(first, lists), "bits": bits}
 
     return batch
 
 
+def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, node) whose k has more than one, with the size of the group; rows come sorted by k."""
+    for t in grouped(batches, 1):
+        t = t.combine_chunks()
+        ends = runs([t.column(0).to_numpy()])
+        size = np.repeat(np.diff(ends), np.diff(ends))
+        yield from t.append_column("s", pa.array(size)).filter(pa.array(size > 1)).to_batches()
+
+
+def _set_links(similarity: float) -> Callable:
+    """Links that join all sets that may be alike in each bucket: a search as in forest(); rows (k, lo, hi, node, n, bits) come sorted."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in grouped(batches, 3):
+            ends = runs([t.column(i).to_numpy() for i in range(3)])
+            node = t.column(3).to_numpy()
+            sets = [(n, 8 * len(x), int.from_bytes(x, "little")) for n, x in zip(t.column(4).to_pylist(), t.column(5).to_pylist())]
+            src, dst = [], []
+            for s, e in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                left = list(range(s, e))
+                while left:
+                    queue = [left.pop(0)]
+                    while queue and left:
+                        at, rest = queue.pop(), []
+                        for x in left:
+                            if may_be_alike(sets[at], sets[x], similarity):
+                                queue.append(x)
+                                src.append(at)
+                                dst.append(x)
+                            else:
+                                rest.append(x)
+                        left = rest
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(node[src]), pa.array(node[dst])], ["a", "b"])
+
+    return run
+
+
+def set_links(sets: DataFrame, similarity: float = COPY_SIMILARITY, block: int = SET_BLOCK) -> DataFrame:
+    """(a, b): links that join at least all nodes whose sets have that similarity; sets holds distinct (node, n, first, bits)."""
+    spark = sets.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = sets.select(F.explode("first").alias("k"), "node").repartition(n, "k").sortWithinPartitions("k")
+    met, _ = stored(keys.mapInArrow(_repeated, "k long, node long, s long"), "copy_prefixes")
+    s = F.ceil(F.col("s") / block).cast("int")
+    dealt = met.select("k", "node", s.alias("s"), F.pmod(F.xxhash64("node"), s).cast("int").alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    dealt = dealt.select("k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("node").alias("node_"))
+    whole = dealt.join(sets.select("node", "n", "bits"), F.col("node_") == F.col("node")).select("k", "lo", "hi", "node", "n", "bits")
+    return whole.repartition(n, "k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "node").mapInArrow(_set_links(similarity), "a long, b long").distinct()
+
+
 def _unlike(size: int, similarity: float, schema: pa.Schema) -> Callable:
     """Rows whose sets of shingles aren't that similar to the leader's; a null leader is unlike."""
 
@@ -257,14 +360,15 @@ def _leaders(size: int, similarity: float) -> Callable:
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, prints: int = COPY_PRINTS, distance: int = COPY_DISTANCE, rounds: int = COPY_ROUNDS) -> DataFrame:
     """docs with one document of each group of copies.
 
-    Texts linked by any of their fingerprints make a component. Its first document, by id (nulls last), leads a group of all
+    Texts linked by any of their fingerprints or by the exact search make a component; texts of that similarity are always in one. Its first document, by id (nulls last), leads a group of all
     those whose sets of shingles have at least that similarity to its own; the rest of the component goes on
     among itself, until nothing is left. So each document that is left out has a like one that stays, and
     a document that is only linked to others by way of third ones isn't left out."""
     q, t = F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.col(text_col))
     kind = docs.select(id_col).dtypes[0][1]
     source = docs.select(F.col(id_col).alias("doc_id"), q.alias("q"), t.alias("t"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
-    found, _ = stored(map_arrow(source, _copy_prints(prints, size), f"doc_id {kind}, q long, t long, n long, fps array<long>"), "copy_prints")
+    marked = _copy_prints(prints, size, frequent_shingles(source, size), similarity)
+    found, _ = stored(map_arrow(source, marked, f"doc_id {kind}, q long, t long, n long, fps array<long>, first array<long>, bits binary"), "copy_prints")
 
     # Of equal texts, only the first takes part. o: the order of documents.
     o = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "q")
@@ -279,7 +383,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     near = met.join(rep("a"), (F.col("r") == F.col("r_a")) & (F.col("a") == F.col("fp_a"))).join(rep("b"), (F.col("r") == F.col("r_b")) & (F.col("b") == F.col("fp_b")))
     shared, _ = stored(by_print.where("n > 1").select(F.col("r").alias("r_"), F.col("fp").alias("fp_"), "rep"), "shared_prints")
     same = each.join(shared, (F.col("r") == F.col("r_")) & (F.col("fp") == F.col("fp_"))).where("node <> rep")
-    of = components(near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(same.select(F.col("node").alias("a"), F.col("rep").alias("b"))))
+    sets = found.select(F.xxhash64("t", "fps").alias("node"), "n", "first", "bits").dropDuplicates(["node"])
+    by_print_links = near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(same.select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    of = components(by_print_links.unionByName(set_links(sets, similarity)))
 
     members, _ = stored(texts.join(of.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_")).select("root", "o", F.col("t").alias("t_"), "n"), "copy_members")
     pool = source.join(members, (F.col("q") == F.col("o.q")) & (F.col("t") == F.col("t_"))).select("root", "o", "t", "n", "raw").dropDuplicates(["o", "t"])

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -143,3 +144,51 @@ def test_near_copies(spark):
     for rounds in (0, 1):
         assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in simhash.near_copies(docs, rounds=rounds).collect()))) == sorted(map(repr, kept))
     assert simhash.near_copies(docs.limit(0)).count() == 0
+
+
+def test_near_copies_finds_every_pair_from_the_least_similarity_on(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    common = [word() for _ in range(30)]
+    rows = []
+    for i in range(150):
+        w = [word() for _ in range(rng.choice([60, 120, 240]))]
+        rows.append((2 * i, " ".join(w + common)))
+        for at in range(len(w)):  # as many changes at the end as leave the pair similar enough
+            copy = " ".join(w[:at] + [word() for _ in range(len(w) - at)] + common)
+            if similarity(rows[-1][1], copy) >= 0.8:
+                break
+        assert similarity(rows[-1][1], copy) < 0.85
+        rows.append((2 * i + 1, copy))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want, sets = [], {}
+    for d, t in rows:
+        mine = shingle_set(t)
+        if not any(len(mine & x) >= 0.8 * len(mine | x) for x in sets.values()):
+            sets[d] = mine
+            want.append(d)
+    assert sorted(r["doc_id"] for r in simhash.near_copies(docs).collect()) == want
+
+
+@pytest.mark.parametrize("block", [3, simhash.SET_BLOCK])
+@pytest.mark.parametrize("known", [False, True])
+def test_set_links_join_all_similar_sets(spark, block, known):
+    rng = random.Random(6)
+    sets = []
+    for n in (1, 2, 5, 30, 64, 70, 400):
+        base = [rng.getrandbits(64) for _ in range(n)]
+        for _ in range(8):
+            sets.append(np.unique(np.array([rng.getrandbits(64) if rng.random() < 0.08 else x for x in base], np.uint64)))
+    often = np.unique(np.concatenate([x[::3] for x in sets]))
+    frequent = (often, np.arange(len(often)) % 5 + 4) if known else (often[:0], often[:0].view(np.int64))
+    rows = [(i, len(x), simhash.prefix(x, frequent, 0.8).view(np.int64).tolist(), bytearray(simhash.parities(x))) for i, x in enumerate(sets)]
+    found = simhash.set_links(spark.createDataFrame(rows, "node long, n long, first array<long>, bits binary"), 0.8, block).collect()
+    got = {i: i for i in range(len(sets))}
+    for r in found:
+        a, b = find(got, r["a"]), find(got, r["b"])
+        got[max(a, b)] = min(a, b)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
+            both = len(np.intersect1d(x, y))
+            if both >= 0.8 * (len(x) + len(y) - both):
+                assert find(got, i) == find(got, j)
