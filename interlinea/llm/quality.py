@@ -22,8 +22,6 @@ from .common import SPACES, fresh, indexes, let, table, words
 
 #: Buckets of the hashed n-grams: the size of the model, whatever the corpus.
 N_BUCKETS = 1 << 15
-#: Trusted documents at most: those with the smallest hashes of their ids. Their ids are broadcast, so this bounds it.
-MAX_TARGET_DOCS = 1 << 16
 #: Pseudo-count of each bucket in either multinomial.
 ALPHA = 1.0
 #: Weights are stored in units of 1 / SCALE.
@@ -36,17 +34,18 @@ def _bucket(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(N_BUCKETS)).cast("int")
 
 
-def target_ids(labels: DataFrame, max_docs: int = MAX_TARGET_DOCS) -> DataFrame:
-    """Ids of trusted documents: labelled of good quality and not toxic; a bounded sample by hash."""
+def target_ids(labels: DataFrame) -> DataFrame:
+    """Ids of trusted documents: all that are labelled of good quality and not toxic."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    return good.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    return good.select("doc_id").distinct()
 
 
 def bucket_counts(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of each bucket in the raw corpus and in the target; one pass, partial sums before the shuffle."""
     ids = target.select(F.col("doc_id").alias("_t"))
-    flagged = docs.select(F.col(id_col).alias("_d"), words(F.col(text_col)).alias("_w")).join(F.broadcast(ids), F.col("_d") == F.col("_t"), "left")
-    each = flagged.select(F.col("_t").isNotNull().cast("long").alias("_g"), "_w", F.posexplode("_w").alias("_i", "_x"))
+    flagged = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_x")).join(ids, F.col("_d") == F.col("_t"), "left")
+    each = flagged.select(F.col("_t").isNotNull().cast("long").alias("_g"), words(F.col("_x")).alias("_w"))
+    each = each.select("_g", "_w", F.posexplode("_w").alias("_i", "_x"))
     follows = F.get("_w", F.col("_i") + 1)
     grams = each.select("_g", F.explode(F.array(_bucket(F.col("_x")), F.when(follows.isNotNull(), _bucket(F.col("_x"), follows)))).alias("bucket"))
     return grams.where(F.col("bucket").isNotNull()).groupBy("bucket").agg(F.count(F.lit(1)).alias("n_raw"), F.sum("_g").alias("n_target"))

@@ -5,6 +5,7 @@ from collections import Counter
 
 import duckdb
 import xxhash
+from pyspark.sql import functions as F
 
 from interlinea.llm import mixture, quality
 
@@ -66,6 +67,14 @@ def test_quality_against_brute_force(spark):
     assert quality.judge(docs.limit(0), quality.fit(docs.limit(0), labels.limit(0)))[0].count() == 0
 
 
+def test_every_trusted_document_counts(spark):
+    n = (1 << 16) + 500
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("word").alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    counts = quality.bucket_counts(docs, quality.target_ids(labels)).collect()
+    assert [(r["n_raw"], r["n_target"]) for r in counts] == [(n, n)]
+
+
 def test_target_sample_is_bounded(spark):
     labels = spark.range(100).selectExpr("id as doc_id", "1 as quality", "0 as toxic")
     ids = quality.target_ids(labels.union(labels), 10).collect()
