@@ -34,10 +34,11 @@ def _bucket(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(N_BUCKETS)).cast("int")
 
 
-def target_ids(labels: DataFrame) -> DataFrame:
-    """Ids of trusted documents: all that are labelled of good quality and not toxic."""
+def target_ids(labels: DataFrame, max_docs: int | None = None) -> DataFrame:
+    """Ids of trusted documents: all that are labelled of good quality and not toxic, or so many of them by hash if a number is given."""
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    return good.select("doc_id").distinct()
+    ids = good.select("doc_id").distinct()
+    return ids if max_docs is None else ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
 
 
 def bucket_counts(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
