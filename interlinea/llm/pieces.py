@@ -1,22 +1,29 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-A model file is compiled into three parts: the normaliser (spaces to U+2581, dummy prefix), the piece
-transducer (a piece's characters in, its id out) and byte fallback (a character without a piece in, the ids
-of its UTF-8 bytes out). They are composed with an input into a lattice of states (place, last piece), and the
-path of least weight in the tropical semiring (min, +) gives the ids.
+A model file is compiled into four machines:
 
-Weights. In a unigram model a piece weighs minus its score. In a BPE model a sequence of pieces is what the merges
-give exactly if each piece and each pair of neighbours is what the merges make of its own characters; so the
-composed machine has a second tape that reads pairs of pieces, at weight 0 where the pair is stable and infinity where it
-isn't. One path of finite weight is left. Pairs are compiled when first met.
+- the normaliser: a transducer of three states (at the start, in the text, after spaces that may be the last ones) that reads
+  spaces and other characters and writes U+2581 for spaces, squeezed and after a dummy prefix if the model says so;
+- the pieces: a trie of characters; an arc that ends a piece may write the piece's id and go back to the start;
+- byte fallback: a character that no piece is made of in, the ids of its UTF-8 bytes out;
+- the pairs: an acceptor of ids whose state is the last piece. In a unigram model it has one state, and pieces weigh minus their
+  score. In a BPE model pieces weigh nothing, and a pair weighs nothing if the merges leave the two pieces side by side, else infinity:
+  a sequence of pieces is what the merges make of its text exactly if all its neighbours are such pairs.
+
+They are composed with each input while the shortest path is searched for: states are (place, last piece), weights are added along
+a path, of paths to a state the least counts (the tropical semiring), and states are settled by growing weight, of equal ones the furthest
+first. Arcs are made when their state is settled and pairs when an arc is taken, so only what the path may need is compiled.
+All weights are made positive first by the same amount for each character, which is the same for all paths.
 
 The input is cut where no piece can reach across (before U+2581 that follows another character, between
 characters that no piece has side by side, round line feeds); shortest paths of the parts join up to the shortest path of the whole,
 and a part met before is taken from a cache of bounded size. A model with pieces across such places isn't cut there.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; U+2581 in a text is a space to the
-model, so it decodes to one; repeated rows are encoded one by one; an empty table gives no rows. Only the id
-and the text columns are read. The model's bytes are broadcast: a vocabulary, whatever the corpus.
+model, so it decodes to one; very long texts are encoded whole, part by part, and a worker holds one text's ids at a time; ties
+between paths go to the longer first piece; repeated rows are encoded one by one; an empty table gives no rows. Only the id and the
+text columns are read, so others may have any names. The model's bytes are broadcast: a vocabulary, whatever the corpus. Models with
+a character map or user-defined symbols are refused.
 """
 
 from __future__ import annotations
@@ -25,23 +32,50 @@ import hashlib
 import math
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import arrow_schema, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Entries of the caches of parts and of pairs in a worker; a full cache is emptied.
-MAX_PARTS, MAX_PAIRS = 1 << 18, 1 << 19
+#: Entries of the caches of parts and of pairs in a worker, about 200 and 100 bytes each; a full cache's entries go unless used again.
+MAX_PARTS, MAX_PAIRS = 1 << 19, 1 << 17
+#: Characters of a part that is cached at most.
+LONGEST_PART = 64
+#: Ids that a worker gathers before it hands them on.
+MAX_IDS = 1 << 20
 #: What byte fallback weighs above the worst piece, in a unigram model.
 PENALTY = 10.0
+#: The last piece at the start and after byte fallback.
+NONE = -1
+
+
+class Recent:
+    """A cache in two generations: what isn't used while a generation fills up is forgotten."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.new, self.old = max(1, most // 2), {}, {}
+
+    def get(self, key):
+        if (value := self.new.get(key)) is None and (value := self.old.get(key)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+    def __len__(self) -> int:
+        return len(self.new) + len(self.old)
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -95,26 +129,33 @@ class Machine:
             raise ValueError("only unigram and BPE models with the identity character map and without user-defined symbols are compiled")
         self.scores = scores
         self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == NORMAL}
-        self.longest = max(map(len, self.ids), default=1)
-        # From the first three characters, the length of the longest piece that begins so; from a piece, the next shorter one.
-        self.reach: dict[str, int] = {}
-        self.shorter: list[int | None] = [None] * (len(self.pieces) + 1)
+        # The trie: from a state by a character to the id that is written there, or NONE, and the next state.
+        self.trie: dict[str, tuple[int, dict]] = {}
         for p, i in self.ids.items():
-            self.reach[p[:3]] = max(self.reach.get(p[:3], 2), len(p))
-            self.shorter[i] = next((j for k in range(len(p) - 1, 0, -1) if (j := self.ids.get(p[:k])) is not None), None)
-        self.length = [*map(len, self.pieces), 1]  # the last is that of byte fallback, -1
+            state = self.trie
+            for c in p[:-1]:
+                state = state.setdefault(c, (NONE, {}))[1]
+            state[p[-1]] = (i, state[p[-1]][1] if p[-1] in state else {})
         self.bytes = [0] * 256
         self.has_bytes = False
         for i, (p, k) in enumerate(zip(self.pieces, self.kinds)):
             if k == BYTE:
                 self.bytes[int(p[3:5], 16)], self.has_bytes = i, True
         self.unknown = self.kinds.index(UNKNOWN) if UNKNOWN in self.kinds else 0
-        self.worst = PENALTY - min((scores[i] for i in self.ids.values()), default=0.0)
-        self.stable_pairs: dict[int, bool] = {}
-        self.stable_one: dict[int, bool] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
+        self.weight, self.fallback_weight = self._weights()
+        self.pairs, self.alone = Recent(MAX_PAIRS), {}
+        self.parts = Recent(MAX_PARTS)
         self.cut = self._cuts()
         self.out = [p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" for p, k in zip(self.pieces, self.kinds)]
+        self.named = list(map(str, range(len(self.pieces))))
+
+    def _weights(self) -> tuple[list[float], float]:
+        """Weights of pieces and of byte fallback, none below zero."""
+        if self.model_type == BPE or not self.ids:
+            return [0.0] * len(self.pieces), 0.0
+        fallback = PENALTY - min(self.scores[i] for i in self.ids.values())
+        lift = max(0.0, -fallback, *(self.scores[i] / len(p) for p, i in self.ids.items()))
+        return [lift * len(p) - x for p, x in zip(self.pieces, self.scores)], fallback + lift
 
     def _cuts(self) -> re.Pattern | None:
         """What the parts of an input look like, from the neighbours that pieces hold: word characters are those that
@@ -134,14 +175,21 @@ class Machine:
         line = "" if any("\n" in x for x in near) else "\n"
         return re.compile(f"{SPACE}*[{w}]+|{SPACE}*[^{w}{SPACE}{line}]+|{SPACE}+" + f"|{line}" * bool(line))
 
-    # ------------------------------------------------------------ the parts
+    # ------------------------------------------------------------ the machines
 
     def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        if not text:
-            return ""
-        return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
+        """The output of the normaliser. Spaces are one symbol and a run of other characters is read at once."""
+        if not self.squeeze:  # all states but the start write alike
+            return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE) if text else ""
+        # (state, whether spaces are read) to (next state, output before what is read); spaces themselves write nothing.
+        start, inside, gap = range(3)
+        first = SPACE if self.dummy_prefix else ""
+        arcs = {(start, True): (start, ""), (start, False): (inside, first), (inside, True): (gap, ""), (inside, False): (inside, ""), (gap, True): (gap, ""), (gap, False): (inside, SPACE)}
+        state, out = start, []
+        for run in re.findall(" +|[^ ]+", text):
+            state, written = arcs[state, run[0] == " "]
+            out += [written, "" if run[0] == " " else run]
+        return "".join(out)
 
     def merged(self, chars: str) -> list[int | None]:
         """The ids that BPE merges make of a short string: the pair of the highest score first, of equals the leftmost."""
@@ -156,27 +204,68 @@ class Machine:
                 return [self.ids.get(p) for p in parts]
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def stable(self, a: int, b: int) -> bool:
-        """Whether the merges leave the pieces a, b side by side; a is -1 at the start and after byte fallback."""
-        if b < 0:
-            return True
-        if a < 0:
-            if (ok := self.stable_one.get(b)) is None:
-                ok = self.stable_one[b] = self.merged(self.pieces[b]) == [b]
-            return ok
-        key = a * len(self.pieces) + b
-        if (ok := self.stable_pairs.get(key)) is None:
-            if len(self.stable_pairs) >= MAX_PAIRS:
-                self.stable_pairs.clear()
-            ok = self.stable_pairs[key] = self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
-        return ok
+    def pair_weight(self, a: int, b: int) -> float:
+        """What the pair machine adds for b after a."""
+        if b == NONE or self.model_type == UNIGRAM:
+            return 0.0
+        known, key = (self.alone, b) if a == NONE else (self.pairs, a * len(self.pieces) + b)
+        if (weight := known.get(key)) is None:
+            before = [] if a == NONE else [a]
+            weight = 0.0 if self.merged("".join(self.pieces[p] for p in [*before, b])) == [*before, b] else math.inf
+            if a == NONE:
+                known[key] = weight  # at most one a piece
+            else:
+                known.put(key, weight)
+        return weight
+
+    def arcs(self, s: str, place: int) -> list[tuple[float, int, int]]:
+        """(weight, minus the end, piece) of the arcs of the pieces and of byte fallback from a place, the lightest first, then the longest."""
+        state, out, end = self.trie, [], -place
+        for c in s[place:] if place else s:
+            if c not in state:
+                break
+            p, state = state[c]
+            end -= 1
+            if p != NONE:
+                out.append((self.weight[p], end, p))
+        if s[place] not in self.ids:
+            out.append((self.fallback_weight, -place - 1, NONE))
+        out.sort()
+        return out
 
     def shortest(self, s: str) -> tuple[int, ...]:
-        """Ids along the path of least weight through the composition of s, pieces, fallback and, for BPE, pairs."""
-        path = self._only_path(s) if self.model_type == BPE else self._least_path(s)
+        """Ids along the path of least weight through the composition of s with the pieces, byte fallback and the pairs."""
+        if not s:
+            return ()
+        bpe, n = self.model_type == BPE, len(s)
+        fans = {0: self.arcs(s, 0)}
+        settled = [(0, NONE, -1, 0.0)]  # place, last piece, the state before, weight
+        weight, end, _ = fans[0][0]
+        queue, seen = [(weight, end, 0, 0)], set()
+        while True:
+            weight, end, at, k = heappop(queue)
+            place, last, _, so_far = settled[at]
+            fan = fans[place]
+            p = fan[k][2]
+            if k + 1 < len(fan):
+                heappush(queue, (so_far + fan[k + 1][0], fan[k + 1][1], at, k + 1))
+            state = (end, p) if bpe else end
+            if state in seen or self.pair_weight(last, p):  # a lighter path has been there; or infinity
+                continue
+            seen.add(state)
+            settled.append((-end, p, at, weight))
+            if -end == n:
+                break
+            if (fan := fans.get(-end)) is None:
+                fan = fans[-end] = self.arcs(s, -end)
+            heappush(queue, (weight + fan[0][0], fan[0][1], len(settled) - 1, 0))
+        path, at = [], len(settled) - 1
+        while at:
+            end, p, at, _ = settled[at]
+            path.append((settled[at][0], end, p))
         out: list[int] = []
-        for start, end, p in path:
-            if p >= 0:
+        for start, end, p in reversed(path):
+            if p != NONE:
                 out.append(p)
             elif self.has_bytes:
                 out += [self.bytes[b] for b in s[start:end].encode("utf-8", "surrogatepass")]
@@ -184,71 +273,18 @@ class Machine:
                 out.append(self.unknown)
         return tuple(out)
 
-    def _least_path(self, s: str) -> list[tuple[int, int, int]]:
-        """Unigram models: one state a place; arcs (start, end, piece) of the shortest path, piece -1 for byte fallback."""
-        at: list[tuple[float, int, int]] = [(0.0, 0, -1)]
-        for end in range(1, len(s) + 1):
-            best = (at[end - 1][0] + self.worst, end - 1, -1) if s[end - 1] not in self.ids else (math.inf, 0, -1)
-            for start in range(max(0, end - self.longest), end):
-                p = self.ids.get(s[start:end])
-                if p is not None and (total := at[start][0] - self.scores[p]) < best[0]:
-                    best = (total, start, p)
-            at.append(best)
-        path, end = [], len(s)
-        while end:
-            _, start, p = at[end]
-            path.append((start, end, p))
-            end = start
-        return path[::-1]
-
-    def _only_path(self, s: str) -> list[tuple[int, int, int]]:
-        """BPE models: weights are zero or infinite, so the first path found to the end is the shortest. The search goes
-        deep first, along the longest piece; states (place, last piece) from which no path leads on are remembered."""
-        pairs, v, n, shorter, length = self.stable_pairs, len(self.pieces), len(s), self.shorter, self.length
-        path: list[tuple[int, int, int]] = []
-        dead: set[tuple[int, int]] = set()
-        place, last, p = 0, -1, self._longest(s, 0)
-        while place < n:
-            while p is not None:
-                if last < 0 or p < 0:
-                    ok = self.stable(last, p)
-                elif (ok := pairs.get(last * v + p)) is None:
-                    ok = self.stable(last, p)
-                if ok and not (dead and (place + length[p], p) in dead):
-                    break
-                p = shorter[p]
-            if p is not None:
-                end = place + length[p]
-                path.append((place, end, p))
-                place, last = end, p
-                p = self._longest(s, place) if place < n else None
-            else:
-                dead.add((place, last))
-                place, _, p = path.pop()
-                last, p = path[-1][2] if path else -1, shorter[p]
-        return path
-
-    def _longest(self, s: str, place: int) -> int:
-        """The longest piece at a place, or -1 for byte fallback of its character."""
-        ids = self.ids
-        for end in range(place + self.reach.get(s[place : place + 3], 2), place, -1):
-            if (p := ids.get(s[place:end])) is not None:
-                return p
-        return -1
-
     # ------------------------------------------------------------ whole texts
 
     def encode(self, text: str | None) -> list[int]:
         s = self.normalise(text or "")
-        parts, out = self.parts, []
+        new, out = self.parts.new, []
         for part in self.cut.findall(s) if self.cut else [s] if s else []:
-            ids = parts.get(part)
-            if ids is None:
-                ids = self.shortest(part)
-                if len(part) <= 256:
-                    if len(parts) >= MAX_PARTS:
-                        parts.clear()
-                    parts[part] = ids
+            if (ids := new.get(part)) is None:
+                if (ids := self.parts.get(part)) is None:
+                    ids = self.shortest(part)
+                    if len(part) <= LONGEST_PART:
+                        self.parts.put(part, ids)
+                new = self.parts.new
             out += ids
         return out
 
@@ -273,37 +309,67 @@ def read_model(path: str = MODEL):
         return f.read()
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), docs.select(id_col).dtypes[0][1]
+
+
 def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids array<int>). The model is read on the driver and broadcast."""
     sent = docs.sparkSession.sparkContext.broadcast(read_model(model))
+    source, kind = _texts(docs, id_col, text_col)
+    ddl = f"doc_id {kind}, ids array<int>"
+    schema = arrow_schema(ddl)
 
-    def batch(b: pa.RecordBatch) -> dict:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(sent.value)
-        each = [np.array(m.encode(t.as_py()), np.int32) for t in b.column(1)]
-        ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
-        return {"doc_id": b.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each), pa.int32()))}
+        for b in batches:
+            first, n, each = 0, 0, []
+            for i, t in enumerate(b.column(1), 1):
+                each.append(np.array(m.encode(t.as_py()), np.int32))
+                n += len(each[-1])
+                if n >= MAX_IDS or i == b.num_rows:
+                    ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
+                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each), pa.int32()))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(first, i - first), ids.cast(schema.field(1).type)], schema=schema)
+                    first, n, each = i, 0, []
 
-    kind = docs.select(id_col).dtypes[0][1]
-    return map_arrow(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), batch, f"doc_id {kind}, ids array<int>")
+    return source.mapInArrow(run, ddl)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, text): the texts that the ids stand for, and a digest of the ids (comma-joined)."""
+    """(doc_id, text): the texts that the ids stand for."""
     sent = encoded.sparkSession.sparkContext.broadcast(read_model(model))
+    ddl = f"doc_id {encoded.select('doc_id').dtypes[0][1]}, text string"
+    schema = arrow_schema(ddl)
 
-    def batch(b: pa.RecordBatch) -> dict:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine(sent.value)
-        ids, ends = b.column(1).values.to_numpy(zero_copy_only=False), b.column(1).offsets.to_numpy()
-        each = [ids[s:e].tolist() for s, e in zip(ends, ends[1:])]
-        return {"doc_id": b.column(0), "n_tokens": np.diff(ends).astype(np.int64), "ids_sha256": [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in each], "text": list(map(m.decode, each))}
+        for b in batches:
+            texts = [m.decode(x.values.to_pylist()) if x.is_valid else "" for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], schema=schema)
+
+    return encoded.select("doc_id", "ids").mapInArrow(run, ddl)
 
-    kind = encoded.select("doc_id").dtypes[0][1]
-    return map_arrow(encoded.select("doc_id", "ids"), batch, f"doc_id {kind}, n_tokens long, ids_sha256 string, text string")
 
+def digest(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_chars, decoded_sha256): each text encoded and its ids decoded again, one text at a
+    time in one set of workers; ids_sha256 is of the comma-joined ids."""
+    sent = docs.sparkSession.sparkContext.broadcast(read_model(model))
+    source, kind = _texts(docs, id_col, text_col)
+    ddl = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_chars long, decoded_sha256 string"
+    schema = arrow_schema(ddl)
 
-def digest(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    back = decode(encode(docs, model), model)
-    return back.select("doc_id", "n_tokens", "ids_sha256", F.length("text").cast("long").alias("decoded_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = machine(sent.value)
+        for b in batches:
+            rows = []
+            for t in b.column(1):
+                ids = m.encode(t.as_py())
+                text = m.decode(ids)
+                rows.append((len(ids), hashlib.sha256(",".join(map(m.named.__getitem__, ids)).encode()).hexdigest(), len(text), hashlib.sha256(text.encode()).hexdigest()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, list(schema)[1:]))], schema=schema)
+
+    return source.mapInArrow(run, ddl)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 import struct
@@ -49,6 +50,20 @@ def test_small_caches_change_nothing(both, monkeypatch):
     assert m.encode(text) == sp.encode(text) and len(m.parts) <= 3
 
 
+@needs_model
+def test_very_long_texts(both, spark, monkeypatch):
+    m, sp = both
+    text = "some words, more words\n" * 20000 + "x" * 5000 + "漢字" * 3000
+    assert m.encode(text) == sp.encode(text)
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")
+    assert {r["doc_id"]: r["ids"] for r in pieces.encode(docs).collect()} == {1: sp.encode(text), 2: sp.encode("short"), 3: []}
+
+
+def test_normaliser_machine():
+    m = unigram({"a": -1.0}, squeeze=1, dummy=1)
+    assert [m.normalise(x) for x in ("", "  ", " a  b ", "a", "a\n  b")] == ["", "", "▁a▁b", "▁a", "▁a\n▁b"]
+
+
 def field(number, kind, value):
     out, n = bytearray(), number << 3 | kind
     for v in [n] + ([len(value)] if kind == 2 else []):
@@ -59,16 +74,20 @@ def field(number, kind, value):
     return bytes(out) + (value if kind != 0 else bytes([value]))
 
 
-def unigram(scores):
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def unigram(scores, squeeze=0, dummy=0):
     model = b""
     for p, s, k in [("<unk>", 0.0, 2)] + [(p, s, 1) for p, s in scores.items()]:
         model += field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, k))
-    return pieces.Machine(model + field(2, 2, field(3, 0, 1)) + field(3, 2, field(3, 0, 0) + field(4, 0, 0)))
+    return pieces.Machine(model + field(2, 2, field(3, 0, 1)) + field(3, 2, field(3, 0, dummy) + field(4, 0, squeeze)))
 
 
 def test_unigram_shortest_path_against_all_paths():
     rng = random.Random(7)
-    scores = {p: -rng.random() * 5 - 1 for p in ["a", "b", "c", "ab", "bc", "abc", "ca", "cab", "bb", "aab"]}
+    scores = {p: 1 - rng.random() * 5 for p in ["a", "b", "c", "ab", "bc", "abc", "ca", "cab", "bb", "aab"]}
     m = unigram(scores)
 
     def best(s):
@@ -89,6 +108,12 @@ def test_frames(spark, both):
     docs = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, ids int")
     back = pieces.decode(pieces.encode(docs)).collect()
     assert len(back) == len(rows)
+    digests = sorted(map(repr, pieces.digest(docs.select("doc_id", "text")).collect()))
+    assert len(digests) == len(rows) and pieces.digest(docs.limit(0)).count() == 0
+    for r in pieces.digest(docs).where("doc_id is not null").collect():
+        ids = both[1].encode(TEXTS[r["doc_id"]])
+        text = both[1].decode(ids)
+        assert tuple(r)[1:] == (len(ids), sha(",".join(map(str, ids))), len(text), sha(text))
     for r in back:
         assert (r["text"] == both[1].decode(both[1].encode(TEXTS[r["doc_id"]]))) if r["doc_id"] is not None else r["text"] == ""
     assert pieces.encode(docs.limit(0)).count() == 0
