@@ -50,10 +50,14 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
+    """The folder that all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own, as
+    in tests; on a cluster that would be a folder of one machine, so it is an error there."""
     conf = spark.sparkContext.getConf()
     if named := conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not (own := getattr(shared_dir, "own", None)):
         own = shared_dir.own = f"file://{tempfile.mkdtemp(prefix='interlinea-')}"
     return own
@@ -78,6 +82,20 @@ def stored(df: DataFrame, name: str = "step") -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def sieve(hashes: DataFrame, bits: int = 21) -> Callable[[Column], Column]:
+    """A test of long hashes: true for all in the table (h) and, while these are fewer than its bits, for few others.
+
+    It holds 2^bits bits whatever the table, so above that it lets everything through: it saves shuffles and decides nothing."""
+    place = lambda h: F.pmod(h, F.lit(1 << bits))
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), place(h).bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda h: F.call_function("shiftright", place(h), F.lit(6)).cast("int")
+    of = [0] * max(1, (1 << bits) // 64)
+    for r in hashes.groupBy(word(F.col("h")).alias("w")).agg(F.bit_or(bit(F.col("h"))).alias("m")).collect():
+        of[r["w"]] = r["m"]
+    held = F.split(F.lit(",".join(map(str, of))), ",").cast("array<bigint>")
+    return lambda h: F.get(held, word(h)).bitwiseAND(bit(h)) != 0
+
+
 # ---------------------------------------------------------------- Arrow streams
 
 

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, fresh, indexes, let, table, words
+from .common import SPACES, fresh, indexes, let, sieve, table, words
 
 #: Buckets of the hashed n-grams: the size of the model, whatever the corpus.
 N_BUCKETS = 1 << 15
@@ -42,10 +42,15 @@ def target_ids(labels: DataFrame, max_docs: int | None = None) -> DataFrame:
 
 
 def bucket_counts(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts of each bucket in the raw corpus and in the target; one pass, partial sums before the shuffle."""
+    """Counts of each bucket in the raw corpus and in the target; partial sums before the shuffle.
+
+    Only documents that a sieve doesn't prove to be outside the target are shuffled, to be joined with its ids."""
     ids = target.select(F.col("doc_id").alias("_t"))
-    flagged = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_x")).join(ids, F.col("_d") == F.col("_t"), "left")
-    each = flagged.select(F.col("_t").isNotNull().cast("long").alias("_g"), words(F.col("_x")).alias("_w"))
+    may_be = sieve(ids.select(F.xxhash64("_t").alias("h")))
+    each = docs.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_x"), may_be(F.xxhash64(F.col(id_col))).alias("_m"))
+    met = each.where("_m").join(ids.hint("merge"), F.col("_d") == F.col("_t"), "left")
+    flagged = each.where("NOT _m").select(F.lit(0).cast("long").alias("_g"), "_x").unionByName(met.select(F.col("_t").isNotNull().cast("long").alias("_g"), "_x"))
+    each = flagged.select("_g", words(F.col("_x")).alias("_w"))
     each = each.select("_g", "_w", F.posexplode("_w").alias("_i", "_x"))
     follows = F.get("_w", F.col("_i") + 1)
     grams = each.select("_g", F.explode(F.array(_bucket(F.col("_x")), F.when(follows.isNotNull(), _bucket(F.col("_x"), follows)))).alias("bucket"))
