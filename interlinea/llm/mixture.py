@@ -11,9 +11,10 @@ Curriculum: source s has the schedule w_s(t) = target_s * (1 + c_s * (2 t - 1))
 to 1. Its integral up to t is the words of s that are trained on by then; inverting it gives each copy
 of a document its position, the time at which the words before it have been used up.
 
-Defined cases: null text has size 0; null source is a source, the last; null ids are hashed as the
-empty string; sources without words get target 0; rows that are repeated count one by one and may
-get the same or neighbouring positions; an empty table gives an empty plan.
+Defined cases: null text has size 0; null source is a source, the last; null ids are ordered by their texts; sources without
+words get target 0; rows equal in id are ordered by size and text, so reruns agree; rows that are repeated count one by one and may
+get the same or neighbouring positions; very long texts count whole; an empty table gives an empty plan. mix() carries all
+columns, whatever their names. Sources are one row each where targets are found, so a window over all of them is one task.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, stored, table, words
+from .common import stored, table, words
 
 MAX_EPOCHS = 3
 #: Hash buckets of a source in the two-step prefix sums: hex digits of the id's MD5.
@@ -43,7 +44,7 @@ def targets(sizes: DataFrame) -> DataFrame:
     s = s.withColumn("level", F.min(F.when(free, F.struct("capped", "left_weight"))).over(everything))
     share = ((F.col("all_words") - F.col("level.capped")) * F.col("weight")).cast("double") / F.col("level.left_weight").cast("double")
     cap = (MAX_EPOCHS * F.col("source_size")).cast("double")
-    return s.select("source", "source_size", "weight", F.when(free, share).otherwise(cap).alias("target"))
+    return s.select(*sizes.columns, "weight", F.when(free, share).otherwise(cap).alias("target"))
 
 
 def slope(weight: Column) -> Column:
@@ -57,16 +58,19 @@ def position(q: Column, target: Column, c: Column) -> Column:
     return F.when(target > 0, 2.0 * u / ((1.0 - c) + F.sqrt((1.0 - c) * (1.0 - c) + 4.0 * c * u)))
 
 
-def plan(sized: DataFrame) -> DataFrame:
-    """A row for each of (doc_id, source, size): target, copies, taken and the positions of the copies."""
-    keyed = sized.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("b", F.substring("h", 1, BUCKET_DIGITS))
-    sums = keyed.groupBy("source", "b").agg(F.sum("size").alias("n"))
-    goal = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")))
-    upto = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    heads = sums.withColumn("head", F.coalesce(F.sum("n").over(upto), F.lit(0)))
-    heads = heads.join(goal.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).select(F.col("source").alias("s1"), F.col("b").alias("b1"), "head", "source_size", "weight", "target")
-    inside = Window.partitionBy("source", "b").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = keyed.withColumn("inner", F.sum("size").over(inside)).join(heads, F.col("source").eqNullSafe(F.col("s1")) & (F.col("b") == F.col("b1")))
+def plan(sized: DataFrame, *carried: str) -> DataFrame:
+    """A row for each of sizes(): target, copies, taken and the positions of the copies, and the columns carried along.
+
+    Rows move once, to their bucket of a source; what is joined to them there are the sums of buckets."""
+    named = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # equal for equal sources, never null
+    keyed = sized.withColumn("s", named).withColumn("b", F.substring("h", 1, BUCKET_DIGITS))
+    sums = keyed.groupBy("s", "b").agg(F.sum("size").alias("n"), F.min("source").alias("source"))
+    goal = targets(sums.groupBy("s").agg(F.min("source").alias("source"), F.sum("n").alias("source_size")))
+    upto = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    heads = sums.select("s", "b", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("head"))
+    heads = heads.join(goal.select(F.col("s").alias("s2"), "source_size", "weight", "target"), F.col("s") == F.col("s2")).select(F.col("s").alias("s1"), F.col("b").alias("b1"), "head", "source_size", "weight", "target")
+    inside = Window.partitionBy("s", "b").orderBy("h", "doc_id", "size", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = keyed.withColumn("inner", F.sum("size").over(inside)).join(heads, (F.col("s") == F.col("s1")) & (F.col("b") == F.col("b1")))
     end = F.col("head") + F.col("inner")
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
@@ -74,28 +78,26 @@ def plan(sized: DataFrame) -> DataFrame:
     d = d.withColumn("end", end).withColumn("epochs", epochs).withColumn("copies", F.col("epochs") + extra.cast("long"))
     used = lambda e: e * F.col("source_size") + F.col("end") - F.col("size")
     times = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda e: position(used(e), F.col("target"), slope(F.col("weight"))))
-    return d.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.when(F.col("copies") > 0, times).otherwise(F.array().cast("array<double>")).alias("positions"))
+    return d.select("doc_id", "source", "size", "t", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.when(F.col("copies") > 0, times).otherwise(F.array().cast("array<double>")).alias("positions"), *carried)
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"))
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *carried: Column) -> DataFrame:
+    """(doc_id, source, size, h, t): h orders the documents of a source, t those with one h. Null ids are ordered by their texts."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    h = F.md5(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.md5(text))))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), h.alias("h"), F.xxhash64(F.col(text_col)).alias("t"), *carried)
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mixed corpus: every copy of every document that is taken, range-sorted by position; the columns of docs.
 
-    Rows with the same id and text are one document each; they are told apart by their place among the equal ones."""
-    at, no = fresh(docs, "position"), fresh(docs, "row_no")
-    sized, _ = stored(sizes(docs), "sizes")
-    # Equal ids and sizes are interchangeable: the n-th planned row of them goes to the n-th document.
-    pair = lambda *k: F.row_number().over(Window.partitionBy(*k).orderBy(F.lit(1)))
-    planned = plan(sized).where(F.col("copies") > 0).select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"), "positions")
-    planned = planned.withColumn("p_no", pair("p_id", "p_source", "p_size"))
-    size_name = fresh(docs, "n_words")
-    numbered = docs.withColumn(size_name, F.size(words(F.col("text"))).cast("long")).withColumn(no, pair("doc_id", "source", size_name))
-    same = F.col("doc_id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col(size_name) == F.col("p_size")) & (F.col(no) == F.col("p_no"))
-    taken = numbered.join(planned, same).withColumn(at, F.explode("positions"))
-    return taken.orderBy(at, "doc_id").select(*docs.columns)
+    Texts are shuffled twice: to their bucket, where a document gets its positions, and to their part of the training time. The words
+    of all sources are taken nearly evenly over that time, so its ranges are equal stretches of it and nothing is sampled."""
+    planned = plan(sizes(docs, "doc_id", "text", "source", F.struct(*docs.columns).alias("row")), "row")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    taken = planned.select("doc_id", "t", "row", F.explode("positions").alias("at"))
+    dealt = taken.repartitionById(n, F.least(F.floor(F.col("at") * n), F.lit(n - 1)).cast("int"))
+    return dealt.sortWithinPartitions("at", "doc_id", "t").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,7 +109,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+         md5(coalesce(CAST(doc_id AS VARCHAR), 'null ' || md5(coalesce(text, '')))) AS h
   FROM documents),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM s0),

@@ -145,3 +145,15 @@ def test_mix_gives_each_copy(spark):
         by_size[d, len(SPLIT.findall(t or "")), s] += n
     assert by_size == Counter({k: v for k, v in want.items() if v})
     assert mixture.mix(docs.limit(0)).count() == 0
+
+
+def test_mix_is_in_order_and_the_same_in_reruns(spark):
+    rows = mixed_rows() + [(9000 + i // 2, f"{i} b c", "s1") for i in range(40)] + [(None, f"{i} x", "s2") for i in range(40)]
+    schema = "doc_id long, text string, source string"
+    runs = [[tuple(r) for r in mixture.mix(spark.createDataFrame(x, schema).repartition(k)).collect()] for k, x in ((3, rows), (5, rows[::-1]))]
+    assert runs[0] == runs[1]
+    first = {}
+    for r in mixture.plan(mixture.sizes(spark.createDataFrame(rows, schema))).collect():
+        if r["positions"]:
+            first[r["doc_id"], r["t"]] = min(r["positions"])
+    assert len({k for k in first if k[0] is None}) > 20  # rows without an id are told apart
