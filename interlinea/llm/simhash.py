@@ -7,15 +7,17 @@ wiped out (64 keys a fingerprint, whatever d is). Pairs that meet under a key ar
 checked in full. Only distinct fingerprints take part, and a dense bucket gives a spanning forest of its
 links rather than all pairs. A bucket above BLOCK fingerprints is dealt out as pairs of blocks.
 
-near_duplicates() links by fingerprints alone. near_copies() takes the links of several wider fingerprints as candidates, adds
-those of an exact search, and holds texts against the least document of their group by their sets of shingles, so that only
+near_duplicates() links by fingerprints alone. near_copies() takes the links of fingerprints of wider shingles as candidates, adds
+those of an exact search, and holds texts against those that lead their component by their sets of shingles, so that only
 true copies are one and all of them are found. The exact search is a prefix filter: in any one order of all shingles, two sets
 of similarity s share a shingle among the first n - ceil(s n) + 1 of each. Its order puts shingles that are frequent in a sample
 last, which only saves time. Sets that meet are linked unless the parities of their hashes prove them unlike.
 
 Defined cases: null text is empty; a text without words has fingerprint zero and is linked like any other;
-fewer words than a shingle are one shingle; a group whose ids are all null has a null component; repeated rows are
-in one group; an empty table gives no rows. Only the id and the text columns are read.
+fewer words than a shingle are one shingle; very long texts are hashed whole, in pieces of bounded size; ties between copies go to the
+least id, nulls last, then to the least hash; a group whose ids are all null has a null component; repeated rows are
+in one group; an empty table gives no rows. near_duplicates() reads the id and the text columns only; near_copies() carries
+all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import arrow_schema, fresh, grouped, map_arrow, remove, runs, stored, table
+from .common import arrow_schema, fresh, grouped, map_arrow, remove, runs, sieve, stored, table
 from .graph import components
 from .passages import _mix
 
@@ -39,13 +41,13 @@ SHINGLE = 3
 DISTANCE = 3
 #: For near_copies: words of a shingle, least similarity, and the fingerprints and their distance that give candidates.
 COPY_SHINGLE, COPY_SIMILARITY = 5, 0.8
-COPY_PRINTS, COPY_DISTANCE = 2, 7
+COPY_PRINTS, COPY_DISTANCE = 1, 3
 #: The order of shingles: one of so many documents is sampled, shingles that so many of those hold are frequent, and at most so many are told to all tasks.
 ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST = 16, 4, 1 << 20
 #: Sets under a shingle that one task compares at most, against as many others.
 SET_BLOCK = 1 << 11
-#: Rounds of leaders that are joined to their components; what is left then is streamed through one task a component.
-COPY_ROUNDS = 3
+#: Texts of a block of a component in which leaders are found, and of the blocks that are compared in pairs where that doesn't end.
+GROUP, PAIR_BLOCK = 1 << 6, 1 << 9
 #: Distinct fingerprints of a bucket that one task compares at most, against as many others.
 BLOCK = 1 << 15
 #: Buckets up to this size are compared together; in a larger one, links are a forest if there are more than this a member.
@@ -177,13 +179,13 @@ def _links(distance: int) -> Callable:
 def links(fps: DataFrame, block: int = BLOCK, distance: int = DISTANCE) -> DataFrame:
     """(r, a, b): links within the distance that join exactly what all such links join; fps holds distinct (r, fp), r a small
     number that says which fingerprint of a document it is."""
-    keys = index_keys(fps, distance)
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = index_keys(fps.repartition(n, "fp"), distance)  # each row becomes 64, so rows are dealt out evenly before
     often = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("k", "k2")
     met = keys.join(often, F.col("k") == F.col("k2")).select("k", "fp", F.ceil(F.col("n") / block).cast("int").alias("s"))
     own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
     dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     dealt = dealt.select("k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "fp").mapInArrow(_links(distance), "r int, a long, b long").distinct()
 
 
@@ -192,9 +194,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     prints, _ = stored(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    distinct, distinct_path = stored(distinct, "distinct_fingerprints")
     found = components(links(distinct.select(F.lit(0).alias("r"), "fp")).select("a", "b"))
     rooted = distinct.join(found.withColumnRenamed("node", "fp2"), F.col("fp") == F.col("fp2"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted, _ = stored(rooted, "rooted")
+    remove(spark, distinct_path)
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "root2")
     of = rooted.join(named, F.col("root") == F.col("root2")).select(F.col("fp").alias("fp2"), "component_id")
     return prints.join(of, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
@@ -246,12 +250,14 @@ def _copy_prints(prints: int, size: int, frequent: tuple[np.ndarray, np.ndarray]
     """The number of a text's distinct shingles, fingerprints of their set, each from hashes of its own, its prefix and parities."""
 
     def batch(b: pa.RecordBatch) -> dict:
-        n, fps, first, bits = [], [], [], []
-        for t in b.column(3):
+        n, fps, first, bits, seen = [], [], [], [], set()
+        for t, its in zip(b.column(3), b.column(2).to_pylist()):
             h = np.unique(shingle_hashes(t.as_py(), size))
             n.append(len(h))
             fps.append(np.array([majority(h if not r else _mix(h + np.uint64(r))) for r in range(prints)], np.uint64).view(np.int64))
-            first.append(prefix(h, frequent, similarity).view(np.int64))
+            # Of equal texts side by side, one is searched for.
+            first.append((h[:0] if its in seen else prefix(h, frequent, similarity)).view(np.int64))
+            seen.add(its)
             bits.append(parities(h))
         lists = pa.list_(pa.int64())
         return {"doc_id": b.column(0), "q": b.column(1), "t": b.column(2), "n": n, "fps": pa.array(fps, lists), "first": pa.array(first, lists), "bits": bits}
@@ -259,13 +265,47 @@ def _copy_prints(prints: int, size: int, frequent: tuple[np.ndarray, np.ndarray]
     return batch
 
 
-def _repeated(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, node) whose k has more than one, with the size of the group; rows come sorted by k."""
-    for t in grouped(batches, 1):
-        t = t.combine_chunks()
-        ends = runs([t.column(0).to_numpy()])
-        size = np.repeat(np.diff(ends), np.diff(ends))
-        yield from t.append_column("s", pa.array(size)).filter(pa.array(size > 1)).to_batches()
+def _repeated(block: int) -> Callable:
+    """Rows (k, node) whose k has more than one node, with the number of their block of the group; rows come sorted by both.
+
+    A group of more blocks than one is ended by a row without a node that tells their number. Groups aren't held in memory."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k0, node0, n0, waiting = None, None, 0, False  # the last row, its number in its group, and whether it may be the only one
+        for b in batches:
+            k, node = (b.column(i).to_numpy() for i in range(2))
+            if not len(k):
+                continue
+            new = np.append(k0 is None or k[0] != k0 or node[0] != node0, (k[1:] != k[:-1]) | (node[1:] != node[:-1]))
+            k, node = k[new], node[new]
+            if not len(k):
+                continue
+            ends = runs([k])
+            size, first = np.diff(ends), int(k0 is not None and k[0] == k0) and n0
+            at = np.arange(len(k)) - np.repeat(ends[:-1], size)
+            at[: size[0]] += first
+            alone = np.repeat(np.append(size[0] + first, size[1:]) == 1, size)
+            out_k, out_node, out_own = [k[~alone]], [node[~alone]], [at[~alone] // block]
+            if waiting and first:
+                out_k.append(np.array([k0]))
+                out_node.append(np.array([node0]))
+                out_own.append(np.zeros(1, np.int64))
+            total = np.append(size[0] + first, size[1:])
+            closed_k, closed_n = k[ends[:-1]][:-1], total[:-1]
+            if k0 is not None and not first:
+                closed_k, closed_n = np.append(closed_k, k0), np.append(closed_n, n0)
+            large = closed_n > block
+            k0, node0, n0, waiting = k[-1], node[-1], int(total[-1]), bool(alone[-1])
+            yield from rows(np.concatenate(out_k), np.concatenate(out_node), np.concatenate(out_own))
+            yield from rows(closed_k[large], None, -(-closed_n[large] // block))
+        if n0 > block:
+            yield from rows(np.array([k0]), None, np.array([-(-n0 // block)]))
+
+    def rows(k: np.ndarray, node: np.ndarray | None, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(k):
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.nulls(len(k), pa.int64()) if node is None else pa.array(node, pa.int64()), pa.array(own, pa.int32())], ["k", "node", "own"])
+
+    return run
 
 
 def _set_links(similarity: float) -> Callable:
@@ -298,130 +338,158 @@ def _set_links(similarity: float) -> Callable:
 
 
 def set_links(sets: DataFrame, similarity: float = COPY_SIMILARITY, block: int = SET_BLOCK) -> DataFrame:
-    """(a, b): links that join at least all nodes whose sets have that similarity; sets holds distinct (node, n, first, bits)."""
-    spark = sets.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = sets.select(F.explode("first").alias("k"), "node").repartition(n, "k").sortWithinPartitions("k")
-    met, _ = stored(keys.mapInArrow(_repeated, "k long, node long, s long"), "copy_prefixes")
-    s = F.ceil(F.col("s") / block).cast("int")
-    dealt = met.select("k", "node", s.alias("s"), F.pmod(F.xxhash64("node"), s).cast("int").alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    """(a, b): links that join at least all nodes whose sets have that similarity; sets holds (node, n, first, bits), where rows of
+    one node agree but for empty firsts."""
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = sets.select(F.explode("first").alias("k"), "node").repartition(n, "k").sortWithinPartitions("k", "node")
+    met, _ = stored(keys.mapInArrow(_repeated(block), "k long, node long, own int"), "copy_prefixes")
+    large = met.where("node IS NULL").select(F.col("k").alias("k_"), F.col("own").alias("s"))
+    dealt = met.where("node IS NOT NULL").join(large, F.col("k") == F.col("k_"), "left").select("k", "node", "own", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1)).alias("other"))
     dealt = dealt.select("k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("node").alias("node_"))
+    sets = sets.select("node", "n", "bits").dropDuplicates(["node"])
     whole = dealt.join(sets.select("node", "n", "bits"), F.col("node_") == F.col("node")).select("k", "lo", "hi", "node", "n", "bits")
     return whole.repartition(n, "k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "node").mapInArrow(_set_links(similarity), "a long, b long").distinct()
 
 
-def _unlike(size: int, similarity: float, schema: pa.Schema) -> Callable:
-    """Rows whose sets of shingles aren't that similar to the leader's; a null leader is unlike."""
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both) - 1e-9
+
+
+def _leaders(size: int, similarity: float, schema: pa.Schema) -> Callable:
+    """Rows (root, block, o, t, many, raw) that are unlike all leaders before them in their block; rows come sorted by the first four."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, its = None, np.zeros(0, np.uint64)
+        now, led = None, []
         for b in batches:
-            rest = np.ones(b.num_rows, bool)
-            for i, (mine, leader) in enumerate(zip(b.column(4), b.column(5))):
-                if not leader.is_valid:
-                    continue
-                leader = leader.as_py()
-                if leader != last:
-                    last, its = leader, np.unique(shingle_hashes(leader, size))
-                h = np.unique(shingle_hashes(mine.as_py(), size))
-                both = len(np.intersect1d(h, its, assume_unique=True))
-                rest[i] = both < similarity * (len(h) + len(its) - both)
-            if rest.any():
-                yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(rest)) for i in range(5)], schema=schema)
+            stays = np.zeros(b.num_rows, bool)
+            for i, (root, block, raw) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(5))):
+                if (root, block) != now:
+                    now, led = (root, block), []
+                h = np.unique(shingle_hashes(raw.as_py(), size))
+                if not any(_alike(h, x, similarity) for x in led):
+                    led.append(h)
+                    stays[i] = True
+            if stays.any():
+                yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(stays)) for i in (0, 2, 3, 4, 5)], schema=schema)
 
     return run
 
 
-def _leaders(size: int, similarity: float) -> Callable:
-    """Leaders of each component, from rows (root, q, raw) in order: those that are unlike all leaders before them."""
+def _later(size: int, similarity: float, schema: pa.Schema) -> Callable:
+    """(q_, t_) of rows that are like an earlier one of the same pair of blocks; rows (root, lo, hi, o, t, own, raw) come sorted."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, led = None, []
+        now, before = None, ([], [])
         for b in batches:
-            q = []
-            for root, own, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                if root != now:
-                    now, led = root, []
+            gone = np.zeros(b.num_rows, bool)
+            for i, (root, lo, hi, own, raw) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 2, 5)), b.column(6))):
+                if (root, lo, hi) != now:
+                    now, before = (root, lo, hi), ([], [])
                 h = np.unique(shingle_hashes(raw.as_py(), size))
-                for x in led:
-                    if min(len(h), len(x)) >= similarity * max(len(h), len(x)):
-                        both = len(np.intersect1d(h, x, assume_unique=True))
-                        if both >= similarity * (len(h) + len(x) - both):
-                            break
-                else:
-                    led.append(h)
-                    q.append(own)
-            if q:
-                yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64())], ["q_"])
+                gone[i] = any(_alike(h, x, similarity) for x in before[own == lo if lo != hi else 0])
+                before[own == hi if lo != hi else 0].append(h)
+            if gone.any():
+                o = b.column(3).filter(pa.array(gone))
+                yield pa.RecordBatch.from_arrays([o.field(2), b.column(4).filter(pa.array(gone))], schema=schema)
 
     return run
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, prints: int = COPY_PRINTS, distance: int = COPY_DISTANCE, rounds: int = COPY_ROUNDS) -> DataFrame:
+def leaders(pool: DataFrame, size: int, similarity: float, block: int, pair_block: int) -> DataFrame:
+    """(q_, t_) of the rows of pool(root, o, t, raw) that stay.
+
+    A component is dealt by hash into blocks; in each, a row that is like an earlier leader goes. What is left of components of several
+    blocks is dealt anew until that helps no more; then its blocks are compared in pairs, and a row that is like an earlier one goes.
+    So no task sees more than a block or two, and each row that goes is tied by like ones to one that stays."""
+    spark = pool.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ddl = f"root long, o {dict(pool.dtypes)['o']}, t long, many boolean, raw binary"
+    step, done, before, now, turn = _leaders(size, similarity, arrow_schema(ddl)), [], None, 0, 0
+    while True:
+        large, large_path = stored(pool.groupBy(F.col("root").alias("root_")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block), "copy_sizes")
+        sized = pool.join(large, F.col("root") == F.col("root_"), "left")
+        if before is not None and now > before * 0.9:
+            break
+        own = F.pmod(F.xxhash64("o", "t", F.lit(turn)), F.coalesce(F.ceil(F.col("c") / block), F.lit(1)))
+        keyed = sized.select("root", own.alias("b"), "o", "t", F.col("c").isNotNull().alias("many"), "raw")
+        left, path = stored(keyed.repartition(n, "root", "b").sortWithinPartitions("root", "b", "o", "t").mapInArrow(step, ddl), "copy_leaders")
+        done.append(left.where("NOT many").select(F.col("o.q").alias("q_"), F.col("t").alias("t_")))
+        remove(spark, large_path)
+        pool, before, now = left.where("many").select("root", "o", "t", "raw"), now if turn else None, left.where("many").count()
+        turn += 1
+        if not now:
+            return functools.reduce(DataFrame.unionByName, done)
+    s = F.coalesce(F.ceil(F.col("c") / pair_block), F.lit(1)).cast("int")
+    dealt = sized.withColumn("s", s).withColumn("own", F.pmod(F.xxhash64("o", "t"), F.col("s")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
+    dealt = dealt.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "o", "t", "own", "raw")
+    ddl = "q_ long, t_ long"
+    gone = dealt.repartition(n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "o", "t").mapInArrow(_later(size, similarity, arrow_schema(ddl)), ddl)
+    gone, _ = stored(gone.distinct(), "copy_later")
+    return functools.reduce(DataFrame.unionByName, done, pool.select(F.col("o.q").alias("q_"), F.col("t").alias("t_")).join(gone, ["q_", "t_"], "left_anti"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, prints: int = COPY_PRINTS, distance: int = COPY_DISTANCE, block: int = GROUP, pair_block: int = PAIR_BLOCK) -> DataFrame:
     """docs with one document of each group of copies.
 
-    Texts linked by any of their fingerprints or by the exact search make a component; texts of that similarity are always in one. Its first document, by id (nulls last), leads a group of all
-    those whose sets of shingles have at least that similarity to its own; the rest of the component goes on
-    among itself, until nothing is left. So each document that is left out has a like one that stays, and
-    a document that is only linked to others by way of third ones isn't left out."""
+    Texts linked by their fingerprints or by the exact search make a component; texts of that similarity are always in one. In it, by id
+    (nulls last), a document goes if its set of shingles has at least that similarity to that of one before it that leads; see leaders() for
+    large components. So no two that stay are like each other, each that goes is tied by like ones to one that stays, and a document that
+    is only linked to unlike ones isn't left out."""
+    spark = docs.sparkSession
+    paths = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        out, path = stored(df, name)
+        paths.append(path)
+        return out
+
     q, t = F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.col(text_col))
     kind = docs.select(id_col).dtypes[0][1]
     source = docs.select(F.col(id_col).alias("doc_id"), q.alias("q"), t.alias("t"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
     marked = _copy_prints(prints, size, frequent_shingles(source, size), similarity)
-    found, _ = stored(map_arrow(source, marked, f"doc_id {kind}, q long, t long, n long, fps array<long>, first array<long>, bits binary"), "copy_prints")
+    found = kept(map_arrow(source, marked, f"doc_id {kind}, q long, t long, n long, fps array<long>, first array<long>, bits binary"), "copy_prints")
 
     # Of equal texts, only the first takes part. o: the order of documents.
     o = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "q")
-    texts, _ = stored(found.groupBy("n", "t", "fps").agg(F.min(o).alias("o")).withColumn("node", F.xxhash64("t", "fps")), "copy_texts")
+    texts = kept(found.groupBy("n", "t", "fps").agg(F.min(o).alias("o")).withColumn("node", F.xxhash64("t", "fps")), "copy_texts")
     each = texts.select("node", F.posexplode("fps").alias("r", "fp"))
-    by_print, _ = stored(each.groupBy("r", "fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")), "by_print")
-    met, _ = stored(links(by_print.select("r", "fp"), BLOCK, distance), "copy_links")
+    by_print = kept(each.groupBy("r", "fp").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")), "by_print")
+    met = kept(links(by_print.select("r", "fp"), BLOCK, distance), "copy_links")
 
     def rep(c: str) -> DataFrame:
         return by_print.select(F.col("r").alias(f"r_{c}"), F.col("fp").alias(f"fp_{c}"), F.col("rep").alias(f"rep_{c}"))
 
     near = met.join(rep("a"), (F.col("r") == F.col("r_a")) & (F.col("a") == F.col("fp_a"))).join(rep("b"), (F.col("r") == F.col("r_b")) & (F.col("b") == F.col("fp_b")))
-    shared, _ = stored(by_print.where("n > 1").select(F.col("r").alias("r_"), F.col("fp").alias("fp_"), "rep"), "shared_prints")
+    shared = kept(by_print.where("n > 1").select(F.col("r").alias("r_"), F.col("fp").alias("fp_"), "rep"), "shared_prints")
     same = each.join(shared, (F.col("r") == F.col("r_")) & (F.col("fp") == F.col("fp_"))).where("node <> rep")
-    sets = found.select(F.xxhash64("t", "fps").alias("node"), "n", "first", "bits").dropDuplicates(["node"])
     by_print_links = near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(same.select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    sets = found.select(F.xxhash64("t", "fps").alias("node"), "n", "first", "bits")
     of = components(by_print_links.unionByName(set_links(sets, similarity)))
 
-    members, _ = stored(texts.join(of.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_")).select("root", "o", F.col("t").alias("t_"), "n"), "copy_members")
-    pool = source.join(members, (F.col("q") == F.col("o.q")) & (F.col("t") == F.col("t_"))).select("root", "o", "t", "n", "raw").dropDuplicates(["o", "t"])
-    pool, path = stored(pool, "copy_pool")
-    ddl = f"root long, o {dict(pool.dtypes)['o']}, t long, n long, raw binary"
-    leading = []
-    for _ in range(rounds):
-        if pool.isEmpty():
-            break
-        first = F.min_by(F.struct("o", "n", "raw"), F.struct("o", "t")).alias("l")
-        leaders, _ = stored(pool.groupBy(F.col("root").alias("root_")).agg(first), "copy_leaders")
-        leading.append(leaders.select(F.col("l.o.q").alias("q_")))
-        alike = F.least("n", "l.n") >= F.lit(similarity) * F.greatest("n", "l.n")
-        met = pool.join(leaders, F.col("root") == F.col("root_")).where(F.col("o") != F.col("l.o"))
-        met = met.select("root", "o", "t", "n", "raw", F.when(alike, F.col("l.raw")).alias("l_raw"))
-        rest, rest_path = stored(met.mapInArrow(_unlike(size, similarity, arrow_schema(ddl)), ddl), "copy_pool")
-        remove(docs.sparkSession, path)
-        pool, path = rest, rest_path
-
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rest = pool.repartition(n_parts, "root").sortWithinPartitions("root", "o", "t").select("root", "o.q", "raw")
-    last, _ = stored(rest.mapInArrow(_leaders(size, similarity), "q_ long"), "copy_leaders")
-    leading.append(last)
-
-    # Documents that go, or that have repeated rows; the others pass without a shuffle of their texts where these are few.
-    led = functools.reduce(DataFrame.unionByName, leading)
-    gone = members.select(F.col("o.q").alias("q_"), "t_").join(led, "q_", "left_anti")
+    members = kept(texts.join(of.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_")).select("root", "o", F.col("t").alias("t_")), "copy_members")
+    may_be = sieve(members.select(F.col("o.q").alias("h")))
+    pool = source.where(may_be(F.col("q"))).join(members.hint("merge"), (F.col("q") == F.col("o.q")) & (F.col("t") == F.col("t_"))).select("root", "o", "t", "raw")
+    led = leaders(kept(pool, "copy_pool"), size, similarity, block, pair_block)
+
+    # Documents that go, or that have repeated rows.
+    gone = members.select(F.col("o.q").alias("q_"), "t_").join(led, ["q_", "t_"], "left_anti")
     staying = texts.select(F.col("o.q").alias("q_"), F.col("t").alias("t_"), F.lit(True).alias("first")).join(gone, ["q_", "t_"], "left_anti")
     counted = found.groupBy("q", "t").agg(F.count(F.lit(1)).alias("c"))
     marks = counted.join(staying, (F.col("q") == F.col("q_")) & (F.col("t") == F.col("t_")), "left").where("first IS NULL OR c > 1")
     marks, _ = stored(marks.select(F.col("q").alias("q_"), F.col("t").alias("t_"), F.col("first").isNotNull().alias("stays")), "copy_marks")
+    for path in paths:
+        remove(spark, path)
     q_, t_, s_ = (fresh(docs, c) for c in ("mark_q", "mark_t", "mark_no"))
     marks = marks.select(F.col("q_").alias(q_), F.col("t_").alias(t_), "stays")
     here = (q == F.col(q_)) & (t == F.col(t_))
-    once = docs.join(marks, here, "left_anti")
-    again = docs.join(marks.where("stays").drop("stays"), here).withColumn(s_, F.row_number().over(Window.partitionBy(q_, t_).orderBy(q_))).where(F.col(s_) == 1)
+    once = docs.join(marks.hint("merge"), here, "left_anti")
+    repeated = marks.where("stays").drop("stays")
+    if repeated.isEmpty():
+        return once
+    again = docs.join(repeated, here).withColumn(s_, F.row_number().over(Window.partitionBy(q_, t_).orderBy(q_))).where(F.col(s_) == 1)
     return once.unionByName(again.select(*docs.columns))
 
 

@@ -4,7 +4,6 @@ import re
 from collections import Counter
 
 import pytest
-import xxhash
 from test_graph_simhash import shingle_set
 from test_quality_mixture import SPLIT, counts, grams
 
@@ -12,19 +11,6 @@ from interlinea.llm import mixture, pieces, pipeline, quality, suffix_array
 from interlinea.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
-ALL = (1 << 64) - 1
-
-
-def slow_prints(shingles):
-    h = [xxhash.xxh64_intdigest(" ".join(x), 42) for x in shingles]
-    out = []
-    for r in range(2):
-        if r:
-            h = [x + r & ALL for x in h]
-            for f in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 1):
-                h = [(x ^ x >> 33) * f & ALL for x in h]
-        out.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
-    return out
 
 
 @pytest.mark.skipif(not (os.path.exists(SF) and os.path.exists(pieces.MODEL)), reason="no test data here")
@@ -55,22 +41,11 @@ def test_stages_against_brute_force(spark):
             kept[d] = r
     assert {r["doc_id"]: r.asDict() for r in outs[0].collect()} == kept
 
-    # SimHash: of each component of linked texts, the first leads those that are like it, and so on among the rest.
+    # SimHash: a document goes if it is like one before it that stays.
     sets = {d: shingle_set(r["text"]) for d, r in kept.items()}
-    prints = {d: slow_prints(x) for d, x in sets.items()}
-    group = {d: d for d in kept}
-    linked = [(a, b) for a in kept for b in kept if a < b and any((x ^ y).bit_count() <= 7 for x, y in zip(prints[a], prints[b]))]
-    changed = True
-    while changed:
-        changed = False
-        for a, b in linked:
-            if group[a] != group[b]:
-                group[a] = group[b] = min(group[a], group[b])
-                changed = True
-    single, leaders = {}, {}
+    single = {}
     for d in sorted(kept):
-        if not any(len(sets[d] & sets[x]) >= 0.8 * len(sets[d] | sets[x]) for x in leaders.setdefault(group[d], [])):
-            leaders[group[d]].append(d)
+        if not any(len(sets[d] & sets[x]) >= 0.8 * len(sets[d] | sets[x]) for x in single):
             single[d] = kept[d]
     assert len(single) < len(kept)
     assert {r["doc_id"]: r.asDict() for r in outs[1].collect()} == single
