@@ -34,7 +34,7 @@ BLOCK = 1 << 14
 #: Contexts, or those of one anchor if they are more, whose words a worker has in memory at once.
 PART = 1 << 11
 #: Words whose hashes a worker remembers.
-MAX_WORDS = 1 << 18
+MAX_WORDS = 1 << 17
 #: Windows whose anchors are found at once.
 CHUNK = 1 << 14
 _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
@@ -107,6 +107,7 @@ def _places(length: int, gram: int, schema: pa.Schema) -> Callable:
             rows = pa.array(np.repeat(np.arange(b.num_rows), sizes))
             cols = [np.concatenate([p[i] for p in parts if p]) for i in range(5)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), b.column(0).take(rows), b.column(1).take(rows), *(pa.array(c, pa.int32()) for c in cols[2:])], schema=schema)
+        _hashes.clear()  # the worker lives on
 
     return run
 

@@ -33,7 +33,7 @@ import math
 import re
 import struct
 from collections.abc import Iterable, Iterator
-from heapq import heappop, heappush
+from heapq import heappop, heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +46,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Entries of the caches of parts and of pairs in a worker, about 200 and 100 bytes each; a full cache's entries go unless used again.
-MAX_PARTS, MAX_PAIRS = 1 << 19, 1 << 17
+#: Entries of the caches of parts and of pairs in a worker, about 170 and 100 bytes each; a full cache's entries go unless used again.
+MAX_PARTS, MAX_PAIRS = 3 << 17, 1 << 18
 #: Characters of a part that is cached at most.
 LONGEST_PART = 64
 #: Ids that a worker gathers before it hands them on.
@@ -148,6 +148,7 @@ class Machine:
         self.cut = self._cuts()
         self.out = [p.replace(SPACE, " ").encode() if k in (NORMAL, USER) else bytes([int(p[3:5], 16)]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" for p, k in zip(self.pieces, self.kinds)]
         self.named = list(map(str, range(len(self.pieces))))
+        self.packed = np.dtype("<u2" if len(self.pieces) <= 1 << 16 else "<u4")  # ids as they are cached and joined
 
     def _weights(self) -> tuple[list[float], float]:
         """Weights of pieces and of byte fallback, none below zero."""
@@ -230,34 +231,43 @@ class Machine:
                 out.append((self.weight[p], end, p))
         if s[place] not in self.ids:
             out.append((self.fallback_weight, -place - 1, NONE))
-        out.sort()
+        if len(out) > 1:
+            out.sort()
         return out
 
-    def shortest(self, s: str) -> tuple[int, ...]:
+    def shortest(self, s: str) -> list[int]:
         """Ids along the path of least weight through the composition of s with the pieces, byte fallback and the pairs."""
         if not s:
-            return ()
-        bpe, n = self.model_type == BPE, len(s)
-        fans = {0: self.arcs(s, 0)}
+            return []
+        bpe, n, pairs = self.model_type == BPE, len(s), self.pairs
+        v, arcs, pair_weight = len(self.pieces), self.arcs, self.pair_weight
+        fan = arcs(s, 0)
+        fans = {0: fan}
         settled = [(0, NONE, -1, 0.0)]  # place, last piece, the state before, weight
-        weight, end, _ = fans[0][0]
-        queue, seen = [(weight, end, 0, 0)], set()
+        queue, seen = [(fan[0][0], fan[0][1], 0, 0)], set()
         while True:
-            weight, end, at, k = heappop(queue)
+            weight, end, at, k = queue[0]
             place, last, _, so_far = settled[at]
             fan = fans[place]
             p = fan[k][2]
             if k + 1 < len(fan):
-                heappush(queue, (so_far + fan[k + 1][0], fan[k + 1][1], at, k + 1))
+                heapreplace(queue, (so_far + fan[k + 1][0], fan[k + 1][1], at, k + 1))
+            else:
+                heappop(queue)
             state = (end, p) if bpe else end
-            if state in seen or self.pair_weight(last, p):  # a lighter path has been there; or infinity
+            if state in seen:  # a lighter path has been there
+                continue
+            # A pair weighs 0 or infinity; those met lately are looked up here.
+            if (pair := pairs.new.get(last * v + p) if last != NONE else None) is None:
+                pair = pair_weight(last, p)
+            if pair:
                 continue
             seen.add(state)
             settled.append((-end, p, at, weight))
             if -end == n:
                 break
             if (fan := fans.get(-end)) is None:
-                fan = fans[-end] = self.arcs(s, -end)
+                fan = fans[-end] = arcs(s, -end)
             heappush(queue, (weight + fan[0][0], fan[0][1], len(settled) - 1, 0))
         path, at = [], len(settled) - 1
         while at:
@@ -271,22 +281,22 @@ class Machine:
                 out += [self.bytes[b] for b in s[start:end].encode("utf-8", "surrogatepass")]
             else:
                 out.append(self.unknown)
-        return tuple(out)
+        return out
 
     # ------------------------------------------------------------ whole texts
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None) -> np.ndarray:
         s = self.normalise(text or "")
-        new, out = self.parts.new, []
+        new, out, packed = self.parts.new, [], self.packed
         for part in self.cut.findall(s) if self.cut else [s] if s else []:
             if (ids := new.get(part)) is None:
                 if (ids := self.parts.get(part)) is None:
-                    ids = self.shortest(part)
+                    ids = np.array(self.shortest(part), packed).tobytes()
                     if len(part) <= LONGEST_PART:
                         self.parts.put(part, ids)
                 new = self.parts.new
-            out += ids
-        return out
+            out.append(ids)
+        return np.frombuffer(b"".join(out), packed)
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")
@@ -325,11 +335,11 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
         for b in batches:
             first, n, each = 0, 0, []
             for i, t in enumerate(b.column(1), 1):
-                each.append(np.array(m.encode(t.as_py()), np.int32))
+                each.append(m.encode(t.as_py()))
                 n += len(each[-1])
                 if n >= MAX_IDS or i == b.num_rows:
                     ends = np.cumsum([0, *map(len, each)], dtype=np.int32)
-                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each), pa.int32()))
+                    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each).astype(np.int32)))
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(first, i - first), ids.cast(schema.field(1).type)], schema=schema)
                     first, n, each = i, 0, []
 
@@ -364,7 +374,7 @@ def digest(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
         for b in batches:
             rows = []
             for t in b.column(1):
-                ids = m.encode(t.as_py())
+                ids = m.encode(t.as_py()).tolist()
                 text = m.decode(ids)
                 rows.append((len(ids), hashlib.sha256(",".join(map(m.named.__getitem__, ids)).encode()).hexdigest(), len(text), hashlib.sha256(text.encode()).hexdigest()))
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, list(schema)[1:]))], schema=schema)
