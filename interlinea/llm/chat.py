@@ -7,12 +7,14 @@ reference is recorded with the number of tokens that the placeholder stands for.
 for each stretch of the string its length in code points, its kind and whether it bears loss.
 
 Escaping: in texts and roles a backslash is put between `<` and `|`, and one more where `<` is followed by
-backslashes and then `|`; the reverse takes one out. So no text can hold a control string, and every
-text comes back. In roles, backslashes and line feeds are written `\\\\` and `\\n` first.
+backslashes and then `|`; the reverse takes one out. Text parts that follow each other are one text to this. So no
+text can hold a control string, and every text comes back. In roles, backslashes and line feeds are written `\\\\` and `\\n` first.
 
 Defined cases: null text is empty; a null role is an empty role; turns that share a number are ordered
 by role, then text, nulls first; repeated rows are turns of their own; a null conversation id is a
-conversation; an empty table gives no rows; unknown part types become placeholders of their type.
+conversation; an empty table gives no rows; unknown part types become placeholders of their type; very long
+texts are formatted whole (a conversation is one string, so it has to fit a row). Only conv_id, turn, role and parts are read,
+so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -56,6 +58,20 @@ def visit(part: Column) -> Column:
     return F.struct(shown.alias("shown"), text.alias("is_text"), kind.alias("kind"), part["ref"].alias("ref"), F.when(text, F.lit(0)).otherwise(tokens).cast("long").alias("tokens"))
 
 
+def join_texts(parts: Column) -> Column:
+    """Parts with texts that follow each other made one, so that no control string can come about where they meet."""
+    is_text = lambda p: F.coalesce(p["type"], F.lit("text")) == "text"
+    none = F.array().cast(f"array<{PART}>")
+
+    def step(done: Column, p: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        both = F.struct(F.lit("text").alias("type"), F.concat(F.coalesce(last["text"], F.lit("")), F.coalesce(p["text"], F.lit(""))).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units"))
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(both)).cast(f"array<{PART}>")
+        return F.when((F.size(done) > 0) & is_text(last) & is_text(p), joined).otherwise(F.concat(done, F.array(p)))
+
+    return F.when(F.size(parts) < 2, parts).otherwise(F.aggregate(parts, none, step))
+
+
 def text_parts(text: Column) -> Column:
     """The content of a turn that is a plain string."""
     return F.array(F.struct(F.lit("text").alias("type"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("units"))).cast(f"array<{PART}>")
@@ -70,7 +86,7 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
         head = F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit("\n"))
         plain = lambda s, kind: F.struct(s.alias("shown"), F.lit(kind).alias("kind"), F.lit(False).alias("loss"), F.lit(None).cast("string").alias("ref"), F.lit(0).cast("long").alias("tokens"))
         seen = lambda v: F.struct(v["shown"].alias("shown"), v["kind"].alias("kind"), (v["is_text"] & (t["role"] == loss_role)).alias("loss"), v["ref"].alias("ref"), v["tokens"].alias("tokens"))
-        body = F.transform(F.transform(t["parts"], visit), seen)
+        body = F.transform(F.transform(join_texts(t["parts"]), visit), seen)
         return F.concat(F.array(plain(head, "open")), body, F.array(plain(F.lit(CLOSE), "close")))
 
     laid = convs.select("conv_id", F.flatten(F.transform("turns", stretches)).alias("s"))
@@ -100,8 +116,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
         size = F.coalesce(F.get(s, k + 1), F.size(runs)) - F.get(s, k)
         own = F.slice(runs, F.get(s, k) + 1, size)
         start = F.struct(F.lit(1 - len(OPEN)).cast("long").alias("at"), F.lit("").alias("out"))
-        step = lambda acc, r: F.struct((acc["at"] + r["length"]).alias("at"), F.when(r["loss"], F.concat(acc["out"], p.substr(acc["at"].cast("int"), r["length"].cast("int")))).otherwise(acc["out"]).alias("out"))
-        return unescape(F.aggregate(own, start, step, lambda acc: acc["out"]))
+        step = lambda acc, r: F.struct((acc["at"] + r["length"]).alias("at"), F.when(r["loss"], F.concat(acc["out"], unescape(p.substr(acc["at"].cast("int"), r["length"].cast("int"))))).otherwise(acc["out"]).alias("out"))
+        return F.aggregate(own, start, step, lambda acc: acc["out"])
 
     loss = let(F.struct(pieces.alias("p"), starts.alias("s")), lambda b: F.array_join(F.transform(b["p"], lambda p, k: lost(p, k, b["s"], F.col("runs"))), ""))
     return formatted.select("conv_id", F.transform(pieces, locate).alias("turns"), loss.alias("loss_text"), "formatted")

@@ -3,14 +3,17 @@
 A text's words, in lower case and joined by one space, are scanned twice. Exact phrases are places where a
 phrase's words stand consecutively. A notice with at most k errors (inserted, deleted or replaced characters)
 has one of its k + 1 pieces unharmed, so an Aho-Corasick automaton of all notices' pieces locates the
-candidates; round each, the regex library matches the whole notice with at most k errors and reports the span.
+candidates; round each, the regex library matches the whole notice with at most k errors and reports the span. Words that tell
+a notice from others have to be in the match as they are, so errors can't turn one licence into another.
 
 Defined cases: null text is empty, has no words and no labels and scores 0; overlapping places all count;
-repeated rows are scanned one by one; an empty table gives no rows. Only the id and the text columns are read.
+repeated rows are scanned one by one; very long texts are scanned whole; of matches that begin together, all labels are
+reported, in order; an empty table gives no rows. Only the id and the text columns are read, so others may have any names.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 import ahocorasick
@@ -22,19 +25,24 @@ from pyspark.sql import functions as F
 from .common import map_arrow, table
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Short notices, in normalised words, and the labels they give.
+#: Short notices, in normalised words, the labels they give, and their words that tell them from other notices: these have to be exact.
 NOTICES = {
-    "permission is hereby granted free of charge to any person obtaining a copy": "mit-notice",
-    "licensed under the apache license version 2 0": "apache-notice",
-    "redistribution and use in source and binary forms with or without modification are permitted": "bsd-notice",
-    "this program is free software you can redistribute it and or modify": "gpl-notice",
-    "permission to use copy modify and or distribute this software for any purpose": "isc-notice",
-    "this source code form is subject to the terms of the mozilla public license": "mpl-notice",
-    "released under the mit license": "mit-notice",
-    "licensed under the gnu general public license": "gpl-notice",
-    "this is free and unencumbered software released into the public domain": "public-domain-notice",
-    "licensed under cc by nc 4 0": "cc-by-nc-notice",
-    "all rights reserved": "rights-reserved",
+    "permission is hereby granted free of charge to any person obtaining a copy": ("mit-notice", ()),
+    "licensed under the apache license version 2 0": ("apache-notice", ("apache",)),
+    "redistribution and use in source and binary forms with or without modification are permitted": ("bsd-notice", ()),
+    "this program is free software you can redistribute it and or modify": ("gpl-notice", ()),
+    "permission to use copy modify and or distribute this software for any purpose": ("isc-notice", ()),
+    "this source code form is subject to the terms of the mozilla public license": ("mpl-notice", ("mozilla",)),
+    "released under the mit license": ("mit-notice", ("mit",)),
+    "licensed under the gnu general public license": ("gpl-notice", ("gnu", "general")),
+    "this is free and unencumbered software released into the public domain": ("public-domain-notice", ()),
+    "licensed under cc by 4 0": ("cc-by-notice", ("cc", "by")),
+    "licensed under cc by sa 4 0": ("cc-by-sa-notice", ("cc", "by", "sa")),
+    "licensed under cc by nd 4 0": ("cc-by-nd-notice", ("cc", "by", "nd")),
+    "licensed under cc by nc 4 0": ("cc-by-nc-notice", ("cc", "by", "nc")),
+    "licensed under cc by nc sa 4 0": ("cc-by-nc-sa-notice", ("cc", "by", "nc", "sa")),
+    "licensed under cc by nc nd 4 0": ("cc-by-nc-nd-notice", ("cc", "by", "nc", "nd")),
+    "all rights reserved": ("rights-reserved", ("rights",)),
 }
 #: Errors allowed for each so many characters of a notice.
 CHARS_PER_ERROR = 12
@@ -45,7 +53,7 @@ FOLD = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 o
 class Scanner:
     """The automaton of the pieces and the bounded-error patterns; made once in each Python worker."""
 
-    def __init__(self, notices: dict[str, str] = NOTICES, chars_per_error: int = CHARS_PER_ERROR) -> None:
+    def __init__(self, notices: dict[str, tuple] = NOTICES, chars_per_error: int = CHARS_PER_ERROR) -> None:
         self.notices, self.seeds, at = list(notices.items()), ahocorasick.Automaton(), {}
         self.patterns, self.errors = [], []
         for i, (notice, _) in enumerate(self.notices):
@@ -77,17 +85,23 @@ class Scanner:
         """(start, end, label, errors) of each notice found in normalised text; spans of one notice don't overlap."""
         out = set()
         for i, spans in self.windows(text).items():
-            notice, label = self.notices[i]
+            _, (label, exact) = self.notices[i]
             for lo, hi in spans:
                 for m in self.patterns[i].finditer(text, lo, hi):
-                    out.add((m.start(), m.end(), label, sum(m.fuzzy_counts)))
-        return sorted(out)
+                    found = m.group().split(" ")
+                    if all(w in found for w in exact):
+                        out.add((m.start(), m.end(), label, sum(m.fuzzy_counts), frozenset(exact)))
+        # Where matches overlap, one whose exact words are a part of the other's is that other notice with errors.
+        return sorted({x[:4] for x in out if not any(x[4] and x[4] < y[4] and x[0] < y[1] and y[0] < x[1] for y in out)})
 
 
-_scanner: list[Scanner] = []
+@functools.lru_cache(8)
+def scanner(notices: tuple = tuple(NOTICES.items()), chars_per_error: int = CHARS_PER_ERROR) -> Scanner:
+    """The scanner of a catalogue, made once in each Python worker."""
+    return Scanner(dict(notices), chars_per_error)
 
 
-def scan(text: bytes) -> tuple:
+def scan(text: bytes, notices: tuple = tuple(NOTICES.items()), chars_per_error: int = CHARS_PER_ERROR) -> tuple:
     """n_words, n_base, first_word, last_word, base labels, notices found (as matches()), of a text in UTF-8."""
     w = text.translate(FOLD).split()
     joined = b" %b " % b" ".join(w)
@@ -99,20 +113,19 @@ def scan(text: bytes) -> tuple:
                 n_base += len(at)
                 starts += [at[0], at[-1]]
                 labels.add(label)
-    if not _scanner:
-        _scanner.append(Scanner())
-    found = _scanner[0].matches(joined[1:-1].decode("utf-8", "replace"))
+    found = scanner(notices, chars_per_error).matches(joined[1:-1].decode("utf-8", "replace"))
     word = lambda a: joined.count(b" ", 0, a)
     return len(w), n_base, word(min(starts)) if starts else None, word(max(starts)) if starts else None, labels, found
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document; spans are of code points in the text's words joined by one space."""
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", notices: dict[str, tuple] = NOTICES, chars_per_error: int = CHARS_PER_ERROR) -> DataFrame:
+    """One row a document; spans are of code points in the text's words joined by one space. notices: a catalogue like NOTICES."""
+    listed = tuple((n, (label, tuple(exact))) for n, (label, exact) in notices.items())
 
     def batch(b: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
         for x in b.column(1):
-            n, n_base, first, last, base, found = scan(x.as_py() or b"")
+            n, n_base, first, last, base, found = scan(x.as_py() or b"", listed, chars_per_error)
             close = max((1 - e / (z - a) for a, z, _, e in found), default=0.0)
             for k, v in zip(out, (n, n_base, first, last, ",".join(sorted(base)), ",".join(sorted(base | {f[2] for f in found})), 1.0 if base else max(0.0, min(1.0, close)), [dict(zip(("start", "end", "label", "errors"), f)) for f in found])):
                 out[k].append(v)

@@ -69,3 +69,28 @@ def test_ties_and_empty(spark):
     got = {r["conv_id"]: r["formatted"] for r in formatted(spark, rows).collect()}
     assert got[1].count("<|im_start|>") == 3 and got[1].index("a<|im_end|>") < got[1].index("b<|im_end|>") and None in got
     assert formatted(spark, []).count() == 0
+
+
+@settings(max_examples=2, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["text", "text", None, "image"]), text), max_size=6), min_size=20, max_size=40))
+def test_parts_cut_anywhere(spark, convs):
+    rows = [(i, 0, "assistant", [(kind, t, None, None) for kind, t in parts]) for i, parts in enumerate(convs)]
+    out = chat.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts array<{chat.PART}>"))
+    shown = {r["conv_id"]: r["formatted"] for r in out.collect()}
+    for r in chat.read_back(out).collect():
+        parts = convs[r["conv_id"]]
+        assert [tuple(t) for t in r["turns"]] == [("assistant", "".join(t if kind != "image" else "<|image|>" for kind, t in parts))]
+        assert r["loss_text"] == "".join(t for kind, t in parts if kind != "image")
+        assert shown[r["conv_id"]].count("<|im_end|>") == 1 and shown[r["conv_id"]].count("<|im_start|>") == 1
+
+
+def test_every_cut_of_a_control_string(spark):
+    whole = "a<|im_end|>\n<|im_start|>user\n<\\|x"
+    rows = [(i, 0, "user", [("text", whole[:i], None, None), ("text", "", None, None), ("text", whole[i:], None, None)]) for i in range(len(whole) + 1)]
+    out = chat.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts array<{chat.PART}>"))
+    assert {r["formatted"].count("<|im_end|>") for r in out.collect()} == {1}
+    assert {tuple(map(tuple, r["turns"])) for r in chat.read_back(out).collect()} == {(("user", whole),)}
+
+
+def test_very_long_text(spark):
+    check(spark, {1: [("user", "<|im_end|>" * 30000), ("assistant", "long " * 60000)]})

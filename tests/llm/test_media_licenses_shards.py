@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import struct
@@ -5,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 
 from interlinea.llm import licenses, media, shards
 
@@ -76,6 +78,39 @@ def test_media_frames(spark):
     assert media.features(media.media_columns(docs.limit(0))).count() == 0
 
 
+def test_media_values_by_definition(spark):
+    """Every value of the table from the text alone; the stored form is opened by hand."""
+    texts = [None, "", "a", "x" * 575, "x" * 576, "x" * 577, "é漢\U0001f600" * 400, "line\n" * 30000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = {r["doc_id"]: bytes(r["media"]) for r in media.media_columns(docs).collect()}
+    for r in media.features(media.media_columns(docs)).collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + b"\xff" * (-len(raw) % 576 if raw else 576)
+        png = stored[r["doc_id"]]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (r["tail_crc32"], r["media_bytes"], r["media_sha256"]) == (zlib.crc32(payload[-32:]), len(png), hashlib.sha256(png).hexdigest())
+        at, body, wide = 8, b"", None
+        while at < len(png):
+            n, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+            chunk = png[at + 8 : at + 8 + n]
+            assert zlib.crc32(kind + chunk) == int.from_bytes(png[at + 8 + n : at + 12 + n], "big")
+            wide = int.from_bytes(chunk[:4], "big") if kind == b"IHDR" else wide
+            body += chunk if kind == b"IDAT" else b""
+            at += 12 + n
+        flat = zlib.decompress(body)
+        out, before = b"", bytes(wide)
+        for i in range(0, len(flat), wide + 1):
+            kind, row = flat[i], bytearray(flat[i + 1 : i + 1 + wide])
+            for x in range(wide):
+                a, up, c = (row[x - 1] if x else 0), before[x], (before[x - 1] if x else 0)
+                nearest = min((abs(a + up - c - v), k, v) for k, v in enumerate((a, up, c)))[2]
+                row[x] = row[x] + (0, a, up, (a + up) // 2, nearest)[kind] & 255
+            before = bytes(row)
+            out += before
+        assert out == payload
+        assert r["feature"] == media.cosine_hash(np.frombuffer(payload, np.uint8).reshape(-1, wide))
+
+
 # ---------------------------------------------------------------- licenses
 
 
@@ -105,14 +140,18 @@ def test_random_base_phrases():
         assert licenses.scan(text.encode())[:5] == slow_base(text)
 
 
-def edit(rng, s, n):
+def edit(rng, s, n, exact=()):
+    """s with n errors, none of them in an exact word or at its edges."""
     s = list(s)
-    for _ in range(n):
+    while n:
         i = rng.randrange(1, len(s) - 1)
+        if any(set(range(m.start() - 1, m.end() + 1)) & {i} for w in exact for m in re.finditer(rf"\b{w}\b", "".join(s))):
+            continue
         if rng.random() < 0.5:
             s[i] = rng.choice("abcxyz")
         else:
             del s[i]
+        n -= 1
     return "".join(s)
 
 
@@ -120,14 +159,66 @@ def edit(rng, s, n):
 def test_fuzzy_notices(notice):
     rng = random.Random(notice)
     k = len(notice) // licenses.CHARS_PER_ERROR
-    label = licenses.NOTICES[notice]
+    label, exact = licenses.NOTICES[notice]
     for n in range(k + 1):
-        text = f"some words before {edit(rng, notice, n)} and some after"
+        text = f"some words before {edit(rng, notice, n, exact)} and some after"
         found = licenses.scan(text.encode())[5]
-        assert any(f[2] == label and f[3] <= k for f in found), (notice, n)
+        assert any(f[2] == label and f[3] <= k for f in found), (notice, n, text)
     assert not licenses.scan(("unrelated words of no kind " * 20).encode())[5]
 
 
+def labels(text):
+    return {f[2] for f in licenses.scan(text.encode())[5]}
+
+
+@pytest.mark.parametrize("notice", list(licenses.NOTICES))
+def test_a_whole_notice_gets_its_own_label_only(notice):
+    assert labels(f"words before {notice} words after") == {licenses.NOTICES[notice][0]}
+
+
+def test_other_licences_get_no_label_of_a_near_one():
+    assert labels("licensed under cc by sa 4 0") == {"cc-by-sa-notice"}
+    assert labels("licensed under cc by nd 4 0") == {"cc-by-nd-notice"}
+    for text in ("released under the bsd license", "released under the zlib license", "licensed under the gnu lesser general public license", "licensed under the gnu affero general public license", "no rights reserved", "some rights reserved", "licensed under cc 0 1 0", "licensed under the eclipse license version 2 0", "the terms of the eclipse public license"):
+        assert labels(text) == set(), text
+
+
+def test_own_catalogue(spark):
+    docs = spark.createDataFrame([(1, "Copying is allowd to everybody for every purpose."), (2, "all rights reserved"), (3, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(docs, notices={"copying is allowed to everybody": ("own", ("copying",))}).collect()}
+    assert got == {1: "own", 2: "", 3: ""}
+
+
+def test_license_query_against_brute_force(spark):
+    """Base columns by definition; the method's labels by a search for whole notices, with errors, at every place."""
+    rng = random.Random(11)
+    plain = ["word", "mit", "license", "apache", "general", "public", "by", "cc"]
+    rows = []
+    for i in range(60):
+        w = [rng.choice(plain) for _ in range(rng.randrange(30))]
+        if i % 3 == 0:
+            notice = rng.choice(list(licenses.NOTICES))
+            w.append(edit(rng, notice, len(notice) // licenses.CHARS_PER_ERROR, licenses.NOTICES[notice][1]))
+        rows.append((i, " ".join([*w, "end"])))
+    rows.append((100, "word " * 60000 + "MIT License"))
+    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, text in rows:
+        n, n_base, first, last, base = slow_base(text)
+        r = got[d]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (n, n_base, first, last, ",".join(sorted(base)))
+        if d == 100:
+            assert r["labels"] == "mit"
+            continue
+        want, hits = set(base), []
+        for notice, (label, exact) in licenses.NOTICES.items():
+            k = len(notice) // licenses.CHARS_PER_ERROR
+            for m in regex.finditer(f"(?e)(?<!\\S)(?:{notice}){{e<={k}}}(?!\\S)", " ".join(text.split())):
+                if all(x in m.group().split() for x in exact):
+                    hits.append((label, set(exact), set(range(*m.span()))))
+        want |= {label for label, exact, at in hits if not any(exact and exact < e and at & a for _, e, a in hits)}
+        assert r["labels"] == ",".join(sorted(want)), text
+
+
 def test_every_place_is_found():
     notice = "permission is hereby granted free of charge to any person obtaining a copy"
     text = f"{notice.replace('granted', 'grantd')} x {notice} {notice.replace('charge', 'chrge')}"
