@@ -8,9 +8,10 @@ the words to the left and have enough in common to the right hold the same windo
 
 Of each repeated window one place stays, the first by (id, place); words covered by a later one are removed.
 
-Defined cases: null text is empty and stays; texts of fewer than LENGTH words stay; rows equal in id and text are one
-document, so neither is a repeat of the other; null ids come first; an empty table gives no rows. All columns
-of the input are carried through dedup(), whatever their names.
+Defined cases: null text is empty and stays; texts of fewer than LENGTH words stay; very long texts are cut into words whole, one
+at a time; rows equal in id and text are one document, so neither is a repeat of the other; of places with one id the least
+text hash is first; null ids come first; an empty table gives no rows. All columns of the input are carried through dedup(), whatever
+their names.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ def sparse_array(group: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.n
 def decide(c: Contexts) -> np.ndarray:
     """For each context a bit for each window that an earlier context holds too; contexts come in the order of their places."""
     m, length = len(c.n), c.length
-    group = np.cumsum(np.append(True, c.anchor[1:] != c.anchor[:-1])).astype(np.int32)
+    group = c.group
     wide = max(len(w) - o for w, o in zip(c.words, c.o))
     right, left = np.full((m, wide), -2, np.int32), np.full((m, int(c.o.max()) + 1), -1, np.int32)
     for i, (w, o) in enumerate(zip(c.words, c.o)):

@@ -1,16 +1,19 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
-The suffixes of all texts are split into groups by content-chosen parts of their first words: suffixes that agree in their first
-LENGTH words agree in the anchor among these (see passages), so equal ones meet in one group. A group above the bound
-has its prefixes lengthened to LENGTH words, where what is left in a group is one deep node. Each other group gets a
-suffix tree in memory, built from its sorted suffixes and the lengths that neighbours have in common; the leaves below
-its internal nodes of depth LENGTH or more are the repeats. A leaf that stands for several places is such a node itself.
+The suffixes of all texts are split into groups by a part of their first words, of variable length: first by the anchor among
+their first LENGTH words (see passages), so that suffixes that agree in these meet in one group whatever stands before. A group above the
+bound has its prefixes lengthened, to a fifth, a half and at last to all LENGTH words, until its groups fit into memory.
+Each group gets a suffix tree, built from its sorted suffixes, which go on to the end of their context, and the lengths that
+neighbours have in common. Its internal nodes of depth LENGTH or more are repeats that can't go on to the right in all their places;
+with different words, or none, before them they are maximal. The leaves below these nodes are the repeated places. A leaf that
+stands for several places is such a node itself, and so is a group of which all suffixes are the same.
 
 A word is removed if it is covered by a window of LENGTH consecutive words of its document whose word sequence also
-starts anywhere else, in any document. Windows are judged on the input.
+starts anywhere else, in any document. Windows are judged on the input. passages.spans() gives the passages themselves.
 
-Defined cases: null text is empty and loses nothing; texts of fewer than LENGTH words lose nothing; rows that are
-repeated are places of their own, so their windows are repeated; null ids are allowed; an empty table gives no rows.
+Defined cases: null text is empty and loses nothing; texts of fewer than LENGTH words lose nothing; very long texts are cut into
+words whole, one at a time; rows that are repeated are places of their own, so their windows are repeated, and no order of places
+matters; null ids are allowed; an empty table gives no rows. Only the id and the text columns are read, so others may have any names.
 """
 
 from __future__ import annotations
@@ -39,27 +42,51 @@ def nodes(lcp: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def deep_leaves(lcp: np.ndarray, depth: int) -> np.ndarray:
-    """Which leaves lie below an internal node of at least that depth: those of the tree cut at depth, without its upper part."""
+    """Which leaves lie below an internal node of at least that depth."""
     under = np.zeros(len(lcp) + 1, bool)
-    for _, first, last in nodes(np.where(lcp >= depth, lcp, 0)):
-        under[first : last + 1] = True
+    for d, first, last in nodes(lcp):
+        if d >= depth:
+            under[first : last + 1] = True
     return under
 
 
-def decide(c: Contexts) -> np.ndarray:
-    """For each context a bit for each window: whether its words are found at another place."""
-    length = c.length
+def tree(c: Contexts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The suffixes of at least the least length of all contexts: owner and start of each, their order, and what neighbours share."""
     owner = np.repeat(np.arange(len(c.n)), c.n)
     which = np.concatenate([np.arange(n) for n in c.n])
-    suffixes = np.concatenate([np.lib.stride_tricks.sliding_window_view(w, length) for w in c.words])
-    group = np.cumsum(np.append(True, c.anchor[1:] != c.anchor[:-1])).astype(np.int32)
-    keyed = np.empty((len(suffixes), length + 1), ">i4")
-    keyed[:, 0], keyed[:, 1:] = group[owner], suffixes + 1
-    order = np.argsort(keyed.view(f"S{4 * (length + 1)}").ravel(), kind="stable")
-    same = keyed[order[1:]] == keyed[order[:-1]]
-    lcp = np.where(same.all(axis=1), length, np.maximum(0, same.argmin(axis=1) - 1))
-    hit = np.zeros(len(suffixes), bool)
-    hit[order] = deep_leaves(lcp, length)
+    size = np.array([len(w) for w in c.words])
+    flat = np.concatenate([*c.words, np.zeros(1, np.int32)])
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])[owner] + which
+    keyed = np.zeros((len(owner), int((size[owner] - which).max()) + 1), ">i4")  # the group, then words from 1; 0 ends a suffix
+    keyed[:, 0] = c.group[owner]
+    for k in range(1, keyed.shape[1]):
+        keyed[:, k] = np.where(which + k <= size[owner], flat[np.minimum(start + k - 1, len(flat) - 1)] + 1, 0)
+    order = np.argsort(keyed.view(f"S{4 * keyed.shape[1]}").ravel(), kind="stable")
+    a, b = keyed[order[1:]], keyed[order[:-1]]
+    differ = (a != b) | (a == 0)  # an end agrees with nothing
+    differ[:, 0] = a[:, 0] != b[:, 0]
+    first = np.where(differ.any(axis=1), differ.argmax(axis=1), keyed.shape[1])
+    return owner, which, order, np.maximum(0, first - 1)
+
+
+def maximal_repeats(c: Contexts) -> list[tuple[np.ndarray, list[tuple[int, int]]]]:
+    """The maximal repeats of the tree's deep internal nodes: the words, and the places (context, start) where they stand."""
+    owner, which, order, lcp = tree(c)
+    out = []
+    for depth, first, last in nodes(lcp):
+        at = order[first : last + 1]
+        before = {int(c.words[owner[i]][which[i] - 1]) if which[i] else -1 - int(i) for i in at}
+        if depth >= c.length and len(before) > 1:
+            i = at[0]
+            out.append((c.words[owner[i]][which[i] : which[i] + depth], sorted((int(owner[i]), int(which[i])) for i in at)))
+    return out
+
+
+def decide(c: Contexts) -> np.ndarray:
+    """For each context a bit for each window: whether its words are found at another place."""
+    owner, which, order, lcp = tree(c)
+    hit = np.zeros(len(owner), bool)
+    hit[order] = deep_leaves(lcp, c.length)
     hit |= c.places[owner] > 1
     mask = np.zeros(len(c.n), np.int64)
     np.bitwise_or.at(mask, owner[hit], np.int64(1) << which[hit])

@@ -2,6 +2,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from interlinea.llm import passages, suffix_array, suffix_trees
@@ -39,7 +40,7 @@ def expected(rows, length, keep_first):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-@pytest.mark.parametrize("block", [1, passages.BLOCK])
+@pytest.mark.parametrize("block", [1, 3, passages.BLOCK])
 @pytest.mark.parametrize("module", [suffix_trees, suffix_array])
 def test_against_brute_force(spark, seed, block, module):
     rows = list(enumerate(texts(seed)))
@@ -74,8 +75,57 @@ def test_dedup_keeps_white_space_and_columns(spark):
     assert [tuple(got[i])[2:] for i in (1, 2, 3)] == [("r", None), ("k", 5), ("t", 6)]
 
 
-def test_tree_nodes():
-    import numpy as np
+def contexts(texts, length, groups=None):
+    import pyarrow as pa
+
+    words = [t.encode() for t in texts]
+    n = [max(1, len(w.split()) - length + 1) for w in words]
+    table = {"anchor": groups or [1] * len(texts), "prefix": [0] * len(texts), "places": [1] * len(texts), "n": n, "o": [0] * len(texts), "words": words}
+    return passages.Contexts(pa.table(table), length)
+
 
+def test_tree_nodes():
     assert set(suffix_trees.nodes(np.array([3, 1, 0, 2, 2]))) == {(3, 0, 1), (1, 0, 2), (2, 3, 5)}
     assert suffix_trees.deep_leaves(np.array([3, 1, 0, 2, 2]), 2).tolist() == [True, True, False, True, True, True]
+
+
+def test_maximal_repeats_against_all_pairs():
+    rng = random.Random(3)
+    for _ in range(30):
+        length = rng.choice([2, 3])
+        texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(length, 12))) for _ in range(4)]
+        c = contexts(texts, length)
+        got = {tuple(texts[p[0][0]].split()[p[0][1] : p[0][1] + len(w)]): p for w, p in suffix_trees.maximal_repeats(c)}
+        want = {}
+        for i, a in enumerate(texts):
+            w = a.split()
+            for s in range(len(w)):
+                for e in range(s + length, len(w) + 1):
+                    run = tuple(w[s:e])
+                    places = [(j, k) for j, b in enumerate(texts) for k in range(len(b.split()) - len(run) + 1) if tuple(b.split()[k : k + len(run)]) == run]
+                    left = {texts[j].split()[k - 1] if k else (j, k) for j, k in places}
+                    right = {b[k + len(run)] if k + len(run) < len(b := texts[j].split()) else (j, k) for j, k in places}
+                    if len(places) > 1 and len(left) > 1 and len(right) > 1:
+                        want[run] = places
+        assert got == want
+
+
+def test_spans(spark):
+    shared = [f"s{i}" for i in range(20)]
+    docs = spark.createDataFrame([(1, " ".join(["a", *shared, "b"])), (2, " ".join([*shared, "c"])), (3, None), (4, "d " * 3)], "doc_id long, text string")
+    found = suffix_trees.repeated(docs, length=LENGTH, gram=GRAM)
+    got = {r["doc_id"]: [tuple(x) for x in r["spans"]] for r in passages.spans(docs, found, LENGTH).collect()}
+    assert got == {1: [(1, 21, " ".join(shared))], 2: [(0, 20, " ".join(shared))], 3: [], 4: []}
+
+
+def test_one_frequent_passage_and_very_long_texts(spark):
+    """A passage in every document, amid words of its own: its anchors have more contexts than the bound."""
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(9)]
+    rows = [(i, " ".join([f"x{rng.randrange(10**6)}" for _ in range(8)] + passage + [f"y{rng.randrange(10**6)}" for _ in range(8)])) for i in range(60)]
+    rows.append((100, " ".join(f"z{i}" for i in range(40_000)) + " " + " ".join(passage)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for module in (suffix_trees, suffix_array):
+        found = module.repeated(docs, length=LENGTH, gram=GRAM, block=10)
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in passages.digest(docs, found, LENGTH).collect()}
+        assert got == expected(rows, LENGTH, module is suffix_array)
