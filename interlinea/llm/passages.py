@@ -30,8 +30,8 @@ from xxhash import xxh64_intdigest
 
 from .common import arrow_schema, grouped, remove, runs, stored
 
-#: Contexts of an anchor, or windows with the same first words, that one task compares at most.
-BLOCK = 1 << 10
+#: Contexts of an anchor, or windows with the same first words, that one task compares at most: some 30 MB of words.
+BLOCK = 1 << 14
 #: Contexts, or those of one anchor if they are more, whose words a worker has in memory at once.
 PART = 1 << 11
 #: Words whose hashes a worker remembers.
