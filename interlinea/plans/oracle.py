@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
-from ..functions import lexical as L
-from ..operators import annotate
-from ..operators import features as f
-from ..operators import sentences as S
-from ..operators.recognise import NAMES, template_grid
-from ..sources import html as H
-from .synthetic import EX_NUMBER, LINES_SQL
+from .synthetic import LINES_SQL
+
+# What the described behaviour says, written out here a second time, so that SQL holds the operators to them.
+WS = r"[\s\x{A0}]"
+EX_NUMBER = '^\\([0-9]+\\)( [a-z]\\.)?'
+NORMALISER_BEFORE_LOWER = [
+    ('[\\s\\x{A0}]+', ' '),
+    ('-level|-final|-initial|-medial|-like|-reference|tense-|sub-|inter-|intra-|cross-|extra-|pre-|post-|mid-|self-|proto-|morpho-|semi-|trans-|non-', ''),
+    ('/.{1,2}/', ''),
+    ('([^.] )[A-Z][a-z]+', '\\1'),
+    ('(\\(|\\[)?[0-9]+(\\.[0-9])?%?(\\)|\\])?', ''),
+    (' [A-Z]{2,} ', ' '),
+]
+NORMALISER_AFTER_LOWER = [
+    ('[/~]', ' '),
+    ("n(’|')t", ''),
+    ("(’|')(s|d|ll|ve|m|re) ", ' '),
+    ('[.,!?:;‘’“”(){}\\[\\]]', ''),
+    ('(^| )vs\\.? ', 'versus '),
+    (' +$', ''),
+]
+FUNCTION_WORDS = 'a an and are as at be been but by for from had has have he her his i in is it its not of on or she that the their they this to was we were which with you'.split()
+METADATA = '[\\s\\x{A0}]*[\\[(].+[\\])]([^\\"\'’”]*)$'
+QUOTED = '["\'‘“].+["\'’”]|^[^"\'‘“]+["\'’”]$|^["\'‘“][^"\'’”]+$'
+LEFT_QUOTED = '^["\'‘“]'
+JUNCTURE = '([A-Za-z0-9][-=+:﹤﹥][A-Za-z0-9])|([A-Za-z]\\.[A-Za-z])'
+JUNCTURE_DISTRACTORS = '-level|-final|-initial|-medial|-like|sub-|inter-|intra-|cross-|extra-|^-|-$'
+CONTINUER = '[A-Za-z,-;][\\s\\x{A0}]*$'
+TERMINATOR = '[!?.][\\"\'’”\\)\\]]?[\\s\\x{A0}]*$'
+BOUNDARY_SPACE = '[-=+:﹤﹥][\\s\\x{A0}]|[\\s\\x{A0}][-=+:﹤﹥]'
+PLAIN_SPACE = '[^ ] [^ ]'
+PAD_SPACE = '  +|\\x{A0}\\x{A0}+'
+SECTION = '^[0-9]+\\.[0-9]'
+EDGE_LEFT, EDGE_RIGHT = '([A-Za-z0-9][-=+:﹤﹥.])', '([-=+:﹤﹥.][A-Za-z0-9])'
+ABBREVIATIONS = '([Pp][Ss5][Tt]|[Dd][Ee][Mm]|[Nn][Ee][GCg]|3[Pp][Lli1]|[Ss5][GCg]|[Pp][Lli1]|[Qq])'
+SENTENCE_BOUNDARY, SENTENCE_END = '([A-Za-z\'"”’)][!?.])\\s+([A-Z])', '([A-Za-z\'"”’)][!?.])\\s+$'
+OPAQUE = '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>|<!DOCTYPE[^>]*>'
+TOKEN = '(<[^>]+>|[^<]+)'
+ENTITIES = [('&lt;', '﹤'), ('&gt;', '﹥'), ('&amp;', '﹠'), ('&#13;', '\n'), ('&nbsp;', '\xa0'), ('&quot;', '"'), ('&apos;', "'"), ('&#39;', "'")]
 
 
 def q(text: str) -> str:
@@ -21,11 +53,11 @@ def count(col: str, pattern: str) -> str:
 
 def simplified(col: str) -> str:
     """The English normaliser as nested calls."""
-    out = f"regexp_replace({col}, {q(f'^{L.WS}+|{L.WS}+$')}, '', 'g') || ' '"
-    for pattern, replacement in L.BEFORE_LOWER:
+    out = f"regexp_replace({col}, {q(f'^{WS}+|{WS}+$')}, '', 'g') || ' '"
+    for pattern, replacement in NORMALISER_BEFORE_LOWER:
         out = f"regexp_replace({out}, {q(pattern)}, {q(replacement)}, 'g')"
     out = f"lower({out})"
-    for pattern, replacement in L.AFTER_LOWER:
+    for pattern, replacement in NORMALISER_AFTER_LOWER:
         out = f"regexp_replace({out}, {q(pattern)}, {q(replacement)}, 'g')"
     return out
 
@@ -36,20 +68,20 @@ def first(col: str, pattern: str) -> str:
 
 WEIGHT = "CASE WHEN word_count < 3 THEN CASE WHEN english_count = word_count THEN 'majority' WHEN english_count = 0 THEN 'minority' ELSE 'inconclusive' END WHEN english_count * 1.0 / nullif(word_count, 0) > 0.5 THEN 'majority' ELSE 'minority' END"
 PROPORTION = "coalesce(CAST(english_count AS DOUBLE) / nullif(word_count, 0), 0.0)"
-LEXICON = "[" + ", ".join(q(w) for w in L.FUNCTION_WORDS) + "]"
-TOKENS = f"string_split_regex(simple || ' ', {q(L.WS + '+')})"
+LEXICON = "[" + ", ".join(q(w) for w in FUNCTION_WORDS) + "]"
+TOKENS = f"string_split_regex(simple || ' ', {q(WS + '+')})"
 
 FEATURES = f"""{LINES_SQL},
-f0 AS (SELECT *, regexp_replace(text, {q(f.METADATA)}, '\\1') AS bare FROM lines),
+f0 AS (SELECT *, regexp_replace(text, {q(METADATA)}, '\\1') AS bare FROM lines),
 f1 AS (SELECT *, {simplified('bare')} AS simple FROM f0),
 f2 AS (SELECT *, CAST(len({TOKENS}) - 1 AS INTEGER) AS word_count, CAST(len(list_intersect(list_distinct({TOKENS}), {LEXICON})) AS INTEGER) AS english_count FROM f1),
 f3 AS (
-  SELECT *, CAST(length(bare) AS INTEGER) AS length_minus_metadata, CAST(length(regexp_extract(bare, {q(f.QUOTED)})) AS INTEGER) AS length_quoted,
-         1 + {count('text', L.WS + '+')} - {count('text', f.BOUNDARY_SPACE)} AS line_word_length,
+  SELECT *, CAST(length(bare) AS INTEGER) AS length_minus_metadata, CAST(length(regexp_extract(bare, {q(QUOTED)})) AS INTEGER) AS length_quoted,
+         1 + {count('text', WS + '+')} - {count('text', BOUNDARY_SPACE)} AS line_word_length,
          {PROPORTION} AS proportion_english, {WEIGHT} AS weight_of_english,
-         {count('bare', f.PLAIN_SPACE)} AS plain_space_count, {count('bare', f.PAD_SPACE)} AS pad_space_count,
-         {first('text', EX_NUMBER)} AS ex_number_text, regexp_matches(text, {q(f.TERMINATOR)}) AS is_terminating,
-         regexp_matches(text, {q(f.CONTINUER)}) AS is_continuing
+         {count('bare', PLAIN_SPACE)} AS plain_space_count, {count('bare', PAD_SPACE)} AS pad_space_count,
+         CASE WHEN NOT is_end_body THEN {first('text', EX_NUMBER)} END AS ex_number_text, regexp_matches(text, {q(TERMINATOR)}) AS is_terminating,
+         regexp_matches(text, {q(CONTINUER)}) AS is_continuing
   FROM f2),
 f4 AS (
   SELECT *, {first('ex_number_text', '[0-9]+')} AS ex_number_head, {first('ex_number_text', '[a-z]')} AS ex_number_sub, ex_number_text IS NOT NULL AS has_ex_number,
@@ -59,28 +91,60 @@ f4 AS (
 features0 AS (
   SELECT *, is_terminating AND is_short AS is_short_terminating, is_continuing AND NOT is_short AS is_long_continuing,
          abs(length_step) < 4 AS is_even_length_with_next_line, length_step > 4 AS is_shorter_than_next_line,
-         false AS has_multi_vernacular, false AS has_multi_abbreviation,
+         n_vernacular > 1 AS has_multi_vernacular, n_abbreviation > 1 AS has_multi_abbreviation,
          plain_space_count > pad_space_count + 3 AS is_plain_space_dominant, pad_space_count > plain_space_count + 3 AS is_pad_space_dominant,
-         {count('bare', f.JUNCTURE)} - {count('bare', f.JUNCTURE_DISTRACTORS)} > 2 AS has_many_junctures,
-         2 * length_quoted > length_minus_metadata AS is_mostly_quoted, regexp_matches(bare, {q(f.LEFT_QUOTED)}) AS is_left_quoted,
-         regexp_matches(bare, '[,;]') AS has_clause_break, false AS has_xf_identifier,
-         NOT has_ex_number AND regexp_matches(bare, {q(f.SECTION)}) AS has_section_number
+         {count('bare', JUNCTURE)} - {count('bare', JUNCTURE_DISTRACTORS)} > 2 AS has_many_junctures,
+         2 * length_quoted > length_minus_metadata AS is_mostly_quoted, regexp_matches(bare, {q(LEFT_QUOTED)}) AS is_left_quoted,
+         regexp_matches(bare, '[,;]') AS has_clause_break, regexp_matches(text, ' of the ') AS has_xf_identifier,
+         NOT has_ex_number AND regexp_matches(bare, {q(SECTION)}) AS has_section_number
   FROM f4),
-features AS (SELECT *, CAST({f.mask_sql(f.AFFIRM)} AS INTEGER) AS affirm, CAST({f.mask_sql(f.DISQUALIFY)} AS INTEGER) AS disq FROM features0)"""
+judged AS (
+  SELECT *, weight_of_english = 'minority' AS little_english, weight_of_english = 'majority' AS much_english,
+         (line_word_length > 5 AND proportion_english > 0.75) OR (line_word_length > 8 AND weight_of_english = 'majority') AS is_wordy,
+         is_long_continuing AND is_plain_space_dominant AND weight_of_english = 'majority' AS is_prose
+  FROM features0),
+features AS (
+  SELECT *,
+         CAST(CASE WHEN has_ex_number THEN 1 ELSE 0 END
+            + CASE WHEN little_english OR is_short_terminating OR has_multi_vernacular OR has_many_junctures THEN 2 ELSE 0 END
+            + CASE WHEN little_english OR is_short_terminating OR has_multi_vernacular THEN 4 ELSE 0 END
+            + CASE WHEN is_short_terminating OR has_multi_abbreviation OR is_pad_space_dominant OR has_many_junctures THEN 8 ELSE 0 END
+            + CASE WHEN much_english OR is_long_continuing OR is_left_quoted OR has_xf_identifier THEN 16 ELSE 0 END
+            + CASE WHEN much_english OR is_short_terminating OR is_left_quoted OR is_mostly_quoted OR has_xf_identifier THEN 32 ELSE 0 END AS INTEGER) AS affirm,
+         CAST(CASE WHEN has_ex_number THEN 0 ELSE 1 END
+            + CASE WHEN has_section_number OR has_multi_abbreviation OR is_wordy OR is_prose OR NOT is_even_length_with_next_line THEN 2 ELSE 0 END
+            + CASE WHEN has_section_number OR has_multi_abbreviation OR has_many_junctures OR is_wordy OR is_prose OR NOT is_even_length_with_next_line THEN 4 ELSE 0 END
+            + CASE WHEN has_section_number OR is_prose OR has_clause_break THEN 8 ELSE 0 END
+            + CASE WHEN has_section_number OR has_many_junctures OR has_multi_abbreviation OR is_terminating OR is_shorter_than_next_line OR is_pad_space_dominant THEN 16 ELSE 0 END
+            + CASE WHEN has_section_number OR has_many_junctures OR has_multi_abbreviation OR is_pad_space_dominant THEN 32 ELSE 0 END AS INTEGER) AS disq
+  FROM judged)"""
 
 FEATURE_COLUMNS = (
     "doc_id, line_id, word_count, english_count, length_minus_metadata, length_quoted, line_word_length, plain_space_count, pad_space_count, "
     "ex_number_head, ex_number_sub, is_terminating, is_continuing, is_left_quoted, is_mostly_quoted, has_many_junctures, has_clause_break, affirm, disq"
 )
 
-_GRID = template_grid()
-GRID = "templates AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, {len(t)}, {t}, '{','.join(NAMES[c] for c in t)}')" for i, t in enumerate(_GRID, 1)) + ") AS t(rank, n_lines, codes, template))"
+#: Every choice of parts, the most expected first; the translation varies fastest, the header slowest.
+GRID = """
+grid0 AS (
+  SELECT *, list_concat(xh, flatten(list_transform(range(n), lambda i: list_concat(xu, xv, xg))), ft) AS codes
+  FROM (VALUES (1, [16, 16, 32]), (2, [16, 32]), (3, [32])) AS a(ft_no, ft), (SELECT unnest([6, 5, 4, 3, 2, 1]) AS n) AS b,
+       (VALUES (1, CAST([] AS INTEGER[])), (2, [4])) AS c(xu_no, xu), (VALUES (1, [2]), (2, CAST([] AS INTEGER[]))) AS d(xv_no, xv),
+       (VALUES (1, [8]), (2, [8, 8])) AS e(xg_no, xg), (VALUES (1, CAST([] AS INTEGER[])), (2, [1])) AS g(xh_no, xh)
+  WHERE len(xu) + len(xv) > 0),
+templates AS (
+  SELECT row_number() OVER (ORDER BY xh_no, xg_no, xv_no, xu_no, n DESC, ft_no) AS rank, len(codes) AS n_lines, codes,
+         array_to_string(list_transform(codes, lambda x: CASE x WHEN 1 THEN 'xh' WHEN 2 THEN 'xv' WHEN 4 THEN 'xu' WHEN 8 THEN 'xg' WHEN 16 THEN 'xftn' ELSE 'xftf' END), ',') AS template
+  FROM grid0)"""
 
 LABELS = f"""{FEATURES},
 {GRID},
 numbered AS (SELECT *, max(CASE WHEN has_ex_number THEN line_id END) OVER (PARTITION BY doc_id ORDER BY line_id) AS x_line FROM features),
+unended AS (
+  SELECT * FROM numbered WHERE x_line IS NOT NULL
+  QUALIFY NOT coalesce(max(is_end_body AND line_id > x_line) OVER (PARTITION BY doc_id, x_line ORDER BY line_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)),
 ordered AS (SELECT doc_id, x_line, line_id, disq, affirm, row_number() OVER (PARTITION BY doc_id, x_line ORDER BY line_id) AS p,
-                   count(*) OVER (PARTITION BY doc_id, x_line) AS size FROM numbered WHERE x_line IS NOT NULL),
+                   count(*) OVER (PARTITION BY doc_id, x_line) AS size FROM unended),
 positions AS (SELECT rank, n_lines, unnest(range(1, n_lines + 1)) AS p, codes FROM templates),
 feasible AS (
   SELECT o.doc_id, o.x_line, t.rank, t.n_lines FROM ordered o JOIN positions t ON o.p = t.p AND t.n_lines <= o.size
@@ -118,7 +182,7 @@ groups0 AS (
 example_lines AS (
   SELECT g.*, max(CASE WHEN g.line_id = g.x_line THEN f.ex_number_head END) OVER w AS x_number,
          max(CASE WHEN g.line_id = g.x_line THEN f.ex_number_sub END) OVER w AS x_sub_number,
-         CASE WHEN g.line_id = g.x_line THEN regexp_replace(substr(f.text, length(f.ex_number_text) + 1), {q('^' + L.WS + '+')}, '') ELSE f.text END AS text
+         CASE WHEN g.line_id = g.x_line THEN regexp_replace(substr(f.text, length(f.ex_number_text) + 1), {q('^' + WS + '+')}, '') ELSE f.text END AS text
   FROM groups0 g JOIN features f ON g.doc_id = f.doc_id AND g.line_id = f.line_id WINDOW w AS (PARTITION BY g.doc_id, g.x_line))"""
 
 _REJOIN1, _REJOIN2 = r"([-=+.﹤﹥])[\s\x{A0}]+([A-Za-z0-9])", r"([A-Za-z0-9])[\s\x{A0}]+([-=+﹤﹥])"
@@ -180,19 +244,55 @@ SELECT doc_id, '#' || id AS id, x_number || coalesce('-' || sub, '') AS full_ex_
        'text' || CASE WHEN coalesce((diff = 0 AND subdiff <> 1) OR (diff = 1 AND subex_order > 1) OR diff > 1, true) THEN ' **' ELSE '   ' END AS kind FROM r2"""
 
 
+# The nested examples, those to correct by hand, and the marked-up page.
+EXAMPLES = f"""{GROUPS},
+held AS (SELECT * FROM example_lines WHERE fn = 'xh' OR xfg_no IS NOT NULL),
+of_kind AS (
+  SELECT doc_id, x_line, x_number, x_sub_number, xfg_no, xgg_no,
+         coalesce(list(text ORDER BY line_id) FILTER (fn = 'xu'), []) AS xu, coalesce(list(text ORDER BY line_id) FILTER (fn = 'xv'), []) AS xv, coalesce(list(text ORDER BY line_id) FILTER (fn = 'xg'), []) AS xg
+  FROM held WHERE xgg_no IS NOT NULL GROUP BY ALL),
+glossed AS (SELECT doc_id, x_line, xfg_no, list(struct_pack(xgg_no := xgg_no, xu := xu, xv := xv, xg := xg) ORDER BY xgg_no) AS xggs FROM of_kind GROUP BY ALL),
+free_ AS (SELECT doc_id, x_line, xfg_no, list(text ORDER BY line_id) AS xf FROM held WHERE fn = 'xf' GROUP BY ALL),
+xfg AS (
+  SELECT doc_id, x_line, xfg_no, struct_pack(xfg_no := xfg_no, xggs := coalesce(xggs, []), xf := coalesce(xf, [])) AS g
+  FROM glossed FULL JOIN free_ USING (doc_id, x_line, xfg_no) WHERE xfg_no IS NOT NULL),
+heads AS (SELECT DISTINCT doc_id, x_line, x_number, x_sub_number FROM held)
+SELECT h.doc_id, h.x_line, any_value(h.x_number) AS x_number, any_value(h.x_sub_number) AS x_sub_number, count(g) AS n_xfg,
+       coalesce(CAST(to_json(list(g ORDER BY xfg_no) FILTER (g IS NOT NULL)) AS VARCHAR), '[]') AS xfgs
+FROM heads h LEFT JOIN xfg USING (doc_id, x_line) GROUP BY h.doc_id, h.x_line"""
+
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+EDITABLE = f"""{PAIRS},
+chosen_xgg AS (SELECT DISTINCT doc_id, x_line, xgg_no FROM (SELECT doc_id, x_line, xgg_no FROM aligned WHERE word_misalignment UNION ALL SELECT doc_id, x_line, xgg_no FROM pairs WHERE xv_junctures <> xg_junctures)),
+ed_lines AS (
+  SELECT doc_id, x_line, xgg_no, line_id, coalesce(any_value(x_number), '??') || coalesce('-' || nullif(any_value(x_sub_number), ''), '') AS number,
+         '<' || fn || '>' || string_agg('<xw>' || {_ESCAPED.format('word')} || '</xw>', '' ORDER BY word_no) || '</' || fn || '>' AS s
+  FROM words SEMI JOIN chosen_xgg USING (doc_id, x_line, xgg_no) GROUP BY doc_id, x_line, xgg_no, line_id, fn),
+ed_groups AS (SELECT doc_id, x_line, xgg_no, '<xgg ex_number="' || {_ESCAPED.format('number')} || '">' || string_agg(s, '' ORDER BY line_id) || '</xgg>' AS s FROM ed_lines GROUP BY doc_id, x_line, xgg_no, number)
+SELECT doc_id, '<xgg_editor>' || string_agg(s, '' ORDER BY x_line, xgg_no) || '</xgg_editor>' AS xml FROM ed_groups GROUP BY doc_id"""
+
+PAGE = f"""{GROUPS},
+sections AS (
+  SELECT doc_id, x_line, coalesce(nullif(concat_ws('-', x_number, nullif(x_sub_number, '')), ''), '') AS label,
+         string_agg('<div class="' || fn || '">' || {_ESCAPED.format('text')} || '</div>', '' ORDER BY line_id) AS s
+  FROM example_lines GROUP BY doc_id, x_line, x_number, x_sub_number)
+SELECT doc_id, '<html><body>' || string_agg('<section class="x" data-number="' || {_ESCAPED.format('label')} || '">' || s || '</section>', '' ORDER BY x_line) || '</body></html>' AS html
+FROM sections GROUP BY doc_id"""
+
+
 def abbreviations(pattern: str) -> str:
-    one = f"regexp_replace(text, {q(annotate.EDGE_LEFT + pattern + '(' + annotate.EDGE_RIGHT + '|[ ' + chr(92) + 'x{A0}])')}, '\\1⟦\\2⟧\\3', 'g')"
-    return f"regexp_replace({one}, {q('(' + annotate.EDGE_LEFT + '|[ ' + chr(92) + 'x{A0}])' + pattern + annotate.EDGE_RIGHT)}, '\\1⟦\\3⟧\\4', 'g')"
+    one = f"regexp_replace(text, {q(EDGE_LEFT + pattern + '(' + EDGE_RIGHT + '|[ ' + chr(92) + 'x{A0}])')}, '\\1⟦\\2⟧\\3', 'g')"
+    return f"regexp_replace({one}, {q('(' + EDGE_LEFT + '|[ ' + chr(92) + 'x{A0}])' + pattern + EDGE_RIGHT)}, '\\1⟦\\3⟧\\4', 'g')"
 
 
 def _decoded(col: str) -> str:
-    for entity, to in H.ENTITIES:
+    for entity, to in ENTITIES:
         col = f"replace({col}, {q(entity)}, {q(to)})" if to != "\n" else f"replace({col}, {q(entity)}, chr(10))"
     return col
 
 
 TOKENS_CTE = f"""
-cut AS (SELECT page_id AS doc_id, regexp_extract_all(regexp_replace(coalesce(html, ''), {q(H.OPAQUE)}, '', 'g'), {q(H.TOKEN)}) AS toks FROM pages),
+cut AS (SELECT page_id AS doc_id, regexp_extract_all(regexp_replace(coalesce(html, ''), {q(OPAQUE)}, '', 'g'), {q(TOKEN)}) AS toks FROM pages),
 tok AS (SELECT doc_id, CAST(unnest(range(1, len(toks) + 1)) AS INTEGER) AS ord, unnest(toks) AS tok FROM cut),
 named AS (SELECT *, CASE WHEN tok LIKE '<%' THEN lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) ELSE '' END AS name FROM tok),
 kinds AS (SELECT *, CASE WHEN tok NOT LIKE '<%' THEN 'text' WHEN tok LIKE '</%' THEN 'close' WHEN name IN ('meta', 'link', 'br', 'img', 'hr', 'input') OR tok LIKE '%/>' THEN 'empty' ELSE 'open' END AS kind FROM named),
@@ -213,7 +313,7 @@ placed AS (SELECT *, CAST(sum(CAST(starts AS INTEGER)) OVER w AS INTEGER) AS par
            FROM starts WINDOW w AS (PARTITION BY doc_id ORDER BY ord)),
 joined AS (SELECT doc_id, line_no, min(para_id) AS para_id, arg_min(header, ord) AS header, string_agg(text, '' ORDER BY ord) AS text
            FROM placed WHERE kind = 'text' AND in_para > 0 AND in_table <= 0 GROUP BY doc_id, line_no),
-trimmed AS (SELECT doc_id, line_no, para_id, header, regexp_replace(regexp_replace(text, '[ \\t]*\\n[ \\t]*', ' ', 'g'), {q(f'^{L.WS}+|{L.WS}+$')}, '', 'g') AS text FROM joined)
+trimmed AS (SELECT doc_id, line_no, para_id, header, regexp_replace(regexp_replace(text, '[ \\t]*\\n[ \\t]*', ' ', 'g'), {q(f'^{WS}+|{WS}+$')}, '', 'g') AS text FROM joined)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS INTEGER) AS line_id, para_id, header, text FROM trimmed WHERE text <> ''"""
 
 TEXT_LINES = "text_split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), text_lines AS (SELECT doc_id, CAST(unnest(range(1, len(ls) + 1)) AS INTEGER) AS line_id, unnest(ls) AS text FROM text_split)"
@@ -224,14 +324,14 @@ def lexicon(least: int) -> str:
 
 
 ENGLISH_COUNTS = f"""
-s AS (SELECT doc_id, line_id, string_split_regex({simplified('text')} || ' ', {q(L.WS + '+')}) AS t FROM text_lines),
+s AS (SELECT doc_id, line_id, string_split_regex({simplified('text')} || ' ', {q(WS + '+')}) AS t FROM text_lines),
 e AS (SELECT doc_id, line_id, CAST(len(t) - 1 AS INTEGER) AS word_count, unnest(list_distinct(t)) AS w FROM s),
 c AS (SELECT e.doc_id, e.line_id, e.word_count, CAST(count(l.word) AS INTEGER) AS english_count FROM e LEFT JOIN lexicon l ON e.w = l.word AND l.word <> '' GROUP BY ALL)
 SELECT doc_id, line_id, word_count, english_count, {PROPORTION} AS proportion, {WEIGHT} AS weight FROM c"""
 
 
 def sentences(keys: str) -> str:
-    marked = f"regexp_replace(regexp_replace(text, {q(S.BOUNDARY)}, '\\1' || chr(1) || '\\2', 'g'), {q(S.AT_END)}, '\\1' || chr(1), 'g')"
+    marked = f"regexp_replace(regexp_replace(text, {q(SENTENCE_BOUNDARY)}, '\\1' || chr(1) || '\\2', 'g'), {q(SENTENCE_END)}, '\\1' || chr(1), 'g')"
     return f"""
 cut_s AS (SELECT {keys}, list_filter(string_split(replace({marked}, '¬ ', ''), chr(1)), lambda s: trim(s) <> '') AS ss FROM paras),
 sentences AS (SELECT {keys}, CAST(unnest(range(1, len(ss) + 1)) AS INTEGER) AS sentence_no, unnest(ss) AS text FROM cut_s)"""

@@ -279,6 +279,9 @@ ORACLE_SQL = {
     "template_grid": f"WITH {oracle.GRID} SELECT CAST(rank AS INTEGER) AS rank, CAST(n_lines AS INTEGER) AS n_lines, template FROM templates",
     "igt_labels": f"{_W}{oracle.LABELS} SELECT doc_id, x_line, line_id, fn, code, pass FROM labels",
     "igt_groups": f"{_W}{oracle.GROUPS} SELECT doc_id, x_line, line_id, fn, xgg_no, xfg_no, x_number, x_sub_number, text FROM example_lines",
+    "igt_examples": f"{_W}{oracle.EXAMPLES}",
+    "igt_editable_examples": f"{_W}{oracle.EDITABLE}",
+    "igt_augmented_html": f"{_W}{oracle.PAGE}",
     "igt_words": f"{_W}{oracle.WORDS} SELECT doc_id, x_line, xgg_no, line_id, fn, line_no, word_no, word FROM words",
     "igt_alignment": f"{_W}{oracle.ALIGNED} SELECT * FROM aligned",
     "igt_word_pairs": f"{_W}{oracle.PAIRS} SELECT * FROM pairs",
@@ -289,7 +292,7 @@ ORACLE_SQL = {
     "igt_person_number_repair": f"{_W}{oracle.repaired('', oracle.PERSON)}",
     "igt_misaligned_groups": f"{_W}{oracle.PAIRS} SELECT DISTINCT doc_id, x_line, xgg_no FROM (SELECT doc_id, x_line, xgg_no FROM aligned WHERE word_misalignment UNION ALL SELECT doc_id, x_line, xgg_no FROM pairs WHERE xv_junctures <> xg_junctures)",
     "igt_example_report": f"{_W}{oracle.GROUPS}, numbered_x AS (SELECT doc_id, x_line AS id, x_number, x_sub_number FROM example_lines WHERE line_id = x_line), {oracle.report('numbered_x')}",
-    "igt_abbreviation_tags": f"WITH {synthetic.LINES_SQL}, tagged AS (SELECT doc_id, line_id, {oracle.abbreviations(annotate.abbreviation_pattern(ABBREVIATIONS))} AS tagged FROM lines) SELECT *, CAST(length(tagged) - length(replace(tagged, '⟦', '')) AS INTEGER) AS n_abbreviation FROM tagged",
+    "igt_abbreviation_tags": f"WITH {synthetic.LINES_SQL}, tagged AS (SELECT doc_id, line_id, {oracle.abbreviations(oracle.ABBREVIATIONS)} AS tagged FROM lines) SELECT *, CAST(length(tagged) - length(replace(tagged, '⟦', '')) AS INTEGER) AS n_abbreviation FROM tagged",
     "page_tokens": f"WITH {oracle.TOKENS_CTE} SELECT doc_id, ord, kind, name, coalesce(text, '') AS text FROM tokens",
     "page_tag_histogram": f"WITH {oracle.TOKENS_CTE} SELECT name, kind, count(*) AS n FROM tokens WHERE kind <> 'text' GROUP BY ALL",
     "page_without_navigation": f"WITH {oracle.TOKENS_CTE}, d AS (SELECT *, {oracle.depth(['nav', 'footer'])} AS inside FROM tokens) SELECT doc_id, ord, text FROM d WHERE kind = 'text' AND inside <= 0",
