@@ -46,20 +46,23 @@ def example_lines(grouped: DataFrame) -> DataFrame:
 def examples(lines: DataFrame) -> DataFrame:
     """One row an example: headers and an array of translation groups, each with its gloss groups and translations."""
     lines = lines.where((F.col("fn") == "xh") | F.col("xfg_no").isNotNull())
-    texts = lambda fn: F.transform(F.filter(F.sort_array(F.collect_list(F.struct("line_id", "fn", "text"))), lambda x: x["fn"] == fn), lambda x: x["text"])
     keys = ["doc_id", "x_line", "x_number", "x_sub_number"]
-    glossed = lines.where("xgg_no is not null").groupBy(*keys, "xfg_no", "xgg_no").agg(texts("xu").alias("xu"), texts("xv").alias("xv"), texts("xg").alias("xg"))
-    glossed = glossed.groupBy(*keys, "xfg_no").agg(F.sort_array(F.collect_list(F.struct("xgg_no", "xu", "xv", "xg"))).alias("xggs"))
-    free = lines.where("fn = 'xf'").groupBy(*keys, "xfg_no").agg(texts("xf").alias("xf"))
-    heads = lines.where("fn = 'xh'").groupBy(*keys).agg(texts("xh").alias("xh"))
-    both = glossed.select(*keys, "xfg_no", "xggs", F.array().cast("array<string>").alias("xf"), F.array().cast("array<string>").alias("xh"))
-    both = both.unionByName(free.select(*keys, "xfg_no", "xf"), allowMissingColumns=True).unionByName(heads.select(*keys, "xh"), allowMissingColumns=True)
-    pick = lambda c: F.flatten(F.filter(F.collect_list(F.struct(c)), lambda x: F.size(x[c]) > 0)[c])
-    groups = both.groupBy(*keys, "xfg_no").agg(pick("xggs").alias("xggs"), pick("xf").alias("xf"), pick("xh").alias("xh"))
+    texts = lambda fn: F.transform(F.filter("l", lambda x: x["fn"] == fn), lambda x: x["text"]).alias(fn)
+    # Gloss groups, and beside them one group of each translation group's translations, and one of the headers.
+    each = lines.groupBy(*keys, "xfg_no", "xgg_no").agg(F.sort_array(F.collect_list(F.struct("line_id", "fn", "text"))).alias("l"))
+    each = each.select(*keys, "xfg_no", "xgg_no", *map(texts, ("xu", "xv", "xg", "xf", "xh")))
+    xgg = F.when(F.col("xgg_no").isNotNull(), F.struct("xgg_no", "xu", "xv", "xg"))
+    groups = each.groupBy(*keys, "xfg_no").agg(F.sort_array(F.collect_list(xgg)).alias("xggs"), F.flatten(F.collect_list("xf")).alias("xf"), F.flatten(F.collect_list("xh")).alias("xh"))
     g = F.struct("xfg_no", "xggs", "xf")
     return groups.groupBy(*keys).agg(F.flatten(F.collect_list("xh")).alias("xh"), F.sort_array(F.collect_list(F.when(F.col("xfg_no").isNotNull(), g))).alias("xfgs"))
 
 
+def gloss_group_ids(lines: DataFrame) -> DataFrame:
+    """lines with xgg_id: the gloss groups of a document numbered through, null outside them."""
+    w = Window.partitionBy("doc_id", F.col("xgg_no").isNull()).orderBy("x_line", "xgg_no")
+    return lines.withColumn("xgg_id", F.when(F.col("xgg_no").isNotNull(), F.dense_rank().over(w)))
+
+
 def split_paras_at_examples(lines: DataFrame, labels: DataFrame) -> DataFrame:
     """lines with x_line of the example that holds them, and paragraph numbers that also change where an example begins or ends."""
     of = labels.select(F.col("doc_id").alias("l_doc"), F.col("line_id").alias("l_line"), "x_line")

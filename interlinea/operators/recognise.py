@@ -8,6 +8,7 @@ the chain of follow-on groups are then expressions over a span's array of masks,
 from __future__ import annotations
 
 import itertools
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,9 +39,12 @@ def template_table(spark, **expectations: bool) -> DataFrame:
     return spark.createDataFrame(rows, "rank int, n_lines int, codes array<int>, template string")
 
 
-def _literal(grid: list[list[int]]) -> Column:
-    """The grid as one expression of constants, which is folded to a literal."""
-    return F.expr("array(" + ", ".join("array(" + ", ".join(map(str, t)) + ")" for t in grid) + ")")
+def _literal(value: list) -> Column:
+    """Nested lists of integers as one small expression, which is folded to a literal."""
+    kind, inner = "int", value
+    while isinstance(inner, list):
+        kind, inner = f"array<{kind}>", inner[0]
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def _let(value: Column, body) -> Column:
@@ -84,12 +88,29 @@ def _follow(span: Column, at: Column, core: Column) -> Column:
     return F.get(F.filter(F.array(*options), fits), F.lit(0))
 
 
-def label_examples(features: DataFrame, **expectations: bool) -> DataFrame:
-    """line_labels(doc_id, line_id, x_line, fn, code, pass) and the carried columns: pass 1 is the template, 2 and more its follow-on groups."""
-    grid = _literal(template_grid(**expectations))
+def _grids(by_document: DataFrame, found: DataFrame) -> tuple[DataFrame, Column]:
+    """Spans with their documents' expectations, and the templates in the order that these ask for: one of sixteen constants."""
+    flags = [c for c in EXPECTATIONS if c in by_document.columns]
+    p = by_document.select(F.col("doc_id").alias("e_doc"), *[F.col(c).alias(f"e_{c}") for c in flags])
+    found = found.join(p, F.col("doc_id").eqNullSafe(F.col("e_doc")), "left").drop("e_doc")
+    usual = dict(zip(EXPECTATIONS, (True, False, False, False)))
+    each = [dict(zip(EXPECTATIONS, x)) for x in itertools.product((False, True), repeat=4)]
+    which = sum((F.coalesce(F.col(f"e_{c}") if c in flags else F.lit(None), F.lit(usual[c])).cast("int") * (8 >> i) for i, c in enumerate(EXPECTATIONS)), F.lit(0))
+    return found, F.get(_literal([template_grid(**x) for x in each]), which)
+
+
+def label_examples(features: DataFrame, by_document: DataFrame | None = None, **expectations: bool) -> DataFrame:
+    """line_labels(doc_id, line_id, x_line, fn, code, pass) and the carried columns: pass 1 is the template, 2 and more its follow-on groups.
+
+    Expectations are the same for all documents, or by_document(doc_id, expect_... columns); documents it lacks have the usual ones."""
+    found = spans(features)
+    if by_document is None:
+        grid = _literal(template_grid(**expectations))
+    else:
+        found, grid = _grids(by_document, found)
     # Exploding arrays of one value computes each expression once, where a filter would have it computed twice.
     once = F.explode(F.filter(F.array(first_template(F.col("span"), grid)), lambda t: t.isNotNull()))
-    found = spans(features).select("doc_id", "x_line", "span", once.alias("template"))
+    found = found.select("doc_id", "x_line", "span", once.alias("template"))
     # A follow-on group is as long as the core and one line at least, which bounds the number of steps.
     found = found.withColumn("core", F.filter("template", lambda c: ~c.isin(XH, XFTN, XFTF)))
     label = lambda codes, k: F.transform(codes, lambda c: F.struct(c.alias("code"), k.cast("int").alias("pass")))

@@ -285,6 +285,23 @@ def abbreviations(pattern: str) -> str:
     return f"regexp_replace({one}, {q('(' + EDGE_LEFT + '|[ ' + chr(92) + 'x{A0}])' + pattern + EDGE_RIGHT)}, '\\1⟦\\3⟧\\4', 'g')"
 
 
+# The lines as the extraction finds them in pages: numbered through, no vernacular runs, abbreviations counted, and no end of body at the last.
+_MADE = LINES_SQL.replace("lines AS (\n", "made AS (\n")
+_TAGGED = abbreviations(ABBREVIATIONS)
+PAGE_TEXT = f"""{_MADE},
+tagged AS (SELECT *, {_TAGGED} AS tagged, row_number() OVER (PARTITION BY doc_id ORDER BY line_id DESC) AS from_end FROM made),
+lines AS (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_id) AS INTEGER) AS line_id, text, is_end_body AND from_end > 1 AS is_end_body,
+         0 AS n_vernacular, CAST(length(tagged) - length(replace(tagged, '⟦', '')) AS INTEGER) AS n_abbreviation
+  FROM tagged)"""
+EXTRACTED = GROUPS.replace(LINES_SQL, PAGE_TEXT)
+EXTRACTED_REPORT = f"""{EXTRACTED},
+block_places AS (SELECT doc_id, line_id AS place FROM lines ANTI JOIN labels USING (doc_id, line_id) UNION ALL SELECT DISTINCT doc_id, x_line FROM labels),
+block_no AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) AS INTEGER) AS id FROM block_places),
+numbered_x AS (SELECT e.doc_id, b.id, e.x_number, e.x_sub_number FROM example_lines e JOIN block_no b ON e.doc_id = b.doc_id AND e.x_line = b.place WHERE e.line_id = e.x_line),
+{report('numbered_x')}"""
+
+
 def _decoded(col: str) -> str:
     for entity, to in ENTITIES:
         col = f"replace({col}, {q(entity)}, {q(to)})" if to != "\n" else f"replace({col}, {q(entity)}, chr(10))"

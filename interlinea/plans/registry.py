@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from ..functions import lexical
 from ..operators import annotate, features, grouping, layout, recognise, reports, sentences, words
 from ..sources import html, params
 from . import oracle, synthetic
+from .extract import Extraction, extract
 
 FLAGSHIP = "igt_morph_report"
 
@@ -124,6 +126,27 @@ def igt_abbreviation_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 ABBREVIATIONS = ["PST", "SG", "PL", "DEM", "NEG", "3", "Q", "3PL"]
 
 
+# ---------------------------------------------------------------- the whole extraction, from pages made of the example lines
+
+
+def _extracted(spark: SparkSession, sf_dir: str) -> Extraction:
+    """Each document's lines as a page of paragraphs, with an image after what ends a stretch of body text."""
+    lines = synthetic.igt_lines(table(spark, sf_dir, "documents"))
+    p = F.concat(F.lit("<p>"), "text", F.lit("</p>"), F.when(F.col("is_end_body"), F.lit("<img src='x.png'/>")).otherwise(F.lit("")))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_id", p.alias("p")))), lambda x: x["p"]), "\n")
+    docs = lines.groupBy("doc_id").agg(F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+    by_document = table(spark, sf_dir, "documents").select("doc_id").distinct().select("doc_id", *[F.lit(v).alias(k) for k, v in synthetic.PARAMS.items()], F.lit(True).alias("expect_xv"), F.lit(False).alias("clean_ocr"))
+    return extract(docs, by_document, abbreviations=ABBREVIATIONS, keep=lambda d: d.persist(StorageLevel.DISK_ONLY))
+
+
+def extracted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).labels.select("doc_id", "x_line", "line_id", "fn", "code", "pass")
+
+
+def extracted_example_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracted(spark, sf_dir).example_report
+
+
 # ---------------------------------------------------------------- markup of pages
 
 
@@ -267,7 +290,7 @@ QUERIES = {
     for f in (
         igt_line_features, template_grid, igt_labels, igt_groups, igt_examples, igt_words, igt_alignment, igt_word_pairs, igt_morphemes,
         igt_morph_report, igt_gloss_report, igt_multiword_repair, igt_person_number_repair, igt_misaligned_groups, igt_example_report,
-        igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, page_tokens, page_tag_histogram, page_without_navigation, page_element_ids,
+        igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, extracted_labels, extracted_example_report, page_tokens, page_tag_histogram, page_without_navigation, page_element_ids,
         page_lines, simplified_english, lexicon_by_frequency, english_counts, document_sentences, conversation_sentences, ocr_repairs, suffix_forms,
         new_documents, event_run_lengths, event_forward_fill, event_gap_flags, block_ids, params_long, params_wide, geography_taxonomy,
     )
@@ -293,6 +316,8 @@ ORACLE_SQL = {
     "igt_misaligned_groups": f"{_W}{oracle.PAIRS} SELECT DISTINCT doc_id, x_line, xgg_no FROM (SELECT doc_id, x_line, xgg_no FROM aligned WHERE word_misalignment UNION ALL SELECT doc_id, x_line, xgg_no FROM pairs WHERE xv_junctures <> xg_junctures)",
     "igt_example_report": f"{_W}{oracle.GROUPS}, numbered_x AS (SELECT doc_id, x_line AS id, x_number, x_sub_number FROM example_lines WHERE line_id = x_line), {oracle.report('numbered_x')}",
     "igt_abbreviation_tags": f"WITH {synthetic.LINES_SQL}, tagged AS (SELECT doc_id, line_id, {oracle.abbreviations(oracle.ABBREVIATIONS)} AS tagged FROM lines) SELECT *, CAST(length(tagged) - length(replace(tagged, '⟦', '')) AS INTEGER) AS n_abbreviation FROM tagged",
+    "extracted_labels": f"{_W}{oracle.EXTRACTED} SELECT doc_id, x_line, line_id, fn, code, pass FROM labels",
+    "extracted_example_report": f"{_W}{oracle.EXTRACTED_REPORT}",
     "page_tokens": f"WITH {oracle.TOKENS_CTE} SELECT doc_id, ord, kind, name, coalesce(text, '') AS text FROM tokens",
     "page_tag_histogram": f"WITH {oracle.TOKENS_CTE} SELECT name, kind, count(*) AS n FROM tokens WHERE kind <> 'text' GROUP BY ALL",
     "page_without_navigation": f"WITH {oracle.TOKENS_CTE}, d AS (SELECT *, {oracle.depth(['nav', 'footer'])} AS inside FROM tokens) SELECT doc_id, ord, text FROM d WHERE kind = 'text' AND inside <= 0",

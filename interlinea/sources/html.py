@@ -38,8 +38,9 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 def attributes(tok: Column) -> Column:
     """The attributes of a tag as a map; of a repeated one the first."""
-    names = F.transform(F.regexp_extract_all(tok, F.lit(r'([A-Za-z_:][-A-Za-z0-9_:.]*)="([^"]*)"'), F.lit(1)), F.lower)
-    values = F.regexp_extract_all(tok, F.lit(r'([A-Za-z_:][-A-Za-z0-9_:.]*)="([^"]*)"'), F.lit(2))
+    one = r"""([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*("[^"]*"|'[^']*')"""
+    names = F.transform(F.regexp_extract_all(tok, F.lit(one), F.lit(1)), F.lower)
+    values = F.transform(F.regexp_extract_all(tok, F.lit(one), F.lit(2)), lambda v: F.substring(v, F.lit(2), F.length(v) - 2))
     pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
     first = F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1)
     return F.map_from_entries(first)
@@ -47,7 +48,7 @@ def attributes(tok: Column) -> Column:
 
 def attribute(tok: Column, name: str) -> Column:
     """One attribute of a tag, or null."""
-    return F.nullif(F.regexp_extract(tok, rf'(?i)\b{name}="([^"]*)"', 1), F.lit(""))
+    return F.nullif(F.regexp_extract(tok, rf"""(?i)\b{name}\s*=\s*(["'])(.*?)\1""", 2), F.lit(""))
 
 
 def _order() -> Window:
@@ -100,10 +101,12 @@ def taxonomy(lines: DataFrame, namespace: str = "") -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("line_id")
     d = lines.where(~F.trim("text").startswith("#") & (F.trim(F.replace("text", F.lit("\t"), F.lit(" "))) != ""))
     d = d.withColumn("depth", F.length(F.regexp_extract("text", "^(\t*)", 1)).cast("int")).withColumn("id", F.row_number().over(w))
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    deepest = 12
-    parent = F.lit(0)
-    for k in range(1, deepest + 1):
-        parent = F.when(F.col("depth") == k, F.coalesce(F.last(F.when(F.col("depth") == k - 1, F.col("id")), ignorenulls=True).over(before), F.lit(0))).otherwise(parent)
+    # A line stands among those of its own depth, for its children, and among those one less deep, to find its parent.
+    each = d.withColumn("among", F.explode(F.array(F.col("depth"), F.col("depth") - 1))).withColumn("own", F.col("among") == F.col("depth"))
+    level = Window.partitionBy("doc_id", "among").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    up = F.last(F.when(F.col("own"), F.col("id")), ignorenulls=True).over(level)
+    d = d.withColumn("skips", F.col("depth") > F.coalesce(F.lag("depth").over(w), F.lit(-1)) + 1)
+    parents = each.withColumn("parent_id", F.coalesce(up, F.lit(0))).where("NOT own").select(F.col("doc_id").alias("p_doc"), F.col("id").alias("p_id"), "parent_id")
+    d = d.join(parents, F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("id") == F.col("p_id")))
     label = F.concat(F.lit(f"{namespace}::" if namespace else ""), F.regexp_replace("text", "^\t+", ""))
-    return d.withColumns({"parent_id": parent, "label": label, "skips": F.col("depth") > F.coalesce(F.lag("depth").over(w), F.lit(-1)) + 1}).select("doc_id", "id", "parent_id", "depth", "label", "skips")
+    return d.withColumn("label", label).select("doc_id", "id", "parent_id", "depth", "label", "skips")

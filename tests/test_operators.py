@@ -318,8 +318,8 @@ def test_extract(spark):
     assert labels == [("ka-lo n", "xv"), ("go-PST ", "xg"), ("‘The do", "xf")]
     m = {(r["morph"], r["gloss"]) for r in x.morphemes.where("ex_number = '2'").collect()}
     assert m == {("ka", "go"), ("lo", "PST"), ("na", "dog"), ("ri", "PL")}
-    assert [r["full_ex_number"] for r in x.example_report.collect()][-1] == "2"
-    assert [r["doc_id"] for r in x.errors.collect()] == ["bad"]
+    assert [(r["full_ex_number"], r["kind"][:5].strip()) for r in x.example_report.collect()][-2:] == [("2", "text"), ("7", "table")]
+    assert {r["doc_id"] for r in x.errors.collect()} == {"bad"}
     assert x.sentences.where("text like 'This is the prose%'").count() == 1
     assert "<section" in reports.augmented_html(x.example_lines).first()["html"]
     placed = grouping.split_paras_at_examples(x.lines, x.labels)
@@ -331,6 +331,72 @@ def test_extract(spark):
     assert [r["text"] for r in layout.pages_after_paras(x.lines).where("page_after_para").collect()] == ["3.1 Clauses"]
 
 
+def test_extract_by_document(spark):
+    """Parameters, abbreviations, repairs and expectations of each document; a bad pattern stops no other."""
+    word = '<p>The dog 8arked so.And it was by the <i>kalo</i> ‘house’ there of them.</p>'
+    docs = spark.createDataFrame([("g", PAGE), ("h", PAGE + word), ("bad", PAGE), ("plain", "<p>Nothing here.</p>")], "doc_id string, html string")
+    number = r"^\([0-9]+\)"
+    rows = [("g", number, "[0-9]+", "", "", True, False), ("h", number, "[0-9]+", "", "", False, True), ("bad", "([", "[0-9]+", "*", "", True, False), ("plain", number, "", "", "", True, False)]
+    p = spark.createDataFrame(rows, "doc_id string, ex_number_regex string, ex_head_number_regex string, ex_sub_number_regex string, language_identifier_xf_line_regex string, expect_xv boolean, clean_ocr boolean")
+    lexicon = spark.createDataFrame([(w,) for w in "the dog barked vand viarked and it was by of them house there end is on so that".split()] + [("varked",)], "word string")
+    abbreviations = spark.createDataFrame([("g", "PST"), ("g", "PL"), ("h", "ZZZ")], "doc_id string, abbr string")
+    x = extract(docs, p, lexicon, abbreviations, keep=lambda d: d.cache())
+    told = {(r["doc_id"], r["stage"], r["msg"]) for r in x.errors.collect()}
+    assert {("bad", "params", "not a pattern: ex_number_regex"), ("bad", "params", "not a pattern: ex_sub_number_regex"), ("plain", "words", "parsed vernacular lines expected but none found")} <= told
+    assert not any(d in ("g", "h") for d, _, _ in told) and ("bad", "words", "parsed vernacular lines expected but none found") in told
+    assert {r["doc_id"] for r in x.labels.collect()} == {"g", "h"}
+    n = {(r["doc_id"], r["text"][:6]): r["n_abbreviation"] for r in x.features.where("text like 'go-PST dog%'").collect()}
+    assert n == {("g", "go-PST"): 1, ("h", "go-PST"): 0, ("bad", "go-PST"): 0}
+    said = [r["text"].strip() for r in x.sentences.where("doc_id = 'h' and text like '%arked%'").collect()]
+    assert said == ["The dog varked so."]  # read as a word of the lexicon, then cut from the next sentence
+    assert ("h", "kalo") in {(r["doc_id"], r["vernacular"].strip()) for r in x.intext_examples.collect()}
+    assert {r["kind"] for r in x.blocks.where("doc_id = 'g'").collect()} == {"para", "x", "table"}
+    ids = [r["id"] for r in x.blocks.where("doc_id = 'g'").orderBy("place").collect()]
+    assert ids == list(range(1, len(ids) + 1))
+    page = {r["doc_id"]: r["html"] for r in x.augmented.collect()}
+    at = [page["g"].index(s) for s in ("This is the prose", 'data-number="2"', "After.", "(7) a")]
+    assert at == sorted(at) and '<td colspan="2">' in page["g"] and set(page) == {"g", "h", "bad", "plain"}
+    assert [r["xgg_id"] for r in x.example_lines.where("doc_id = 'g' and xgg_no is not null and fn = 'xv'").orderBy("line_id").collect()] == sorted({r["xgg_id"] for r in x.example_lines.where("doc_id = 'g' and xgg_id is not null").collect()})
+
+
+def test_expectations_by_document(spark):
+    rows = [(d, i, disq, 63, i == 0, False) for d in ("usual", "unparsed", "lacking") for i, disq in enumerate([0, 0, 0, 0, 0])]
+    f = spark.createDataFrame(rows, "doc_id string, line_id int, disq int, affirm int, has_ex_number boolean, is_end_body boolean")
+    by = spark.createDataFrame([("usual", True, False, False, False), ("unparsed", False, True, True, True)], "doc_id string, " + ", ".join(f"{c} boolean" for c in recognise.EXPECTATIONS))
+    got = {}
+    for r in recognise.label_examples(f, by).orderBy("doc_id", "line_id").collect():
+        got.setdefault(r["doc_id"], []).append(r["code"])
+    for d, flags in (("usual", {}), ("lacking", {}), ("unparsed", {"expect_xv": False, "expect_xu": True, "expect_xg_xg": True, "expect_xh": True})):
+        assert got[d] == next(t for t in recognise.template_grid(**flags) if len(t) <= 5)
+
+
+def test_no_depth_is_too_deep(spark):
+    inner = "<i>" + "<span>" * 12 + "deep" + "</span>" * 12 + " mid</i> out"
+    t = html.tokens(spark.createDataFrame([("d", f"<p><u>{inner}</u><span style='font-style:italic'>one</span> two</p>")], "doc_id string, html string"))
+    got = {r["text"].strip(): (r["italic"], r["underline"]) for r in layout.inline_styles(t).where("kind = 'text'").collect()}
+    assert got == {"deep": (True, True), "mid": (True, True), "out": (False, True), "one": (True, False), "two": (False, False)}
+    lines = [(1, k, "\t" * k + f"n{k}") for k in range(30)] + [(1, 30, "\t" * 5 + "again"), (1, 31, "\t" * 29 + "far")]
+    tree = {r["label"]: (r["parent_id"], r["skips"]) for r in html.taxonomy(spark.createDataFrame(lines, "doc_id int, line_id int, text string")).collect()}
+    assert all(tree[f"n{k}"] == (k, False) for k in range(30)) and tree["again"] == (5, False) and tree["far"] == (29, True)
+
+
+def test_repairs_keep_spaces(spark):
+    lines = spark.createDataFrame([(1, "a\u00a08il1age  was"), (2, "8il1age")], "line_id int, text string")
+    fix = layout.repair_ocr(lines, spark.createDataFrame([("village",)], "word string"))
+    assert [r["text"] for r in layout.apply_repairs(lines, fix, ["line_id"]).orderBy("line_id").collect()] == ["a\u00a0village  was", "village"]
+
+
+def test_attributes_in_either_quotes(spark):
+    d = spark.createDataFrame([("""<a href='x "y"' id = "z" Href="no">""",)], "tok string")
+    assert d.select(html.attributes(F.col("tok")).alias("a")).first()["a"] == {"href": 'x "y"', "id": "z"}
+    assert d.select(html.attribute(F.col("tok"), "id")).first()[0] == "z"
+
+
+def test_first_of_repeated_params(spark, tmp_path):
+    (tmp_path / "g_params.txt").write_text("ex_number_regex:\tzzz\r\nex_number_regex:\taaa\n")
+    assert params.params_wide(params.read_params(spark, str(tmp_path))).first()["ex_number_regex"] == "zzz"
+
+
 def test_sinks(spark, tmp_path):
     x = extract(spark.createDataFrame([("g", PAGE)], "doc_id string, html string"))
     sinks.write_tsv(words.morph_report(x.morphemes), f"{tmp_path}/morph", header=True)
