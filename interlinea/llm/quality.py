@@ -7,8 +7,8 @@ fixed-point integers, so a document's sum doesn't depend on the order of additio
 is the same in every run.
 
 Defined cases: a null or blank text has no words, fails the base rules and isn't kept; a text with
-words but no weights known (empty corpus) scores 0; repeated rows are judged one by one; all columns
-of the input are carried through, whatever their names.
+words but no weights known (empty corpus) scores 0; very long texts are judged whole; repeated rows are judged one by one, so there are
+no ties; an empty table gives no rows; all columns of the input are carried through, whatever their names.
 """
 
 from __future__ import annotations

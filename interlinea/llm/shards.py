@@ -7,7 +7,8 @@ shards, written under a temporary name and renamed without overwriting, so of tw
 again, and readers see a whole version or none. Old versions stay readable until vacuum().
 
 Defined cases: an empty arrival commits a version without new shards; a store without rows reads as an empty
-table of its schema; repeated rows and nulls are kept as they are; all columns of the arrivals are stored.
+table of its schema; repeated rows, nulls, empty and very long texts are kept as they are; all columns of the arrivals are stored,
+whatever their names; of tiers that are full the lowest is merged first.
 """
 
 from __future__ import annotations
