@@ -6,8 +6,8 @@ undoes the filters with numpy; all five filter types are read. The feature is a
 two-dimensional cosine-transform coefficients against their median.
 
 Defined cases: a null text is an empty payload, which is padded to one image; damaged chunks raise ValueError in
-decode_png; equal payloads give equal images and features; an empty table gives no rows. Only the id and the text
-columns are read.
+decode_png; equal payloads, repeated rows too, give equal images and features; very long texts make tall images, stored whole; samples
+equal to the median give a zero bit; an empty table gives no rows. Only the id and the text columns are read, so others may have any names.
 """
 
 from __future__ import annotations
