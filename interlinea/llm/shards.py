@@ -2,9 +2,12 @@
 
 Arrivals are appended as small immutable Parquet shards. Shards below the target size are put in tiers by size; a
 tier with enough of them is merged by one job without a shuffle into files near the target size, or into one run of
-a higher tier. Each append and each merge commits the next version of the manifest: a JSON file that lists the live
-shards, written under a temporary name and renamed without overwriting, so of two writers one fails and tries
-again, and readers see a whole version or none. Old versions stay readable until vacuum().
+a higher tier. Each append and each merge commits the next version of the manifest: a JSON file of what it adds and drops, written
+under a temporary name and renamed without overwriting, so of two writers one fails and tries again, and readers see a whole version
+or none. After each SPAN versions a file lists all live shards, from which readers start; commits themselves write no more than their
+own. A merge whose shards another writer took away deletes its files and looks anew. Old versions stay readable until vacuum().
+
+The rename is atomic on HDFS and local file systems; on an object store without an atomic rename only one writer is safe.
 
 Defined cases: an empty arrival commits a version without new shards; a store without rows reads as an empty
 table of its schema; repeated rows, nulls, empty and very long texts are kept as they are; all columns of the arrivals are stored,
@@ -21,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import _path, shared_dir, table
+from .common import _path, remove, shared_dir, table
 
 #: Bytes of a file that is big enough to be left alone, of the lowest tier, and how many shards make a tier full.
 TARGET_BYTES, LEAST_BYTES, FANOUT = 128 << 20, 1 << 20, 4
+#: Versions from one list of all shards to the next.
+SPAN = 64
 #: Batches in which op7's documents arrive.
 ARRIVALS = 4
 
@@ -37,34 +42,35 @@ class ShardStore:
 
     # ------------------------------------------------------------ manifest
 
-    def versions(self) -> list[int]:
+    def _numbers(self, kind: str) -> list[int]:
         fs, p = _path(self.spark, f"{self.root}/manifest")
         if not fs.exists(p):
             return []
-        return sorted(int(name[1:-5]) for s in fs.listStatus(p) if (name := s.getPath().getName()).startswith("v") and name.endswith(".json"))
+        return sorted(int(name[1:-5]) for s in fs.listStatus(p) if (name := s.getPath().getName()).startswith(kind) and name.endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> dict:
-        known = self.versions()
-        if not known:
-            return {"version": 0, "schema": None, "shards": []}
-        fs, p = _path(self.spark, f"{self.root}/manifest/v{known[-1] if version is None else version:010d}.json")
+    def versions(self) -> list[int]:
+        return self._numbers("v")
+
+    def _name(self, kind: str, version: int) -> str:
+        return f"{self.root}/manifest/{kind}{version:010d}.json"
+
+    def _load(self, kind: str, version: int) -> dict:
+        fs, p = _path(self.spark, self._name(kind, version))
         stream = fs.open(p)
         try:
             return json.loads(bytes(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
         finally:
             stream.close()
 
-    def _commit(self, old: dict, schema: StructType, add: list[dict], drop: set[str]) -> dict:
-        """The next version, or FileExistsError if another writer was first."""
-        new = {"version": old["version"] + 1, "schema": schema.json(), "shards": [s for s in old["shards"] if s["path"] not in drop] + add}
+    def _save(self, kind: str, content: dict) -> None:
+        """Writes a file as a whole, or FileExistsError if there is one of its name."""
         jvm = self.spark.sparkContext._jvm
-        folder = f"{self.root}/manifest"
-        fs, tmp = _path(self.spark, f"{folder}/.{uuid.uuid4().hex}.tmp")
+        fs, tmp = _path(self.spark, f"{self.root}/manifest/.{uuid.uuid4().hex}.tmp")
         fs.mkdirs(tmp.getParent())
         stream = fs.create(tmp, False)
-        stream.write(bytearray(json.dumps(new).encode()))
+        stream.write(bytearray(json.dumps(content).encode()))
         stream.close()
-        to = jvm.org.apache.hadoop.fs.Path(f"{folder}/v{new['version']:010d}.json")
+        to = jvm.org.apache.hadoop.fs.Path(self._name(kind, content["version"]))
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         try:
             context.rename(tmp, to, self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
@@ -73,6 +79,36 @@ class ShardStore:
             if "FileAlreadyExists" in str(e):
                 raise FileExistsError(str(to)) from e
             raise
+
+    def _list_all(self, m: dict) -> None:
+        """Writes the list of all shards of a version, unless it is there."""
+        try:
+            self._save("l", m)
+        except FileExistsError:
+            pass
+
+    def manifest(self, version: int | None = None) -> dict:
+        """version, schema and live shards: the last list of all shards up to the version, and the changes after it."""
+        if version is None:
+            known = self.versions()
+            version = known[-1] if known else 0
+        lists = [n for n in self._numbers("l") if n <= version]
+        m = self._load("l", lists[-1]) if lists else {"version": 0, "schema": None, "shards": []}
+        live = {s["path"]: s for s in m["shards"]}
+        for v in range(m["version"] + 1, version + 1):
+            change = self._load("v", v)
+            for path in change["drop"]:
+                del live[path]
+            live |= {s["path"]: s for s in change["add"]}
+            m["schema"] = change["schema"]
+        return {"version": version, "schema": m["schema"], "shards": list(live.values())}
+
+    def _commit(self, old: dict, schema: StructType, add: list[dict], drop: set[str]) -> dict:
+        """The next version, or FileExistsError if another writer was first."""
+        new = {"version": old["version"] + 1, "schema": schema.json(), "shards": [s for s in old["shards"] if s["path"] not in drop] + add}
+        self._save("v", {"version": new["version"], "schema": new["schema"], "add": add, "drop": sorted(drop)})
+        if new["version"] % SPAN == 0:
+            self._list_all(new)
         return new
 
     def commit(self, schema: StructType, add: list[dict], drop: set[str] = frozenset()) -> dict:
@@ -94,7 +130,18 @@ class ShardStore:
         df.write.parquet(f"{self.root}/{name}")
         fs, p = _path(self.spark, f"{self.root}/{name}")
         files = [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(p)]
-        return [{"path": f"{name}/{f}", "bytes": n} for f, n in files if f.startswith("part-")]
+        parts = [(f, n) for f, n in files if f.startswith("part-")]
+        return [{"path": f"{name}/{f}", "bytes": n, "of": len(parts)} for f, n in parts]
+
+    def _paths(self, shards: list[dict]) -> list[str]:
+        """What is to be read for shards: whole folders where all their files are live, which is what a job wrote, else files."""
+        folders: dict[str, list[dict]] = {}
+        for s in shards:
+            folders.setdefault(s["path"].rpartition("/")[0], []).append(s)
+        out = []
+        for folder, files in folders.items():
+            out += [folder] if len(files) == files[0]["of"] else [s["path"] for s in files]
+        return [f"{self.root}/{p}" for p in out]
 
     def append(self, df: DataFrame) -> dict:
         return self.commit(df.schema, self._write(df))
@@ -117,9 +164,13 @@ class ShardStore:
             run = tiers[full]
             schema = StructType.fromJson(json.loads(m["schema"]))
             n = max(1, round(sum(s["bytes"] for s in run) / self.target))
-            merged = self.spark.read.schema(schema).parquet(*(f"{self.root}/{s['path']}" for s in run)).coalesce(n)
-            self.commit(schema, self._write(merged), {s["path"] for s in run})
-            merges += 1
+            new = self._write(self.spark.read.schema(schema).parquet(*self._paths(run)).coalesce(n))
+            try:
+                self.commit(schema, new, {s["path"] for s in run})
+                merges += 1
+            except FileExistsError:
+                for folder in {s["path"].rpartition("/")[0] for s in new}:
+                    remove(self.spark, f"{self.root}/{folder}")
 
     def vacuum(self) -> int:
         """Deletes shards and manifests that the latest version doesn't need; the number of files. Not while others write."""
@@ -134,9 +185,11 @@ class ShardStore:
                     gone += 1
             if not list(fs.listStatus(folder.getPath())):
                 fs.delete(folder.getPath(), True)
-        for v in self.versions():
-            if v != m["version"]:
-                fs.delete(_path(self.spark, f"{self.root}/manifest/v{v:010d}.json")[1], False)
+        self._list_all(m)
+        for kind in "vl":
+            for v in self._numbers(kind):
+                if v != m["version"]:
+                    fs.delete(_path(self.spark, self._name(kind, v))[1], False)
         return gone
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -146,7 +199,7 @@ class ShardStore:
         schema = StructType.fromJson(json.loads(m["schema"]))
         if not m["shards"]:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.root}/{s['path']}" for s in m["shards"]))
+        return self.spark.read.schema(schema).parquet(*self._paths(m["shards"]))
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,6 +279,49 @@ def test_two_writers(spark, tmp_path):
         store.commit(df.schema, [], {"data/none"})
 
 
+def test_versions_are_changes_on_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "SPAN", 3)
+    store = shards.ShardStore(spark, f"file://{tmp_path}/s", target=10**6, least=1, fanout=100)
+    for k in range(7):
+        store.append(spark.range(k, k + 1, numPartitions=1))
+    assert store._numbers("l") == [3, 6] and len(store._load("v", 7)["add"]) == 1
+    assert [sorted(r[0] for r in store.read(v).collect()) for v in range(1, 8)] == [list(range(v)) for v in range(1, 8)]
+    store.fanout = 2
+    assert store.compact() >= 1 and sorted(r[0] for r in store.read().collect()) == list(range(7))
+    last = store.versions()[-1]
+    store.vacuum()
+    assert store.versions() == store._numbers("l") == [last] and sorted(r[0] for r in store.read().collect()) == list(range(7))
+    store.append(spark.range(7, 9))
+    assert sorted(r[0] for r in store.read().collect()) == list(range(9))
+
+
+def test_folders_whose_files_are_all_live_are_read_whole(spark, tmp_path):
+    store = shards.ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(spark.range(0, 40, numPartitions=4))
+    m = store.manifest()
+    assert len(m["shards"]) == 4 and len(store._paths(m["shards"])) == 1 and len(store._paths(m["shards"][1:])) == 3
+    store.commit(spark.range(1).schema, [], {m["shards"][0]["path"]})
+    assert store.read().count() == 30
+
+
+def test_a_merge_that_loses_the_race(spark, tmp_path, monkeypatch):
+    store = shards.ShardStore(spark, f"file://{tmp_path}/s", fanout=2)
+    other = shards.ShardStore(spark, f"file://{tmp_path}/s", fanout=2)
+    for k in range(2):
+        store.append(spark.range(k * 10, k * 10 + 10, numPartitions=1))
+    write, raced = store._write, []
+
+    def first_let_the_other(df):
+        files = write(df)
+        if not raced:
+            raced.append(other.compact())
+        return files
+
+    monkeypatch.setattr(store, "_write", first_let_the_other)
+    assert store.compact() == 0 and raced == [1]
+    assert sorted(r[0] for r in store.read().collect()) == list(range(20)) and len(list((tmp_path / "s" / "data").iterdir())) == 3
+
+
 def test_empty_arrivals(spark, tmp_path):
     store = shards.ShardStore(spark, f"file://{tmp_path}/s")
     store.append(spark.range(0))
