@@ -40,7 +40,7 @@ ABBREVIATIONS = '([Pp][Ss5][Tt]|[Dd][Ee][Mm]|[Nn][Ee][GCg]|3[Pp][Lli1]|[Ss5][GCg
 SENTENCE_BOUNDARY, SENTENCE_END = '([A-Za-z\'"”’)][!?.])\\s+([A-Z])', '([A-Za-z\'"”’)][!?.])\\s+$'
 OPAQUE = '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>|<!DOCTYPE[^>]*>'
 TOKEN = '(<[^>]+>|[^<]+)'
-ENTITIES = [('&lt;', '﹤'), ('&gt;', '﹥'), ('&amp;', '﹠'), ('&#13;', '\n'), ('&nbsp;', '\xa0'), ('&quot;', '"'), ('&apos;', "'"), ('&#39;', "'")]
+ENTITIES = [('&lt;', '﹤'), ('&gt;', '﹥'), ('&amp;', '﹠'), ('&#13;', '\n'), ('&nbsp;', '\xa0'), ('&quot;', '"'), ('&apos;', "'"), ('&#39;', "'"), ('&copy;', '©'), ('&middot;', '·')]
 
 
 def q(text: str) -> str:

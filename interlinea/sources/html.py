@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ VOID = ["meta", "link", "br", "img", "hr", "input"]
 OPAQUE = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>|<!DOCTYPE[^>]*>"
 #: Entities that stand for markup characters become their small forms, so that texts never hold markup.
 ENTITIES = [("&lt;", "﹤"), ("&gt;", "﹥"), ("&amp;", "﹠"), ("&#13;", "\n"), ("&nbsp;", "\u00a0"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'")]
+#: An entity, or what stands between entities.
+ENTITY = "(&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);|[^&]+|&)"
 TOKEN = "(<[^>]+>|[^<]+)"
 
 
@@ -19,10 +24,29 @@ def read_documents(spark: SparkSession, path: str, pattern: str = "*_body_*.htm*
     return files.select(F.regexp_replace(F.col("_metadata.file_name"), r"\.html?$", "").alias("doc_id"), F.regexp_replace("value", "^\ufeff", "").alias("html"))
 
 
+def _named() -> Column:
+    """All named entities that end in a semicolon, as a constant map; those of markup characters as in ENTITIES."""
+    small = str.maketrans("<>&", "﹤﹥﹠")
+    return F.from_json(F.lit(json.dumps({f"&{n}": to.translate(small) for n, to in html5.items() if n.endswith(";")})), "map<string,string>")
+
+
+def _numbered(entity: Column) -> Column:
+    """The character of a numeric entity; one that no character has stays as it is."""
+    digits = F.regexp_extract(entity, "^&#[xX]?([0-9A-Fa-f]+);$", 1)
+    code = F.when(F.lower(entity).startswith("&#x"), F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    small = F.when(code == 60, "﹤").when(code == 62, "﹥").when(code == 38, "﹠")
+    return small.when((code < 1) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), entity).otherwise(char)
+
+
 def decode_entities(text: Column) -> Column:
+    """Entities as characters: the usual ones by replacement; others, named or numeric, only where an ampersand is left."""
     for entity, to in ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(to))
-    return text
+    named = _named()
+    one = lambda p: F.when(p.startswith("&#") & p.endswith(";"), _numbered(p)).when(p.startswith("&") & p.endswith(";"), F.coalesce(F.try_element_at(named, p), p)).otherwise(p)
+    parts = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(1))
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(text)
 
 
 def tokens(docs: DataFrame) -> DataFrame:

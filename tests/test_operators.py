@@ -410,3 +410,13 @@ def test_sinks(spark, tmp_path):
         d = sinks.resumed(spark, f"{tmp_path}/stage", lambda: made.append(1) or x.lines)
         assert d.count() == x.lines.count()
     assert made == [1]
+
+
+def test_entities(spark):
+    texts = {
+        "a &copy; b": "a © b", "&#8217;&#x1F600;&eacute;": "’😀é", "&#60;b&#x3e; &LT;x&GT; &AMP; &lt;": "﹤b﹥ ﹤x﹥ ﹠ ﹤", "&amp;copy; &amp": "﹠copy; &amp",
+        "&nosuch; &; & &#0; &#55296; &#9999999; &#x;": "&nosuch; &; & &#0; &#55296; &#9999999; &#x;", "&NotEqualTilde;": "≂̸", "": "", "plain": "plain",
+    }
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").repartition(2)
+    got = {r["t"]: r["d"] for r in df.select("t", html.decode_entities(F.col("t")).alias("d")).collect()}
+    assert got == texts | {None: None}
