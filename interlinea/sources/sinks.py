@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import fields
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +29,8 @@ def write_documents(df: DataFrame, path: str, column: str) -> None:
 
 def write_tables(extraction, folder: str, only: list[str] | None = None) -> list[str]:
     """The tables of an extraction as Parquet, one folder each; the names of those written."""
-    names = [f.name for f in fields(extraction) if only is None or f.name in only]
+    tables = [n for n, v in vars(type(extraction)).items() if isinstance(v, cached_property) and not n.startswith("_")]
+    names = [n for n in tables if only is None or n in only]
     for name in names:
         getattr(extraction, name).write.mode("overwrite").parquet(f"{folder}/{name}")
     return names

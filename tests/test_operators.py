@@ -208,7 +208,7 @@ def test_layout(spark, tokens):
     lines = layout.lines(tokens).where("doc_id = 'g'").orderBy("line_id").collect()
     assert [r["text"] for r in lines][0] == "3.1 Clauses" and lines[0]["header"] and lines[0]["page_no"] == 12 and lines[0]["starts_page"]
     ex = [r for r in lines if r["text"].startswith("(1)")][0]
-    assert [r["text"] for r in lines if r["para_id"] == ex["para_id"]] == ["(1)\xa0\xa0 ka-lo na", "ta-mi so", "go-PST 3", "eat-IND too", "&#8216;"]
+    assert [r["text"] for r in lines if r["para_id"] == ex["para_id"]] == ["(1)\xa0\xa0 ka-lo na", "ta-mi so", "go-PST 3", "eat-IND too", "‘"]
     assert [x["italic"] for x in ex["runs"]] == [False, True]
     two = [r for r in lines if r["text"].startswith("(2)")][0]
     assert [(x["italic"], x["underline"]) for x in two["runs"] if x["text"].strip()] == [(False, False), (True, False), (True, True)]
