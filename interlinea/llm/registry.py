@@ -11,6 +11,7 @@ from .pieces import op3_sentencepiece
 from .quality import op8_quality_rules
 from .shards import OP7_SQL, op7_shards
 from .simhash import op1_simhash_near_dedup
+from .spots import op12_spot_signatures
 from .suffix_array import OP6_SQL, op6_suffix_array_dedup
 from .suffix_trees import OP4_SQL, op4_substring_dedup
 from .whitening import op13_whiten_embeddings
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_mix_sources": op9_mix_sources,
     "op10_media_columns": op10_media_columns,
     "op11_vector_codes": op11_vector_codes,
+    "op12_spot_signatures": op12_spot_signatures,
     "op13_whiten_embeddings": op13_whiten_embeddings,
 }
 
