@@ -46,8 +46,8 @@ COPY_PRINTS, COPY_DISTANCE = 1, 3
 ORDER_SAMPLE, ORDER_LEAST, ORDER_MOST = 16, 4, 1 << 20
 #: Sets under a shingle that one task compares at most, against as many others.
 SET_BLOCK = 1 << 11
-#: Texts of a block of a component in which leaders are found, and of the blocks that are compared in pairs where that doesn't end.
-GROUP, PAIR_BLOCK = 1 << 6, 1 << 9
+#: Texts of a component in which one task finds leaders at once. Spark cuts ranks of up to 1000 before it shuffles.
+GROUP = 1000
 #: Distinct fingerprints of a bucket that one task compares at most, against as many others.
 BLOCK = 1 << 15
 #: Buckets up to this size are compared together; in a larger one, links are a forest if there are more than this a member.
@@ -358,86 +358,119 @@ def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
+class Led:
+    """Sets that lead, with their prefixes indexed: a set is held only against those that it shares a hash of its prefix with."""
+
+    def __init__(self, similarity: float) -> None:
+        self.similarity, self.sets, self.at = similarity, [], {}
+
+    def _first(self, h: np.ndarray) -> list[int]:
+        # Any one order of hashes does; -1 stands for the empty set, which is like itself only.
+        return h[: len(h) - max(int(np.ceil(self.similarity * len(h) - 1e-6)), 1) + 1].tolist() or [-1]
+
+    def has_like(self, h: np.ndarray) -> bool:
+        seen = set()
+        for x in self._first(h):
+            for k in self.at.get(x, ()):
+                if k not in seen:
+                    seen.add(k)
+                    if _alike(h, self.sets[k], self.similarity):
+                        return True
+        return False
+
+    def add(self, h: np.ndarray) -> None:
+        for x in self._first(h):
+            self.at.setdefault(x, []).append(len(self.sets))
+        self.sets.append(h)
+
+
 def _leaders(size: int, similarity: float, schema: pa.Schema) -> Callable:
-    """Rows (root, block, o, t, many, raw) that are unlike all leaders before them in their block; rows come sorted by the first four."""
+    """Rows (root, o, t, raw) that are unlike all leaders before them in their component; rows come sorted by the first three."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, led = None, []
+        now, led = None, Led(similarity)
         for b in batches:
             stays = np.zeros(b.num_rows, bool)
-            for i, (root, block, raw) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(5))):
-                if (root, block) != now:
-                    now, led = (root, block), []
+            for i, (root, raw) in enumerate(zip(b.column(0).to_pylist(), b.column(3))):
+                if root != now:
+                    now, led = root, Led(similarity)
                 h = np.unique(shingle_hashes(raw.as_py(), size))
-                if not any(_alike(h, x, similarity) for x in led):
-                    led.append(h)
+                if not led.has_like(h):
+                    led.add(h)
                     stays[i] = True
             if stays.any():
-                yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(stays)) for i in (0, 2, 3, 4, 5)], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(stays)) for i in range(4)], schema=schema)
 
     return run
 
 
-def _later(size: int, similarity: float, schema: pa.Schema) -> Callable:
-    """(q_, t_) of rows that are like an earlier one of the same pair of blocks; rows (root, lo, hi, o, t, own, raw) come sorted."""
+def _unlike(size: int, similarity: float, schema: pa.Schema) -> Callable:
+    """Rows (root, part, leads, o, t, raw) that don't lead and are unlike all leaders of their part; rows come sorted, leaders first."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, before = None, ([], [])
+        now, led = None, Led(similarity)
         for b in batches:
-            gone = np.zeros(b.num_rows, bool)
-            for i, (root, lo, hi, own, raw) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 1, 2, 5)), b.column(6))):
-                if (root, lo, hi) != now:
-                    now, before = (root, lo, hi), ([], [])
+            stays = np.zeros(b.num_rows, bool)
+            for i, (root, part, follows, raw) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)), b.column(5))):
+                if (root, part) != now:
+                    now, led = (root, part), Led(similarity)
                 h = np.unique(shingle_hashes(raw.as_py(), size))
-                gone[i] = any(_alike(h, x, similarity) for x in before[own == lo if lo != hi else 0])
-                before[own == hi if lo != hi else 0].append(h)
-            if gone.any():
-                o = b.column(3).filter(pa.array(gone))
-                yield pa.RecordBatch.from_arrays([o.field(2), b.column(4).filter(pa.array(gone))], schema=schema)
+                if follows:
+                    stays[i] = not led.has_like(h)
+                else:
+                    led.add(h)
+            if stays.any():
+                yield pa.RecordBatch.from_arrays([b.column(i).filter(pa.array(stays)) for i in (0, 3, 4, 5)], schema=schema)
 
     return run
 
 
-def leaders(pool: DataFrame, size: int, similarity: float, block: int, pair_block: int) -> DataFrame:
-    """(q_, t_) of the rows of pool(root, o, t, raw) that stay.
+def leaders(pool: DataFrame, size: int, similarity: float, block: int = GROUP) -> DataFrame:
+    """(q_, t_) of the rows of pool(root, o, t, raw) that lead: in the order (o, t), those unlike all leaders before them in their component.
 
-    A component is dealt by hash into blocks; in each, a row that is like an earlier leader goes. What is left of components of several
-    blocks is dealt anew until that helps no more; then its blocks are compared in pairs, and a row that is like an earlier one goes.
-    So no task sees more than a block or two, and each row that goes is tied by like ones to one that stays."""
+    Each round takes the first rows of every component, as many as a block, and finds their leaders in one task; what comes after them and
+    is like a new leader goes, in parts of the component that each see these leaders only. What is left is the next round's. So the result is
+    the rule's, whatever the block; no task holds more than a block's leaders, and rounds are as many as blocks of texts that are alike to
+    none before them."""
     spark = pool.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ddl = f"root long, o {dict(pool.dtypes)['o']}, t long, many boolean, raw binary"
-    step, done, before, now, turn = _leaders(size, similarity, arrow_schema(ddl)), [], None, 0, 0
+    ddl = f"root long, o {dict(pool.dtypes)['o']}, t long, raw binary"
+    find, hold, done, old = _leaders(size, similarity, arrow_schema(ddl)), _unlike(size, similarity, arrow_schema(ddl)), [], None
+    order = Window.partitionBy("root").orderBy("o", "t")
     while True:
-        large, large_path = stored(pool.groupBy(F.col("root").alias("root_")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block), "copy_sizes")
-        sized = pool.join(large, F.col("root") == F.col("root_"), "left")
-        if before is not None and now > before * 0.9:
-            break
-        own = F.pmod(F.xxhash64("o", "t", F.lit(turn)), F.coalesce(F.ceil(F.col("c") / block), F.lit(1)))
-        keyed = sized.select("root", own.alias("b"), "o", "t", F.col("c").isNotNull().alias("many"), "raw")
-        left, path = stored(keyed.repartition(n, "root", "b").sortWithinPartitions("root", "b", "o", "t").mapInArrow(step, ddl), "copy_leaders")
-        done.append(left.where("NOT many").select(F.col("o.q").alias("q_"), F.col("t").alias("t_")))
-        remove(spark, large_path)
-        pool, before, now = left.where("many").select("root", "o", "t", "raw"), now if turn else None, left.where("many").count()
-        turn += 1
-        if not now:
+        # A task sends no more than a block of rows of any component.
+        first = pool.select("root", "o", "t").withColumn("n", F.row_number().over(order)).where(F.col("n") <= block)
+        cuts, cuts_path = stored(first.where(F.col("n") == block).select(F.col("root").alias("root_"), F.struct("o", "t").alias("cut")), "copy_cuts")
+        more = not cuts.isEmpty()
+        cut = pool.join(cuts, F.col("root") == F.col("root_"), "left") if more else pool.withColumn("cut", F.lit(None))
+        within = F.lit(True) if not more else F.coalesce(F.struct("o", "t") <= F.col("cut"), F.lit(True))
+        now = cut.where(within).select("root", "o", "t", "raw")
+        led, _ = stored(now.repartition(n, "root").sortWithinPartitions("root", "o", "t").mapInArrow(find, ddl), "copy_leaders")
+        done.append(led.select(F.col("o.q").alias("q_"), F.col("t").alias("t_")))
+        rest = None
+        if more:
+            sizes, sizes_path = stored(cut.where(~within).groupBy(F.col("root").alias("root_")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")), "copy_sizes")
+            at_root = F.col("root") == F.col("root_")
+            part = F.pmod(F.xxhash64("o", "t"), F.col("parts")).cast("int")
+            after = cut.where(~within).drop("root_").join(sizes, at_root).select("root", part.alias("part"), F.lit(True).alias("follows"), "o", "t", "raw")
+            before = led.join(sizes, at_root).select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("follows"), "o", "t", "raw")
+            dealt = after.unionByName(before).repartition(n, "root", "part").sortWithinPartitions("root", "part", "follows", "o", "t")
+            rest, path = stored(dealt.mapInArrow(hold, ddl), "copy_rest")
+            remove(spark, sizes_path)
+        remove(spark, cuts_path)
+        if old:
+            remove(spark, old)
+        if rest is None or rest.isEmpty():
             return functools.reduce(DataFrame.unionByName, done)
-    s = F.coalesce(F.ceil(F.col("c") / pair_block), F.lit(1)).cast("int")
-    dealt = sized.withColumn("s", s).withColumn("own", F.pmod(F.xxhash64("o", "t"), F.col("s")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
-    dealt = dealt.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "o", "t", "own", "raw")
-    ddl = "q_ long, t_ long"
-    gone = dealt.repartition(n, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi", "o", "t").mapInArrow(_later(size, similarity, arrow_schema(ddl)), ddl)
-    gone, _ = stored(gone.distinct(), "copy_later")
-    return functools.reduce(DataFrame.unionByName, done, pool.select(F.col("o.q").alias("q_"), F.col("t").alias("t_")).join(gone, ["q_", "t_"], "left_anti"))
+        pool, old = rest, path
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, prints: int = COPY_PRINTS, distance: int = COPY_DISTANCE, block: int = GROUP, pair_block: int = PAIR_BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SHINGLE, similarity: float = COPY_SIMILARITY, prints: int = COPY_PRINTS, distance: int = COPY_DISTANCE, block: int = GROUP) -> DataFrame:
     """docs with one document of each group of copies.
 
     Texts linked by their fingerprints or by the exact search make a component; texts of that similarity are always in one. In it, by id
-    (nulls last), a document goes if its set of shingles has at least that similarity to that of one before it that leads; see leaders() for
-    large components. So no two that stay are like each other, each that goes is tied by like ones to one that stays, and a document that
-    is only linked to unlike ones isn't left out."""
+    (nulls last), a document goes if its set of shingles has at least that similarity to that of one before it that leads. So no two that
+    stay are like each other, each that goes is like one that stays, and a document that is only linked to unlike ones isn't left out."""
     spark = docs.sparkSession
     paths = []
 
@@ -472,7 +505,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = kept(texts.join(of.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_")).select("root", "o", F.col("t").alias("t_")), "copy_members")
     may_be = sieve(members.select(F.col("o.q").alias("h")))
     pool = source.where(may_be(F.col("q"))).join(members.hint("merge"), (F.col("q") == F.col("o.q")) & (F.col("t") == F.col("t_"))).select("root", "o", "t", "raw")
-    led = leaders(kept(pool, "copy_pool"), size, similarity, block, pair_block)
+    led = leaders(kept(pool, "copy_pool"), size, similarity, block)
 
     # Documents that go, or that have repeated rows.
     gone = members.select(F.col("o.q").alias("q_"), "t_").join(led, ["q_", "t_"], "left_anti")
