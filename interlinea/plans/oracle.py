@@ -296,8 +296,13 @@ lines AS (
   FROM tagged)"""
 EXTRACTED = GROUPS.replace(LINES_SQL, PAGE_TEXT)
 EXTRACTED_REPORT = f"""{EXTRACTED},
-block_places AS (SELECT doc_id, line_id AS place FROM lines ANTI JOIN labels USING (doc_id, line_id) UNION ALL SELECT DISTINCT doc_id, x_line FROM labels),
-block_no AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) AS INTEGER) AS id FROM block_places),
+prose AS (SELECT doc_id, line_id AS place, text || ' ' AS text FROM lines ANTI JOIN labels USING (doc_id, line_id)),
+cut AS (SELECT doc_id, place, string_split(regexp_replace(regexp_replace(text, {q(SENTENCE_BOUNDARY)}, '\\1' || chr(1) || '\\2', 'g'), {q(SENTENCE_END)}, '\\1' || chr(1)), chr(1)) AS said FROM prose),
+block_places AS (
+  SELECT doc_id, place, 0 AS a, 'para' AS kind FROM prose
+  UNION ALL SELECT doc_id, place, unnest(range(1, len(said) + 1)), 'sentence' FROM (SELECT doc_id, place, list_filter(said, lambda s: trim(s) <> '') AS said FROM cut)
+  UNION ALL SELECT DISTINCT doc_id, x_line, 0, 'x' FROM labels),
+block_no AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, a) AS INTEGER) AS id FROM block_places) WHERE kind = 'x'),
 numbered_x AS (SELECT e.doc_id, b.id, e.x_number, e.x_sub_number FROM example_lines e JOIN block_no b ON e.doc_id = b.doc_id AND e.x_line = b.place WHERE e.line_id = e.x_line),
 {report('numbered_x')}"""
 
@@ -336,6 +341,35 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS
 TEXT_LINES = "text_split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), text_lines AS (SELECT doc_id, CAST(unnest(range(1, len(ls) + 1)) AS INTEGER) AS line_id, unnest(ls) AS text FROM text_split)"
 
 
+def _escaped(col: str) -> str:
+    return f"replace(replace(replace({col}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+#: Character by character: what stands over each one, and which tags end or begin between it and the next.
+MARKED = f"""
+mk_words AS (SELECT doc_id, line_id, unnest(w) AS w, unnest(range(len(w))) AS k, len(w) AS n_words FROM (SELECT *, regexp_extract_all(text, '[^\\s\\x{{A0}}]+') AS w FROM text_lines)),
+mk_placed AS (SELECT *, sum(length(w)) OVER (PARTITION BY doc_id, line_id ORDER BY k) AS e FROM mk_words),
+mk_sizes AS (SELECT doc_id, line_id, max(e) AS n FROM mk_placed GROUP BY ALL),
+mk_spans AS (
+  SELECT doc_id, line_id, e - length(w) AS a, e AS b, 9 AS rank, 'v' AS tag FROM mk_placed WHERE regexp_matches(w, '^[A-Z]')
+  UNION ALL SELECT doc_id, line_id, e - length(w) + 1, e - 1, 10, 'abbr' FROM mk_placed WHERE k % 3 = 2 AND length(w) > 2
+  UNION ALL SELECT doc_id, line_id, min(e - length(w)), max(e), 5, 'i' FROM mk_placed WHERE k BETWEEN 1 AND 3 AND n_words > 3 GROUP BY ALL
+  UNION ALL SELECT doc_id, line_id, min(e - length(w)) + 1, max(e), 6, 'u' FROM mk_placed WHERE k BETWEEN 2 AND 5 AND n_words > 5 GROUP BY ALL
+  UNION ALL SELECT doc_id, line_id, n // 4, n // 2, 7, 'sup' FROM mk_sizes WHERE n > 3
+  UNION ALL SELECT doc_id, line_id, n // 3, 2 * n // 3, 2, 'intx' FROM mk_sizes WHERE n > 2),
+mk_units AS (SELECT doc_id, line_id, unnest(u) AS unit, unnest(range(len(u))) AS p FROM (SELECT doc_id, line_id, regexp_extract_all(text, '[^\\s\\x{{A0}}][\\s\\x{{A0}}]*') AS u FROM text_lines)),
+mk_over AS (SELECT u.doc_id, u.line_id, u.p, list({{'a': s.a, 'b': s.b, 'rank': s.rank, 'tag': s.tag}} ORDER BY s.a, s.b DESC, s.rank) AS st
+            FROM mk_units u JOIN mk_spans s ON u.doc_id = s.doc_id AND u.line_id = s.line_id AND s.a <= u.p AND s.b > u.p GROUP BY ALL),
+mk_stacks AS (SELECT u.*, coalesce(o.st, []) AS st FROM mk_units u LEFT JOIN mk_over o USING (doc_id, line_id, p)),
+mk_near AS (SELECT *, coalesce(lag(st) OVER w, []) AS before, coalesce(lead(st) OVER w, []) AS after FROM mk_stacks WINDOW w AS (PARTITION BY doc_id, line_id ORDER BY p)),
+mk_kept AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, len(st) + 1), lambda i: coalesce(st[i] = before[i], false)), false), 0) - 1, len(st)) AS k0,
+                   coalesce(nullif(list_position(list_transform(range(1, len(st) + 1), lambda i: coalesce(st[i] = after[i], false)), false), 0) - 1, len(st)) AS k1 FROM mk_near),
+mk_out AS (SELECT doc_id, line_id, string_agg(
+      coalesce(array_to_string(list_transform(st[k0 + 1:], lambda x: '<' || x.tag || '>'), ''), '') || {_escaped("unit[1]")}
+      || coalesce(array_to_string(list_reverse(list_transform(st[k1 + 1:], lambda x: '</' || x.tag || '>')), ''), '') || substr(unit, 2), '' ORDER BY p) AS body FROM mk_kept GROUP BY ALL)
+SELECT doc_id, line_id, regexp_extract(text, '^[\\s\\x{{A0}}]*') || coalesce(body, '') AS marked FROM text_lines LEFT JOIN mk_out USING (doc_id, line_id)"""
+
+
 def lexicon(least: int) -> str:
     return f"lexicon AS (SELECT word FROM (SELECT doc_id, unnest(list_distinct(regexp_extract_all(coalesce(text, ''), '[a-z]+'))) AS word FROM documents WHERE lang = 'en') GROUP BY word HAVING count(*) >= {least})"
 

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexical
-from ..operators import annotate, features, grouping, layout, recognise, reports, sentences, words
+from ..operators import annotate, features, grouping, layout, markup, recognise, reports, sentences, words
 from ..sources import html, params
+from ..sources.shared import Shelf
 from . import oracle, synthetic
 from .extract import Extraction, extract
 
@@ -126,17 +126,46 @@ def igt_abbreviation_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 ABBREVIATIONS = ["PST", "SG", "PL", "DEM", "NEG", "3", "Q", "3PL"]
 
 
+def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lines of texts with spans that cross each other: over words, from inside one word to the end of another, over shares of a line."""
+    lines = _text_lines(spark, sf_dir)
+    n = F.col("n")
+    at = lambda k: F.get("ends", k) - F.length(F.get("words", k))
+    end = lambda k: F.get("ends", k)
+    every = lambda i: markup.span(at(i), end(i), "v")
+    inner = lambda i: markup.span(at(i) + 1, end(i) - 1, "abbr")
+    places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike("^[A-Z]"))
+    thirds = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: (i % 3 == 2) & (F.length(F.get("words", i)) > 2))
+    few = [
+        F.when(F.size("words") > 3, markup.span(at(F.lit(1)), end(F.lit(3)), "i")),
+        F.when(F.size("words") > 5, markup.span(at(F.lit(2)) + 1, end(F.lit(5)), "u")),
+        F.when(n > 3, markup.span(F.floor(n / 4), F.floor(n / 2), "sup")),
+        F.when(n > 2, markup.span(F.floor(n / 3), F.floor(2 * n / 3), "intx")),
+    ]
+    d = lines.withColumn("words", F.regexp_extract_all("text", F.lit(r"([^\s\x{A0}]+)"), F.lit(1))).where(F.size("words") > 0)
+    d = d.select("doc_id", "line_id", "words", F.posexplode("words").alias("k", "w"))
+    w = Window.partitionBy("doc_id", "line_id")
+    d = d.withColumn("e", F.sum(F.length("w")).over(w.orderBy("k")).cast("int"))
+    d = d.groupBy("doc_id", "line_id").agg(F.sort_array(F.collect_list(F.struct("k", "w", "e"))).alias("x"))
+    d = d.select("doc_id", "line_id", F.transform("x", lambda x: x["w"]).alias("words"), F.transform("x", lambda x: x["e"]).alias("ends")).withColumn("n", F.get("ends", F.size("ends") - 1))
+    spans = markup.exploded(d, ["doc_id", "line_id"], F.filter(F.concat(F.transform(places, every), F.transform(thirds, inner), F.array(*few)), lambda x: x.isNotNull()))
+    return markup.marked(lines, spans, ["doc_id", "line_id"]).select("doc_id", "line_id", "marked")
+
+
 # ---------------------------------------------------------------- the whole extraction, from pages made of the example lines
 
 
-def _extracted(spark: SparkSession, sf_dir: str) -> Extraction:
-    """Each document's lines as a page of paragraphs, with an image after what ends a stretch of body text."""
+def _extracted(spark: SparkSession, sf_dir: str, styled: bool = False) -> Extraction:
+    """Each document's lines as a page of paragraphs, with an image after what ends a stretch of body text.
+
+    styled: the first two words of a line are in italics, and the second and third one underlined, so the styles cross."""
     lines = synthetic.igt_lines(table(spark, sf_dir, "documents"))
-    p = F.concat(F.lit("<p>"), "text", F.lit("</p>"), F.when(F.col("is_end_body"), F.lit("<img src='x.png'/>")).otherwise(F.lit("")))
+    text = F.regexp_replace("text", r"^(\S+) (\S+) (\S+)", "<i>$1 <u>$2</u></i> <u>$3</u>") if styled else F.col("text")
+    p = F.concat(F.lit("<p>"), text, F.lit("</p>"), F.when(F.col("is_end_body"), F.lit("<img src='x.png'/>")).otherwise(F.lit("")))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_id", p.alias("p")))), lambda x: x["p"]), "\n")
     docs = lines.groupBy("doc_id").agg(F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
     by_document = table(spark, sf_dir, "documents").select("doc_id").distinct().select("doc_id", *[F.lit(v).alias(k) for k, v in synthetic.PARAMS.items()], F.lit(True).alias("expect_xv"), F.lit(False).alias("clean_ocr"))
-    return extract(docs, by_document, abbreviations=ABBREVIATIONS, keep=lambda d: d.persist(StorageLevel.DISK_ONLY))
+    return extract(docs, by_document, abbreviations=ABBREVIATIONS, keep=Shelf(spark).keep)
 
 
 def extracted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +176,11 @@ def extracted_example_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir).example_report
 
 
+def extracted_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The augmented page of each document, of styled lines."""
+    return _extracted(spark, sf_dir, styled=True).augmented
+
+
 # ---------------------------------------------------------------- markup of pages
 
 
@@ -290,7 +324,7 @@ QUERIES = {
     for f in (
         igt_line_features, template_grid, igt_labels, igt_groups, igt_examples, igt_words, igt_alignment, igt_word_pairs, igt_morphemes,
         igt_morph_report, igt_gloss_report, igt_multiword_repair, igt_person_number_repair, igt_misaligned_groups, igt_example_report,
-        igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, extracted_labels, extracted_example_report, page_tokens, page_tag_histogram, page_without_navigation, page_element_ids,
+        igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, extracted_labels, extracted_example_report, marked_lines, extracted_page, page_tokens, page_tag_histogram, page_without_navigation, page_element_ids,
         page_lines, simplified_english, lexicon_by_frequency, english_counts, document_sentences, conversation_sentences, ocr_repairs, suffix_forms,
         new_documents, event_run_lengths, event_forward_fill, event_gap_flags, block_ids, params_long, params_wide, geography_taxonomy,
     )
@@ -316,6 +350,7 @@ ORACLE_SQL = {
     "igt_misaligned_groups": f"{_W}{oracle.PAIRS} SELECT DISTINCT doc_id, x_line, xgg_no FROM (SELECT doc_id, x_line, xgg_no FROM aligned WHERE word_misalignment UNION ALL SELECT doc_id, x_line, xgg_no FROM pairs WHERE xv_junctures <> xg_junctures)",
     "igt_example_report": f"{_W}{oracle.GROUPS}, numbered_x AS (SELECT doc_id, x_line AS id, x_number, x_sub_number FROM example_lines WHERE line_id = x_line), {oracle.report('numbered_x')}",
     "igt_abbreviation_tags": f"WITH {synthetic.LINES_SQL}, tagged AS (SELECT doc_id, line_id, {oracle.abbreviations(oracle.ABBREVIATIONS)} AS tagged FROM lines) SELECT *, CAST(length(tagged) - length(replace(tagged, '⟦', '')) AS INTEGER) AS n_abbreviation FROM tagged",
+    "marked_lines": f"WITH {oracle.TEXT_LINES}, {oracle.MARKED}",
     "extracted_labels": f"{_W}{oracle.EXTRACTED} SELECT doc_id, x_line, line_id, fn, code, pass FROM labels",
     "extracted_example_report": f"{_W}{oracle.EXTRACTED_REPORT}",
     "page_tokens": f"WITH {oracle.TOKENS_CTE} SELECT doc_id, ord, kind, name, coalesce(text, '') AS text FROM tokens",

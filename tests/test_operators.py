@@ -351,11 +351,12 @@ def test_extract_by_document(spark):
     assert said == ["The dog varked so."]  # read as a word of the lexicon, then cut from the next sentence
     assert ("h", "kalo") in {(r["doc_id"], r["vernacular"].strip()) for r in x.intext_examples.collect()}
     assert {r["kind"] for r in x.blocks.where("doc_id = 'g'").collect()} == {"para", "x", "table"}
-    ids = [r["id"] for r in x.blocks.where("doc_id = 'g'").orderBy("place").collect()]
-    assert ids == list(range(1, len(ids) + 1))
+    nodes = x.nodes.where("doc_id = 'g'").orderBy("id").collect()
+    assert [r["id"] for r in nodes] == list(range(1, len(nodes) + 1))
+    assert [r["kind"] for r in nodes][-6:] == ["table", "tr", "td", "td", "tr", "td"]
     page = {r["doc_id"]: r["html"] for r in x.augmented.collect()}
     at = [page["g"].index(s) for s in ("This is the prose", 'data-number="2"', "After.", "(7) a")]
-    assert at == sorted(at) and '<td colspan="2">' in page["g"] and set(page) == {"g", "h", "bad", "plain"}
+    assert at == sorted(at) and ' colspan="2">(7) a</td>' in page["g"] and set(page) == {"g", "h", "bad", "plain"}
     assert [r["xgg_id"] for r in x.example_lines.where("doc_id = 'g' and xgg_no is not null and fn = 'xv'").orderBy("line_id").collect()] == sorted({r["xgg_id"] for r in x.example_lines.where("doc_id = 'g' and xgg_id is not null").collect()})
 
 
