@@ -39,7 +39,7 @@ EDGE_LEFT, EDGE_RIGHT = '([A-Za-z0-9][-=+:﹤﹥.])', '([-=+:﹤﹥.][A-Za-z0-9]
 ABBREVIATIONS = '([Pp][Ss5][Tt]|[Dd][Ee][Mm]|[Nn][Ee][GCg]|3[Pp][Lli1]|[Ss5][GCg]|[Pp][Lli1]|[Qq])'
 SENTENCE_BOUNDARY, SENTENCE_END = '([A-Za-z\'"”’)][!?.])\\s+([A-Z])', '([A-Za-z\'"”’)][!?.])\\s+$'
 OPAQUE = '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>|<!DOCTYPE[^>]*>'
-TOKEN = '(<[^>]+>|[^<]+)'
+TOKEN = """(</?[A-Za-z](?:[^>"']|"[^"]*"|'[^']*')*>|</?[A-Za-z][^>]*>|<[!?/][^>]*>|[^<]+|<)"""
 ENTITIES = [('&lt;', '﹤'), ('&gt;', '﹥'), ('&amp;', '﹠'), ('&#13;', '\n'), ('&nbsp;', '\xa0'), ('&quot;', '"'), ('&apos;', "'"), ('&#39;', "'"), ('&copy;', '©'), ('&middot;', '·')]
 
 
@@ -317,8 +317,40 @@ TOKENS_CTE = f"""
 cut AS (SELECT page_id AS doc_id, regexp_extract_all(regexp_replace(coalesce(html, ''), {q(OPAQUE)}, '', 'g'), {q(TOKEN)}) AS toks FROM pages),
 tok AS (SELECT doc_id, CAST(unnest(range(1, len(toks) + 1)) AS INTEGER) AS ord, unnest(toks) AS tok FROM cut),
 named AS (SELECT *, CASE WHEN tok LIKE '<%' THEN lower(regexp_extract(tok, '^</?([A-Za-z][A-Za-z0-9]*)', 1)) ELSE '' END AS name FROM tok),
-kinds AS (SELECT *, CASE WHEN tok NOT LIKE '<%' THEN 'text' WHEN tok LIKE '</%' THEN 'close' WHEN name IN ('meta', 'link', 'br', 'img', 'hr', 'input') OR tok LIKE '%/>' THEN 'empty' ELSE 'open' END AS kind FROM named),
-tokens AS (SELECT *, CASE WHEN kind = 'text' THEN {_decoded('tok')} END AS text FROM kinds)"""
+kinds AS (SELECT *, CASE WHEN tok NOT LIKE '<_%' THEN 'text' WHEN name = '' OR name IN ('meta', 'link', 'br', 'img', 'hr', 'input') OR (tok LIKE '%/>' AND tok NOT LIKE '</%') THEN 'empty' WHEN tok LIKE '</%' THEN 'close' ELSE 'open' END AS kind FROM named),
+tokens AS (SELECT *, CASE WHEN kind = 'text' THEN CASE WHEN tok = '<' THEN '﹤' ELSE {_decoded('tok')} END END AS text FROM kinds)"""
+
+#: Tag after tag, with the list of open elements, the innermost last; what a tag ends is told by two tables.
+BALANCED = f"""{TOKENS_CTE},
+ending AS (SELECT * FROM (VALUES
+  ('p', ['p'], ['td', 'th', 'table', 'caption', 'button']), ('li', ['li'], ['ul', 'ol', 'td', 'th', 'table']), ('dt', ['dt', 'dd'], ['dl', 'td', 'th', 'table']),
+  ('dd', ['dt', 'dd'], ['dl', 'td', 'th', 'table']), ('option', ['option'], ['select', 'td', 'th', 'table']), ('tr', ['tr', 'td', 'th'], ['table', 'thead', 'tbody', 'tfoot']),
+  ('td', ['td', 'th'], ['tr', 'table', 'thead', 'tbody', 'tfoot']), ('th', ['td', 'th'], ['tr', 'table', 'thead', 'tbody', 'tfoot']),
+  ('thead', ['thead', 'tbody', 'tfoot', 'tr', 'td', 'th'], ['table']), ('tbody', ['thead', 'tbody', 'tfoot', 'tr', 'td', 'th'], ['table']), ('tfoot', ['thead', 'tbody', 'tfoot', 'tr', 'td', 'th'], ['table'])) AS v(name, ends, stops)),
+bal_tags AS (
+  SELECT t.doc_id, t.ord, t.kind, t.name, row_number() OVER (PARTITION BY t.doc_id ORDER BY t.ord) AS n,
+         CASE WHEN kind = 'close' THEN [t.name] ELSE coalesce(e.ends, []) END AS ends,
+         CASE WHEN kind = 'open' THEN coalesce(e.stops, []) WHEN t.name IN ('table', 'html', 'body') THEN [] WHEN t.name IN ('tr', 'td', 'th', 'thead', 'tbody', 'tfoot', 'caption') THEN ['table'] ELSE ['td', 'th', 'table', 'caption'] END AS stops
+  FROM tokens t LEFT JOIN ending e ON e.name = t.name WHERE kind IN ('open', 'close')),
+bal AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS n, CAST(0 AS INTEGER) AS ord, CAST([] AS VARCHAR[]) AS stack, CAST([] AS VARCHAR[]) AS ended, false AS dropped FROM cut
+  UNION ALL
+  SELECT doc_id, n, ord,
+         CASE WHEN kind = 'open' THEN list_append(stack[:place - 1], name) WHEN place <= len(stack) THEN stack[:place - 1] ELSE stack END,
+         CASE WHEN kind = 'open' THEN list_reverse(stack[place:]) ELSE list_reverse(stack[place + 1:]) END,
+         kind = 'close' AND place > len(stack)
+  FROM (SELECT t.*, b.stack,
+               -- The place from which on elements end: of an end tag the last of its name, of a start tag the first of what it implies.
+               coalesce(CASE WHEN t.kind = 'close' THEN list_max(p.hits) ELSE list_min(p.hits) END, len(b.stack) + 1) AS place
+        FROM bal b JOIN bal_tags t ON t.doc_id = b.doc_id AND t.n = b.n + 1,
+             LATERAL (SELECT coalesce(list_max(list_filter(range(1, len(b.stack) + 1), lambda i: list_contains(t.stops, b.stack[i]))), 0) AS stop) s,
+             LATERAL (SELECT list_filter(range(1, len(b.stack) + 1), lambda i: i > s.stop AND list_contains(t.ends, b.stack[i])) AS hits) p)),
+bal_last AS (SELECT doc_id, stack FROM bal QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) = 1),
+bal_rows AS (
+  SELECT t.doc_id, t.ord, 1000000 AS j, t.kind, t.name, coalesce(t.text, '') AS text, false AS implied FROM tokens t ANTI JOIN (SELECT * FROM bal WHERE dropped) d USING (doc_id, ord)
+  UNION ALL SELECT doc_id, ord, unnest(range(len(ended))), 'close', unnest(ended), '', true FROM bal WHERE len(ended) > 0
+  UNION ALL SELECT doc_id, 1000000000, unnest(range(len(stack))), 'close', unnest(list_reverse(stack)), '', true FROM bal_last WHERE len(stack) > 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, j) AS INTEGER) AS ord, kind, name, text, implied FROM bal_rows"""
 
 
 def depth(names: list[str]) -> str:

@@ -192,6 +192,11 @@ def page_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir).select("doc_id", "ord", "kind", "name", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def page_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = html.balanced(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html"))
+    return t.select("doc_id", "ord", "kind", "name", F.coalesce("text", F.lit("")).alias("text"), "implied")
+
+
 def page_tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir).where("kind <> 'text'").groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -324,7 +329,7 @@ QUERIES = {
     for f in (
         igt_line_features, template_grid, igt_labels, igt_groups, igt_examples, igt_words, igt_alignment, igt_word_pairs, igt_morphemes,
         igt_morph_report, igt_gloss_report, igt_multiword_repair, igt_person_number_repair, igt_misaligned_groups, igt_example_report,
-        igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, extracted_labels, extracted_example_report, marked_lines, extracted_page, page_tokens, page_tag_histogram, page_without_navigation, page_element_ids,
+        igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, extracted_labels, extracted_example_report, marked_lines, extracted_page, page_tokens, page_balanced, page_tag_histogram, page_without_navigation, page_element_ids,
         page_lines, simplified_english, lexicon_by_frequency, english_counts, document_sentences, conversation_sentences, ocr_repairs, suffix_forms,
         new_documents, event_run_lengths, event_forward_fill, event_gap_flags, block_ids, params_long, params_wide, geography_taxonomy,
     )
@@ -354,6 +359,7 @@ ORACLE_SQL = {
     "extracted_labels": f"{_W}{oracle.EXTRACTED} SELECT doc_id, x_line, line_id, fn, code, pass FROM labels",
     "extracted_example_report": f"{_W}{oracle.EXTRACTED_REPORT}",
     "page_tokens": f"WITH {oracle.TOKENS_CTE} SELECT doc_id, ord, kind, name, coalesce(text, '') AS text FROM tokens",
+    "page_balanced": f"WITH RECURSIVE {oracle.BALANCED}",
     "page_tag_histogram": f"WITH {oracle.TOKENS_CTE} SELECT name, kind, count(*) AS n FROM tokens WHERE kind <> 'text' GROUP BY ALL",
     "page_without_navigation": f"WITH {oracle.TOKENS_CTE}, d AS (SELECT *, {oracle.depth(['nav', 'footer'])} AS inside FROM tokens) SELECT doc_id, ord, text FROM d WHERE kind = 'text' AND inside <= 0",
     "page_element_ids": f"WITH {oracle.TOKENS_CTE} SELECT doc_id, ord, name, 'seq_' || row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS html_id FROM tokens WHERE kind = 'open' AND name IN ('p', 'tr', 'h1')",
