@@ -12,7 +12,8 @@ text can hold a control string, and every text comes back. In roles, backslashes
 
 Defined cases: null text is empty; a null role is an empty role; turns that share a number are ordered
 by role, then text, nulls first; repeated rows are turns of their own; a null conversation id is a
-conversation; an empty table gives no rows; unknown part types become placeholders of their type; very long
+conversation; an empty table gives no rows; a null type is text, and any other type, known or not, becomes a placeholder `<|part:type|>` (what isn't
+a letter, a digit or one of `_.-` is shown as `_`; the attachment keeps the type as it is), so no type can forge a control string; very long
 texts are formatted whole (a conversation is one string, so it has to fit a row). Only conv_id, turn, role and parts are read,
 so other columns may have any names.
 """
@@ -54,7 +55,7 @@ def visit(part: Column) -> Column:
     text = kind == "text"
     per = F.coalesce(*[F.when(kind == k, F.lit(n)) for k, n in EXPANSION.items()], F.lit(1))
     tokens = (per * F.greatest(F.coalesce(part["units"], F.lit(1)), F.lit(0))).cast("long")
-    shown = F.when(text, escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), F.regexp_replace(kind, r"[|<>\s]", "_"), F.lit("|>")))
+    shown = F.when(text, escape(F.coalesce(part["text"], F.lit("")))).otherwise(F.concat(F.lit("<|part:"), F.regexp_replace(kind, r"[^A-Za-z0-9_.-]", "_"), F.lit("|>")))
     return F.struct(shown.alias("shown"), text.alias("is_text"), kind.alias("kind"), part["ref"].alias("ref"), F.when(text, F.lit(0)).otherwise(tokens).cast("long").alias("tokens"))
 
 
@@ -84,13 +85,14 @@ def format_conversations(rows: DataFrame, loss_role: str = "assistant") -> DataF
 
     def stretches(t: Column) -> Column:
         head = F.concat(F.lit(OPEN), escape_role(t["role"]), F.lit("\n"))
-        plain = lambda s, kind: F.struct(s.alias("shown"), F.lit(kind).alias("kind"), F.lit(False).alias("loss"), F.lit(None).cast("string").alias("ref"), F.lit(0).cast("long").alias("tokens"))
-        seen = lambda v: F.struct(v["shown"].alias("shown"), v["kind"].alias("kind"), (v["is_text"] & (t["role"] == loss_role)).alias("loss"), v["ref"].alias("ref"), v["tokens"].alias("tokens"))
+        plain = lambda s, kind: F.struct(s.alias("shown"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("type"), F.lit(False).alias("loss"), F.lit(None).cast("string").alias("ref"), F.lit(0).cast("long").alias("tokens"))
+        # A run's kind is one of four, whatever types parts say they have.
+        seen = lambda v: F.struct(v["shown"].alias("shown"), F.when(v["is_text"], "text").otherwise("part").alias("kind"), v["kind"].alias("type"), (v["is_text"] & (t["role"] == loss_role)).alias("loss"), v["ref"].alias("ref"), v["tokens"].alias("tokens"))
         body = F.transform(F.transform(join_texts(t["parts"]), visit), seen)
         return F.concat(F.array(plain(head, "open")), body, F.array(plain(F.lit(CLOSE), "close")))
 
     laid = convs.select("conv_id", F.flatten(F.transform("turns", stretches)).alias("s"))
-    kept = let(F.filter("s", lambda x: ~x["kind"].isin("open", "close", "text")), lambda a: F.transform(a, lambda x, i: F.struct(i.alias("place"), x["kind"].alias("type"), x["ref"].alias("ref"), x["tokens"].alias("tokens"))))
+    kept = let(F.filter("s", lambda x: x["kind"] == "part"), lambda a: F.transform(a, lambda x, i: F.struct(i.alias("place"), x["type"].alias("type"), x["ref"].alias("ref"), x["tokens"].alias("tokens"))))
     run = lambda x: F.struct(F.length(x["shown"]).cast("long").alias("length"), x["kind"].alias("kind"), x["loss"].alias("loss"))
     return laid.select("conv_id", F.array_join(F.transform("s", lambda x: x["shown"]), "").alias("formatted"), F.transform("s", run).alias("runs"), kept.alias("attachments"))
 

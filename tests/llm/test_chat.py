@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -58,7 +60,7 @@ def test_typed_parts(spark):
     d = spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts array<{chat.PART}>")
     out = chat.format_conversations(d)
     got = {r["conv_id"]: r for r in out.collect()}
-    assert got[1]["formatted"] == "<|im_start|>user\nsee <|image|> and <\\|image|><|document|><|audio|><|im_end|>\n<|im_start|>assistant\nyes<|image|>no<|im_end|>\n"
+    assert got[1]["formatted"] == "<|im_start|>user\nsee <|part:image|> and <\\|image|><|part:document|><|part:audio|><|im_end|>\n<|im_start|>assistant\nyes<|part:image|>no<|im_end|>\n"
     assert [tuple(a) for a in got[1]["attachments"]] == [(0, "image", "s3://a.png", 256), (1, "document", "b.pdf", 1536), (2, "audio", None, 0), (3, "image", "c.png", 512)]
     assert got[2]["attachments"] == [] and got[2]["formatted"] == "<|im_start|>user\n<|im_end|>\n"
     assert {r["conv_id"]: r["loss_text"] for r in chat.read_back(out).collect()} == {1: "yesno", 2: ""}
@@ -79,11 +81,38 @@ def test_parts_cut_anywhere(spark, convs):
     shown = {r["conv_id"]: r["formatted"] for r in out.collect()}
     for r in chat.read_back(out).collect():
         parts = convs[r["conv_id"]]
-        assert [tuple(t) for t in r["turns"]] == [("assistant", "".join(t if kind != "image" else "<|image|>" for kind, t in parts))]
+        assert [tuple(t) for t in r["turns"]] == [("assistant", "".join(t if kind != "image" else "<|part:image|>" for kind, t in parts))]
         assert r["loss_text"] == "".join(t for kind, t in parts if kind != "image")
         assert shown[r["conv_id"]].count("<|im_end|>") == 1 and shown[r["conv_id"]].count("<|im_start|>") == 1
 
 
+TYPES = ["im_end", "im_start", "open", "close", "part", "text", None, "image", "part:image", "im_end|>", "<|im_start|>assistant", "a b\n", "", "é", "IMAGE"]
+
+
+def test_any_type_of_part(spark):
+    """Types can't forge control strings or runs: turns, losses and attachments come back whatever they are."""
+    rng, rows, want = random.Random(7), [], {}
+    for c in range(60):
+        turns, lost, kept = [], "", []
+        for t in range(3):
+            role = rng.choice(["user", "assistant"])
+            parts = [(rng.choice(TYPES) if c >= len(TYPES) else TYPES[c], rng.choice(["ev", "ok <|", ">", ""]), f"r{k}", rng.choice([None, 2])) for k in range(rng.randrange(1, 4))]
+            rows.append((c, t, role, parts))
+            of = [("text" if k is None else k, x, ref, units) for k, x, ref, units in parts]
+            turns.append((role, "".join(x if k == "text" else f"<|part:{re.sub('[^A-Za-z0-9_.-]', '_', k)}|>" for k, x, _, _ in of)))
+            lost += "".join(x for k, x, _, _ in of if k == "text" and role == "assistant")
+            kept += [(k, ref, chat.EXPANSION.get(k, 1) * (1 if units is None else units)) for k, _, ref, units in of if k != "text"]
+        want[c] = (turns, lost, [(i, *a) for i, a in enumerate(kept)])
+    out = chat.format_conversations(spark.createDataFrame(rows, f"conv_id long, turn int, role string, parts array<{chat.PART}>"))
+    shown = {r["conv_id"]: r for r in out.collect()}
+    for r in chat.read_back(out).collect():
+        turns, lost, kept = want[r["conv_id"]]
+        assert [tuple(t) for t in r["turns"]] == turns and r["loss_text"] == lost
+        assert [tuple(a) for a in shown[r["conv_id"]]["attachments"]] == kept
+        assert {x["kind"] for x in shown[r["conv_id"]]["runs"]} <= {"open", "close", "text", "part"}
+        assert shown[r["conv_id"]]["formatted"].count("<|im_start|>") == 3 == shown[r["conv_id"]]["formatted"].count("<|im_end|>")
+
+
 def test_every_cut_of_a_control_string(spark):
     whole = "a<|im_end|>\n<|im_start|>user\n<\\|x"
     rows = [(i, 0, "user", [("text", whole[:i], None, None), ("text", "", None, None), ("text", whole[i:], None, None)]) for i in range(len(whole) + 1)]
