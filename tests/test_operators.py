@@ -421,3 +421,29 @@ def test_entities(spark):
     df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").repartition(2)
     got = {r["t"]: r["d"] for r in df.select("t", html.decode_entities(F.col("t")).alias("d")).collect()}
     assert got == texts | {None: None}
+
+
+def test_documents_without_numbered_examples(spark):
+    """What says that it lacks them is left alone: no labels, no morphemes, no complaint; the others are harvested as ever."""
+    docs = spark.createDataFrame([("g", PAGE), ("none", PAGE)], "doc_id string, html string")
+    number = r"^\([0-9]+\)"
+    rows = [("g", number, "[0-9]+", "", "", True, False), ("none", number, "[0-9]+", "", "", True, True)]
+    p = spark.createDataFrame(rows, "doc_id string, ex_number_regex string, ex_head_number_regex string, ex_sub_number_regex string, language_identifier_xf_line_regex string, expect_xv boolean, lacks_numbered_examples boolean")
+    x = extract(docs, p, keep=lambda d: d.cache())
+    assert {r["doc_id"] for r in x.labels.collect()} == {"g"} and {r["doc_id"] for r in x.morphemes.collect()} == {"g"}
+    assert {r["doc_id"] for r in x.sentences.collect()} == {"g", "none"} and x.errors.count() == 0
+    one_for_all = extract(docs, {"ex_number_regex": number, "lacks_numbered_examples": True})
+    assert one_for_all.labels.count() == 0 and one_for_all.lines.count() > 0
+
+
+def test_page_markers_before_numbers(spark):
+    """A marker before an example number belongs to the paragraph before, by each document's pattern; one before other text doesn't."""
+    page = "<p>a</p><p>BREAK HERE PAGE 3</p><p>(1) x</p><p>BREAK HERE PAGE 4</p><p>7 y</p><p>BREAK HERE PAGE 5</p><p>see (2)</p><p>z<br clear='all'>one line</p>"
+    docs = spark.createDataFrame([("n", page), ("m", page), ("none", page)], "doc_id string, html string")
+    p = spark.createDataFrame([("n", r"^\([0-9]+\)"), ("m", r"see|zz")], "doc_id string, ex_number_regex string")
+    lines = extract(docs, p.withColumns({"ex_head_number_regex": F.lit(""), "ex_sub_number_regex": F.lit(""), "language_identifier_xf_line_regex": F.lit("")})).lines
+    got = {}
+    for r in lines.where("page_after_para").collect():
+        got.setdefault(r["doc_id"], set()).add(r["text"])
+    assert got == {"n": {"(1) x", "7 y"}, "m": {"7 y", "see (2)"}, "none": {"7 y"}}
+    assert lines.where("text = 'zone line'").count() == 3
