@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexical
-from ..operators import annotate, features, grouping, layout, markup, recognise, reports, sentences, words
-from ..sources import html, params
-from ..sources.shared import Shelf
+from ..operators import annotate, document, features, grouping, layout, markup, recognise, reports, sentences, words
+from ..sources import files, html, params
+from ..sources.shared import Shelf, shared_dir
 from . import oracle, synthetic
 from .extract import Extraction, extract
 
@@ -181,6 +183,24 @@ def extracted_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracted(spark, sf_dir, styled=True).augmented
 
 
+def report_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The example report as a file a document, without a header, and what is read from the files."""
+    path = f"{shared_dir(spark)}/reports-{uuid.uuid4().hex}"
+    columns = ["id", "full_ex_number", "kind"]
+    report = igt_example_report(spark, sf_dir).withColumn("place", F.substring("id", 2, 20).cast("int"))
+    files.write_reports(report, path, "_examples.tsv", columns, ["place"])
+    back = spark.read.schema(", ".join(f"{c} string" for c in columns)).option("sep", "\t").option("quote", "").option("pathGlobFilter", "*_examples.tsv").csv(path)
+    return back.select(F.regexp_extract(F.col("_metadata.file_name"), "^([0-9]+)_", 1).cast("long").alias("doc_id"), *columns)
+
+
+def reread_example_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The example report from the documents' XML, written and read back."""
+    path = f"{shared_dir(spark)}/documents-{uuid.uuid4().hex}"
+    document.write(_extracted(spark, sf_dir).documents, path)
+    report = document.example_report(document.read(spark, path))
+    return report.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 # ---------------------------------------------------------------- markup of pages
 
 
@@ -329,7 +349,7 @@ QUERIES = {
     for f in (
         igt_line_features, template_grid, igt_labels, igt_groups, igt_examples, igt_words, igt_alignment, igt_word_pairs, igt_morphemes,
         igt_morph_report, igt_gloss_report, igt_multiword_repair, igt_person_number_repair, igt_misaligned_groups, igt_example_report,
-        igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, extracted_labels, extracted_example_report, marked_lines, extracted_page, page_tokens, page_balanced, page_tag_histogram, page_without_navigation, page_element_ids,
+        igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, extracted_labels, extracted_example_report, marked_lines, extracted_page, report_files, reread_example_report, page_tokens, page_balanced, page_tag_histogram, page_without_navigation, page_element_ids,
         page_lines, simplified_english, lexicon_by_frequency, english_counts, document_sentences, conversation_sentences, ocr_repairs, suffix_forms,
         new_documents, event_run_lengths, event_forward_fill, event_gap_flags, block_ids, params_long, params_wide, geography_taxonomy,
     )
@@ -354,10 +374,12 @@ ORACLE_SQL = {
     "igt_person_number_repair": f"{_W}{oracle.repaired('', oracle.PERSON)}",
     "igt_misaligned_groups": f"{_W}{oracle.PAIRS} SELECT DISTINCT doc_id, x_line, xgg_no FROM (SELECT doc_id, x_line, xgg_no FROM aligned WHERE word_misalignment UNION ALL SELECT doc_id, x_line, xgg_no FROM pairs WHERE xv_junctures <> xg_junctures)",
     "igt_example_report": f"{_W}{oracle.GROUPS}, numbered_x AS (SELECT doc_id, x_line AS id, x_number, x_sub_number FROM example_lines WHERE line_id = x_line), {oracle.report('numbered_x')}",
+    "report_files": f"{_W}{oracle.GROUPS}, numbered_x AS (SELECT doc_id, x_line AS id, x_number, x_sub_number FROM example_lines WHERE line_id = x_line), {oracle.report('numbered_x')}",
     "igt_abbreviation_tags": f"WITH {synthetic.LINES_SQL}, tagged AS (SELECT doc_id, line_id, {oracle.abbreviations(oracle.ABBREVIATIONS)} AS tagged FROM lines) SELECT *, CAST(length(tagged) - length(replace(tagged, '⟦', '')) AS INTEGER) AS n_abbreviation FROM tagged",
     "marked_lines": f"WITH {oracle.TEXT_LINES}, {oracle.MARKED}",
     "extracted_labels": f"{_W}{oracle.EXTRACTED} SELECT doc_id, x_line, line_id, fn, code, pass FROM labels",
     "extracted_example_report": f"{_W}{oracle.EXTRACTED_REPORT}",
+    "reread_example_report": f"{_W}{oracle.EXTRACTED_REPORT}",
     "page_tokens": f"WITH {oracle.TOKENS_CTE} SELECT doc_id, ord, kind, name, coalesce(text, '') AS text FROM tokens",
     "page_balanced": f"WITH RECURSIVE {oracle.BALANCED}",
     "page_tag_histogram": f"WITH {oracle.TOKENS_CTE} SELECT name, kind, count(*) AS n FROM tokens WHERE kind <> 'text' GROUP BY ALL",

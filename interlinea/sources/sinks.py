@@ -1,4 +1,4 @@
-"""Sinks: tab-separated reports, XML, Parquet tables of an extraction, and stages that can be resumed."""
+"""Sinks: tab-separated reports, XML, Parquet tables of an extraction, and stages that can be resumed. A file a document: see files.py."""
 
 from __future__ import annotations
 
@@ -22,11 +22,6 @@ def write_xml(df: DataFrame, path: str, row_tag: str, root_tag: str) -> None:
     df.write.mode("overwrite").format("xml").option("rowTag", row_tag).option("rootTag", root_tag).save(path)
 
 
-def write_documents(df: DataFrame, path: str, column: str) -> None:
-    """One text file a partition with a document a line, by document id: for marked-up exports."""
-    df.select("doc_id", column).write.mode("overwrite").json(path)
-
-
 def write_tables(extraction, folder: str, only: list[str] | None = None) -> list[str]:
     """The tables of an extraction as Parquet, one folder each; the names of those written."""
     tables = [n for n, v in vars(type(extraction)).items() if isinstance(v, cached_property) and not n.startswith("_")]
