@@ -11,6 +11,7 @@ from ..functions import lexical
 from ..operators import annotate, document, features, grouping, layout, markup, recognise, reports, sentences, words
 from ..sources import files, html, params
 from ..sources.shared import Shelf, shared_dir
+from ..streaming.incremental import Increments
 from . import oracle, synthetic
 from .extract import Extraction, extract
 
@@ -217,6 +218,16 @@ def page_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", "ord", "kind", "name", F.coalesce("text", F.lit("")).alias("text"), "implied")
 
 
+def incremental_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of pages that came in batches: half of them in another version first, all of them then, and the second batch once more."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")
+    inc = Increments(spark, f"{shared_dir(spark)}/increments-{uuid.uuid4().hex}", lambda d: {"lines": layout.lines(html.tokens(d)).select("doc_id", "line_id", "para_id", "header", "text")})
+    first = pages.withColumn("html", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("<p>old</p>"), "html")).otherwise(F.col("html"))).where("doc_id % 2 = 0")
+    for n, batch in ((0, first), (1, pages), (1, pages)):
+        inc.process(batch, n)
+    return inc.table("lines")
+
+
 def page_tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir).where("kind <> 'text'").groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -349,7 +360,7 @@ QUERIES = {
     for f in (
         igt_line_features, template_grid, igt_labels, igt_groups, igt_examples, igt_words, igt_alignment, igt_word_pairs, igt_morphemes,
         igt_morph_report, igt_gloss_report, igt_multiword_repair, igt_person_number_repair, igt_misaligned_groups, igt_example_report,
-        igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, extracted_labels, extracted_example_report, marked_lines, extracted_page, report_files, reread_example_report, page_tokens, page_balanced, page_tag_histogram, page_without_navigation, page_element_ids,
+        igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, extracted_labels, extracted_example_report, marked_lines, extracted_page, report_files, reread_example_report, page_tokens, page_balanced, incremental_lines, page_tag_histogram, page_without_navigation, page_element_ids,
         page_lines, simplified_english, lexicon_by_frequency, english_counts, document_sentences, conversation_sentences, ocr_repairs, suffix_forms,
         new_documents, event_run_lengths, event_forward_fill, event_gap_flags, block_ids, params_long, params_wide, geography_taxonomy,
     )
@@ -381,6 +392,7 @@ ORACLE_SQL = {
     "extracted_example_report": f"{_W}{oracle.EXTRACTED_REPORT}",
     "reread_example_report": f"{_W}{oracle.EXTRACTED_REPORT}",
     "page_tokens": f"WITH {oracle.TOKENS_CTE} SELECT doc_id, ord, kind, name, coalesce(text, '') AS text FROM tokens",
+    "incremental_lines": f"WITH {oracle.TOKENS_CTE}, {oracle.PAGE_LINES}",
     "page_balanced": f"WITH RECURSIVE {oracle.BALANCED}",
     "page_tag_histogram": f"WITH {oracle.TOKENS_CTE} SELECT name, kind, count(*) AS n FROM tokens WHERE kind <> 'text' GROUP BY ALL",
     "page_without_navigation": f"WITH {oracle.TOKENS_CTE}, d AS (SELECT *, {oracle.depth(['nav', 'footer'])} AS inside FROM tokens) SELECT doc_id, ord, text FROM d WHERE kind = 'text' AND inside <= 0",
