@@ -353,6 +353,21 @@ bal_rows AS (
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, j) AS INTEGER) AS ord, kind, name, text, implied FROM bal_rows"""
 
 
+#: An element ends at the first end tag after it at which as many elements are open as before it.
+REGIONS = BALANCED.replace("\nSELECT doc_id, CAST(row_number()", ",\nbalanced_tokens AS (SELECT doc_id, CAST(row_number()") + """),
+open_now AS (SELECT *, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM balanced_tokens),
+regions0 AS (
+  SELECT doc_id, ord AS start, ord AS "end", CAST(n + 1 AS INTEGER) AS level, name FROM open_now WHERE kind = 'empty'
+  UNION ALL SELECT a.doc_id, a.ord, min(b.ord), CAST(a.n AS INTEGER), a.name FROM open_now a JOIN open_now b ON a.doc_id = b.doc_id AND b.ord > a.ord AND b.kind = 'close' AND b.n = a.n - 1 WHERE a.kind = 'open' GROUP BY ALL),
+regions AS (SELECT x.*, coalesce((SELECT max(y.start) FROM regions0 y WHERE y.doc_id = x.doc_id AND y.start < x.start AND y."end" > x.start), 0) AS parent FROM regions0 x)"""
+AXES = """
+SELECT x.doc_id, x.start, x."end" AS stop, x.level, x.name, x.parent,
+       count(*) FILTER (y.start > x.start AND y.start < x."end") AS descendants, count(*) FILTER (y.start < x.start AND y."end" > x.start) AS ancestors,
+       count(*) FILTER (y."end" < x.start) AS preceding, count(*) FILTER (y.start > x."end") AS following,
+       count(*) FILTER (y.parent = x.parent AND y.start < x.start) AS siblings_before, count(*) FILTER (y.parent = x.parent AND y.start > x.start) AS siblings_after
+FROM regions x LEFT JOIN (SELECT * FROM regions WHERE name = 'p') y ON x.doc_id = y.doc_id GROUP BY ALL"""
+
+
 def depth(names: list[str]) -> str:
     among = ", ".join(map(q, names))
     return f"sum(CASE WHEN name IN ({among}) AND kind = 'open' THEN 1 WHEN name IN ({among}) AND kind = 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord)"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexical
-from ..operators import annotate, document, features, grouping, layout, markup, recognise, reports, sentences, words
+from ..operators import annotate, axes, document, features, grouping, layout, markup, recognise, reports, sentences, words
 from ..sources import files, html, params
 from ..sources.shared import Shelf, shared_dir
 from ..streaming.incremental import Increments
@@ -228,6 +228,24 @@ def incremental_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inc.table("lines")
 
 
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return axes.regions(html.balanced(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")))
+
+
+def page_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each element, how many paragraphs are on each axis."""
+    return axes.counts(_regions(spark, sf_dir), F.col("name") == "p").drop("tok").withColumnRenamed("end", "stop")
+
+
+def page_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return axes.nearest(_regions(spark, sf_dir), F.col("name") == "p").select("doc_id", "start", "next_start", "previous_start")
+
+
+def page_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each list or division with each element in it."""
+    return axes.descendants(_regions(spark, sf_dir), F.col("name").isin("ul", "div", "article", "nav"), F.lit(True))
+
+
 def page_tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir).where("kind <> 'text'").groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -360,7 +378,7 @@ QUERIES = {
     for f in (
         igt_line_features, template_grid, igt_labels, igt_groups, igt_examples, igt_words, igt_alignment, igt_word_pairs, igt_morphemes,
         igt_morph_report, igt_gloss_report, igt_multiword_repair, igt_person_number_repair, igt_misaligned_groups, igt_example_report,
-        igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, extracted_labels, extracted_example_report, marked_lines, extracted_page, report_files, reread_example_report, page_tokens, page_balanced, incremental_lines, page_tag_histogram, page_without_navigation, page_element_ids,
+        igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, extracted_labels, extracted_example_report, marked_lines, extracted_page, report_files, reread_example_report, page_tokens, page_balanced, page_axes, page_nearest, page_descendants, incremental_lines, page_tag_histogram, page_without_navigation, page_element_ids,
         page_lines, simplified_english, lexicon_by_frequency, english_counts, document_sentences, conversation_sentences, ocr_repairs, suffix_forms,
         new_documents, event_run_lengths, event_forward_fill, event_gap_flags, block_ids, params_long, params_wide, geography_taxonomy,
     )
@@ -392,6 +410,9 @@ ORACLE_SQL = {
     "extracted_example_report": f"{_W}{oracle.EXTRACTED_REPORT}",
     "reread_example_report": f"{_W}{oracle.EXTRACTED_REPORT}",
     "page_tokens": f"WITH {oracle.TOKENS_CTE} SELECT doc_id, ord, kind, name, coalesce(text, '') AS text FROM tokens",
+    "page_axes": f"WITH RECURSIVE {oracle.REGIONS} {oracle.AXES}",
+    "page_nearest": f"WITH RECURSIVE {oracle.REGIONS} SELECT x.doc_id, x.start, min(CASE WHEN y.start > x.\"end\" THEN y.start END) AS next_start, arg_max(CASE WHEN y.\"end\" < x.start THEN y.start END, CASE WHEN y.\"end\" < x.start THEN y.\"end\" END) AS previous_start FROM regions x LEFT JOIN (SELECT * FROM regions WHERE name = 'p') y ON x.doc_id = y.doc_id GROUP BY ALL",
+    "page_descendants": f"WITH RECURSIVE {oracle.REGIONS} SELECT x.doc_id, x.start AS ancestor, y.start AS descendant FROM regions x JOIN regions y ON x.doc_id = y.doc_id AND y.start > x.start AND y.start < x.\"end\" WHERE x.name IN ('ul', 'div', 'article', 'nav')",
     "incremental_lines": f"WITH {oracle.TOKENS_CTE}, {oracle.PAGE_LINES}",
     "page_balanced": f"WITH RECURSIVE {oracle.BALANCED}",
     "page_tag_histogram": f"WITH {oracle.TOKENS_CTE} SELECT name, kind, count(*) AS n FROM tokens WHERE kind <> 'text' GROUP BY ALL",
