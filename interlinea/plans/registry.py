@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import lexical
 from ..operators import annotate, axes, document, features, grouping, layout, markup, recognise, reports, sentences, words
 from ..sources import files, html, params
-from ..sources.shared import Shelf, shared_dir
+from ..sources.shared import shared_dir
 from ..streaming.incremental import Increments
 from . import oracle, synthetic
 from .extract import Extraction, extract
@@ -168,7 +168,7 @@ def _extracted(spark: SparkSession, sf_dir: str, styled: bool = False) -> Extrac
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_id", p.alias("p")))), lambda x: x["p"]), "\n")
     docs = lines.groupBy("doc_id").agg(F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
     by_document = table(spark, sf_dir, "documents").select("doc_id").distinct().select("doc_id", *[F.lit(v).alias(k) for k, v in synthetic.PARAMS.items()], F.lit(True).alias("expect_xv"), F.lit(False).alias("clean_ocr"))
-    return extract(docs, by_document, abbreviations=ABBREVIATIONS, keep=Shelf(spark).keep)
+    return extract(docs, by_document, abbreviations=ABBREVIATIONS)
 
 
 def extracted_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

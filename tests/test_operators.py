@@ -340,7 +340,7 @@ def test_extract_by_document(spark):
     p = spark.createDataFrame(rows, "doc_id string, ex_number_regex string, ex_head_number_regex string, ex_sub_number_regex string, language_identifier_xf_line_regex string, expect_xv boolean, clean_ocr boolean")
     lexicon = spark.createDataFrame([(w,) for w in "the dog barked vand viarked and it was by of them house there end is on so that".split()] + [("varked",)], "word string")
     abbreviations = spark.createDataFrame([("g", "PST"), ("g", "PL"), ("h", "ZZZ")], "doc_id string, abbr string")
-    x = extract(docs, p, lexicon, abbreviations, keep=lambda d: d.cache())
+    x = extract(docs, p, lexicon, abbreviations)
     told = {(r["doc_id"], r["stage"], r["msg"]) for r in x.errors.collect()}
     assert {("bad", "params", "not a pattern: ex_number_regex"), ("bad", "params", "not a pattern: ex_sub_number_regex"), ("plain", "words", "parsed vernacular lines expected but none found")} <= told
     assert not any(d in ("g", "h") for d, _, _ in told) and ("bad", "words", "parsed vernacular lines expected but none found") in told
@@ -429,7 +429,7 @@ def test_documents_without_numbered_examples(spark):
     number = r"^\([0-9]+\)"
     rows = [("g", number, "[0-9]+", "", "", True, False), ("none", number, "[0-9]+", "", "", True, True)]
     p = spark.createDataFrame(rows, "doc_id string, ex_number_regex string, ex_head_number_regex string, ex_sub_number_regex string, language_identifier_xf_line_regex string, expect_xv boolean, lacks_numbered_examples boolean")
-    x = extract(docs, p, keep=lambda d: d.cache())
+    x = extract(docs, p)
     assert {r["doc_id"] for r in x.labels.collect()} == {"g"} and {r["doc_id"] for r in x.morphemes.collect()} == {"g"}
     assert {r["doc_id"] for r in x.sentences.collect()} == {"g", "none"} and x.errors.count() == 0
     one_for_all = extract(docs, {"ex_number_regex": number, "lacks_numbered_examples": True})
