@@ -354,7 +354,8 @@ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, j) AS I
 
 
 #: An element ends at the first end tag after it at which as many elements are open as before it.
-REGIONS = BALANCED.replace("\nSELECT doc_id, CAST(row_number()", ",\nbalanced_tokens AS (SELECT doc_id, CAST(row_number()") + """),
+BALANCED_CTE = BALANCED.replace("\nSELECT doc_id, CAST(row_number()", ",\nbalanced_tokens AS (SELECT doc_id, CAST(row_number()") + ")"
+REGIONS = BALANCED_CTE + """,
 open_now AS (SELECT *, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM balanced_tokens),
 regions0 AS (
   SELECT doc_id, ord AS start, ord AS "end", CAST(n + 1 AS INTEGER) AS level, name FROM open_now WHERE kind = 'empty'
@@ -463,3 +464,19 @@ WITH t AS (
   UNION ALL SELECT n_regionkey * 1000 + n_nationkey + 2, 2, n_name FROM nation),
 n AS (SELECT *, CAST(row_number() OVER (ORDER BY line_id) AS INTEGER) AS id FROM t)
 SELECT 1 AS doc_id, id, CAST(coalesce((SELECT max(p.id) FROM n p WHERE p.id < n.id AND p.depth = n.depth - 1), 0) AS INTEGER) AS parent_id, CAST(depth AS INTEGER) AS depth, 'geo::' || label AS label, false AS skips FROM n"""
+#: Places of edits: the last token before that is neither moved nor passed, then what comes first.
+REPELLED = """
+left_kinds AS (SELECT *, CASE WHEN kind = 'empty' AND name IN ('br', 'img') THEN 1 WHEN kind = 'open' AND name IN ('b', 'i', 'a', 'p') THEN 2 ELSE 0 END AS side FROM balanced_tokens),
+left_places AS (SELECT *, coalesce(max(CASE WHEN side = 0 THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord), 0) AS stretch FROM left_kinds),
+lefted AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY stretch, side, ord) AS ord, kind, name, text FROM left_places),
+right_kinds AS (SELECT *, CASE WHEN kind = 'close' AND name IN ('b', 'i', 'a', 'p') THEN 1 WHEN kind = 'empty' AND name IN ('br', 'img') THEN 2 ELSE 0 END AS side FROM lefted),
+right_places AS (SELECT *, coalesce(max(CASE WHEN side = 0 THEN ord END) OVER (PARTITION BY doc_id ORDER BY ord), 0) AS stretch FROM right_kinds)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY stretch, side, ord) AS INTEGER) AS ord, kind, name, coalesce(text, '') AS text FROM right_places"""
+LAYERS = """
+put AS (
+  SELECT doc_id, ord, 0 AS side, kind, name, text FROM balanced_tokens
+  UNION ALL SELECT doc_id, start, -1, 'open', 'block', '' FROM regions WHERE name IN ('p', 'img')
+  UNION ALL SELECT doc_id, start, 1, 'open', 'body', '' FROM regions WHERE name = 'p'
+  UNION ALL SELECT doc_id, "end", -1, 'close', 'body', '' FROM regions WHERE name = 'p'
+  UNION ALL SELECT doc_id, "end", 1, 'close', 'block', '' FROM regions WHERE name IN ('p', 'img'))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY ord, side) AS INTEGER) AS ord, kind, name, coalesce(text, '') AS text FROM put"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexical
-from ..operators import annotate, axes, document, features, grouping, layout, markup, recognise, reports, sentences, words
+from ..operators import annotate, axes, document, edit, features, grouping, layout, markup, recognise, reports, sentences, words
 from ..sources import files, html, params
 from ..sources.shared import shared_dir
 from ..streaming.incremental import Increments
@@ -246,6 +246,23 @@ def page_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return axes.descendants(_regions(spark, sf_dir), F.col("name").isin("ul", "div", "article", "nav"), F.lit(True))
 
 
+def _keyed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit.keyed(html.balanced(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "html")))
+
+
+def page_repelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose breaks and images stand outside bold, italic, linked and paragraph elements that they were at an edge of."""
+    t = edit.renumber(edit.repel(_keyed_pages(spark, sf_dir), ["b", "i", "a", "p"], ["br", "img"]))
+    return t.select("doc_id", "ord", "kind", "name", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def page_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each paragraph and each image in a block of its own, and what a paragraph holds in a body."""
+    t, _ = edit.insert_parent_layer(_keyed_pages(spark, sf_dir), F.col("name") == "p", "block")
+    t, _ = edit.insert_parent_layer(edit.insert_child_layer(t, F.col("name") == "p", "body"), F.col("name") == "img", "block")
+    return edit.renumber(t).select("doc_id", "ord", "kind", "name", F.coalesce("text", F.lit("")).alias("text"))
+
+
 def page_tag_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tokens(spark, sf_dir).where("kind <> 'text'").groupBy("name", "kind").agg(F.count(F.lit(1)).alias("n"))
 
@@ -378,7 +395,7 @@ QUERIES = {
     for f in (
         igt_line_features, template_grid, igt_labels, igt_groups, igt_examples, igt_words, igt_alignment, igt_word_pairs, igt_morphemes,
         igt_morph_report, igt_gloss_report, igt_multiword_repair, igt_person_number_repair, igt_misaligned_groups, igt_example_report,
-        igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, extracted_labels, extracted_example_report, marked_lines, extracted_page, report_files, reread_example_report, page_tokens, page_balanced, page_axes, page_nearest, page_descendants, incremental_lines, page_tag_histogram, page_without_navigation, page_element_ids,
+        igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, extracted_labels, extracted_example_report, marked_lines, extracted_page, report_files, reread_example_report, page_tokens, page_balanced, page_axes, page_nearest, page_descendants, page_repelled, page_layers, incremental_lines, page_tag_histogram, page_without_navigation, page_element_ids,
         page_lines, simplified_english, lexicon_by_frequency, english_counts, document_sentences, conversation_sentences, ocr_repairs, suffix_forms,
         new_documents, event_run_lengths, event_forward_fill, event_gap_flags, block_ids, params_long, params_wide, geography_taxonomy,
     )
@@ -413,6 +430,8 @@ ORACLE_SQL = {
     "page_axes": f"WITH RECURSIVE {oracle.REGIONS} {oracle.AXES}",
     "page_nearest": f"WITH RECURSIVE {oracle.REGIONS} SELECT x.doc_id, x.start, min(CASE WHEN y.start > x.\"end\" THEN y.start END) AS next_start, arg_max(CASE WHEN y.\"end\" < x.start THEN y.start END, CASE WHEN y.\"end\" < x.start THEN y.\"end\" END) AS previous_start FROM regions x LEFT JOIN (SELECT * FROM regions WHERE name = 'p') y ON x.doc_id = y.doc_id GROUP BY ALL",
     "page_descendants": f"WITH RECURSIVE {oracle.REGIONS} SELECT x.doc_id, x.start AS ancestor, y.start AS descendant FROM regions x JOIN regions y ON x.doc_id = y.doc_id AND y.start > x.start AND y.start < x.\"end\" WHERE x.name IN ('ul', 'div', 'article', 'nav')",
+    "page_repelled": f"WITH RECURSIVE {oracle.BALANCED_CTE}, {oracle.REPELLED}",
+    "page_layers": f"WITH RECURSIVE {oracle.REGIONS}, {oracle.LAYERS}",
     "incremental_lines": f"WITH {oracle.TOKENS_CTE}, {oracle.PAGE_LINES}",
     "page_balanced": f"WITH RECURSIVE {oracle.BALANCED}",
     "page_tag_histogram": f"WITH {oracle.TOKENS_CTE} SELECT name, kind, count(*) AS n FROM tokens WHERE kind <> 'text' GROUP BY ALL",
