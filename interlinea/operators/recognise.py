@@ -1,8 +1,8 @@
 """Recognition of numbered examples: ranked structural templates against the masks of the lines that follow a number.
 
 An example's span runs from its numbered line to before the next one, and no further than the first line that
-ends a stretch of body text. Spans are gathered once (one shuffle by document and span); the template search and
-the chain of follow-on groups are then expressions over a span's array of masks, so nothing is joined or looped.
+ends a stretch of body text. The template search strikes out templates line by line, all of them at once as bits of a few integers, and
+is an aggregate over a span's lines; the chain of follow-on groups is a fold over its array of masks. Nothing is looped over or joined with templates.
 """
 
 from __future__ import annotations
@@ -55,26 +55,84 @@ def _let(value: Column, body) -> Column:
 CARRIED = ["text", "ex_number_text", "ex_number_head", "ex_number_sub"]
 
 
-def spans(features: DataFrame) -> DataFrame:
-    """(doc_id, x_line, span): the lines of each example's span in order, as structs (line_id, disq, affirm, ...)."""
+def spans(features: DataFrame, automaton: Automaton) -> DataFrame:
+    """(doc_id, x_line, span, template): the lines of each example's span in order, as structs (line_id, disq, affirm, ...), and the first
+    template that fits in the span and asks of no line what it is disqualified for."""
     w = Window.partitionBy("doc_id").orderBy("line_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = [c for c in CARRIED if c in features.columns]
-    d = features.select("doc_id", "line_id", "disq", "affirm", "has_ex_number", "is_end_body", *carried)
+    which = ["which"] if "which" in features.columns else []
+    d = features.select("doc_id", "line_id", "disq", "affirm", "has_ex_number", "is_end_body", *carried, *which)
     d = d.withColumn("x_line", F.max(F.when(F.col("has_ex_number"), F.col("line_id"))).over(w)).where(F.col("x_line").isNotNull())
-    inside = Window.partitionBy("doc_id", "x_line").orderBy("line_id").rowsBetween(Window.unboundedPreceding, -1)
+    own = Window.partitionBy("doc_id", "x_line").orderBy("line_id")
+    inside = own.rowsBetween(Window.unboundedPreceding, -1)
     ended = F.coalesce(F.max(F.col("is_end_body") & (F.col("line_id") > F.col("x_line"))).over(inside), F.lit(False))
-    d = d.withColumn("ended", ended).where(~F.col("ended"))
-    return d.groupBy("doc_id", "x_line").agg(F.sort_array(F.collect_list(F.struct("line_id", "disq", "affirm", *carried))).alias("span"))
-
-
-def first_template(span: Column, templates: Column) -> Column:
-    """The first template that fits in the span and asks of no line what it is disqualified for."""
-    n = F.size(span)
-
-    def fits(t: Column) -> Column:
-        return F.when(F.size(t) > n, F.lit(False)).otherwise(~F.exists(F.sequence(F.lit(0), F.size(t) - 1), lambda i: F.get(span, i)["disq"].bitwiseAND(F.get(t, i)) != 0))
-
-    return F.get(F.filter(templates, fits), F.lit(0))
+    d = d.withColumns({"ended": ended, "place": F.row_number().over(own) - 1}).where(~F.col("ended"))
+    d = d.withColumns(automaton.step(F.col("disq"), F.col("place")))
+    lines = F.sort_array(F.collect_list(F.struct("line_id", "disq", "affirm", *carried)))
+    d = d.groupBy("doc_id", "x_line").agg(lines.alias("span"), *automaton.both(), *[F.first(c).alias(c) for c in which])
+    d = d.withColumn("template", automaton.found(F.size("span")))
+    return d.where(F.col("template").isNotNull()).select("doc_id", "x_line", "span", "template")
+
+
+#: Bits of a word of the automaton; the sign stays free.
+WORD = 63
+
+
+def _forbidden(grids: list[list[list[int]]]) -> tuple[list[list[int]], list[list[int]]]:
+    """The templates of each grid as bits of words, the most expected at the lowest bit.
+
+    forbidden[word][(grid * longest + place) * codes + code]: templates that ask for a code at a place; ending[word][grid * (longest + 1) + n]: those of n lines at most."""
+    codes = [1 << c for c in range(len(BITS))]
+    longest, words = max(len(t) for g in grids for t in g), -(-max(map(len, grids)) // WORD)
+    bits = lambda g, k, ok: sum(1 << r for r, t in enumerate(g[k * WORD : (k + 1) * WORD]) if ok(t))
+    forbidden = [[bits(g, k, lambda t: len(t) > i and t[i] == c) for g in grids for i in range(longest) for c in codes] for k in range(words)]
+    ending = [[bits(g, k, lambda t: len(t) <= n) for g in grids for n in range(longest + 1)] for k in range(words)]
+    return forbidden, ending
+
+
+class Automaton:
+    """All templates at once: a line strikes out those that ask at its place for what it is disqualified for, and what is left after a span's
+    lines, and is no longer than the span, has its most expected template at the lowest bit.
+
+    A line's step is a few lookups in constants and a span's result an AND of its lines' words, so the search is a plain aggregate."""
+
+    def __init__(self, grids: list[list[list[int]]], which: Column | None = None):
+        self.grids, self.which = grids, F.lit(0) if which is None else which
+        self.longest = max(len(t) for g in grids for t in g)
+        self.forbidden, self.ending = _forbidden(grids)
+        self.words = [f"alive_{k}" for k in range(len(self.forbidden))]
+
+    def step(self, disq: Column, place: Column) -> dict[str, Column]:
+        """What a line at a place (from 0) of its span leaves alive, by word."""
+        n = len(BITS)
+        row = (self.which * self.longest + place) * n
+        out = {}
+        for name, table in zip(self.words, self.forbidden):
+            struck = lambda c, t=_longs(table): F.when(disq.bitwiseAND(1 << c) != 0, F.get(t, row + c)).otherwise(F.lit(0).cast("long"))
+            hit = struck(0)
+            for c in range(1, n):
+                hit = hit.bitwiseOR(struck(c))
+            out[name] = F.when(place < self.longest, F.bitwise_not(hit)).otherwise(F.lit(-1).cast("long"))
+        return out
+
+    def both(self) -> list[Column]:
+        return [F.bit_and(w).alias(w) for w in self.words]
+
+    def found(self, n: Column) -> Column:
+        """The most expected template of those alive after a span of n lines, or null."""
+        at = self.which * (self.longest + 1) + F.least(n, F.lit(self.longest))
+        rank = F.lit(None).cast("int")
+        for k in reversed(range(len(self.words))):
+            left = F.col(self.words[k]).bitwiseAND(F.get(_longs(self.ending[k]), at))
+            # The zeros below the lowest bit are the ones of what is one less, where the bit itself isn't set.
+            rank = F.when(left != 0, F.bit_count((F.bitwise_not(left)).bitwiseAND(left - 1)) + k * WORD).otherwise(rank)
+        most = max(map(len, self.grids))
+        grids = [t for g in self.grids for t in g + [[]] * (most - len(g))]
+        return F.get(_literal(grids), self.which * most + rank)
+
+
+def _longs(values: list[int]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
 
 
 def _follow(span: Column, at: Column, core: Column) -> Column:
@@ -88,29 +146,26 @@ def _follow(span: Column, at: Column, core: Column) -> Column:
     return F.get(F.filter(F.array(*options), fits), F.lit(0))
 
 
-def _grids(by_document: DataFrame, found: DataFrame) -> tuple[DataFrame, Column]:
-    """Spans with their documents' expectations, and the templates in the order that these ask for: one of sixteen constants."""
+def _expected(features: DataFrame, by_document: DataFrame) -> tuple[DataFrame, Automaton]:
+    """Lines with which of the sixteen grids their documents' expectations ask for, and the automaton of these grids."""
     flags = [c for c in EXPECTATIONS if c in by_document.columns]
-    p = by_document.select(F.col("doc_id").alias("e_doc"), *[F.col(c).alias(f"e_{c}") for c in flags])
-    found = found.join(p, F.col("doc_id").eqNullSafe(F.col("e_doc")), "left").drop("e_doc")
     usual = dict(zip(EXPECTATIONS, (True, False, False, False)))
+    which = sum((F.coalesce(F.col(c) if c in flags else F.lit(None), F.lit(usual[c])).cast("int") * (8 >> i) for i, c in enumerate(EXPECTATIONS)), F.lit(0))
+    p = by_document.select(F.col("doc_id").alias("e_doc"), which.alias("which"))
+    d = features.drop("which").join(p, F.col("doc_id").eqNullSafe(F.col("e_doc")), "left").drop("e_doc")
+    d = d.withColumn("which", F.coalesce("which", F.lit(sum(v * (8 >> i) for i, v in enumerate(usual.values())))))
     each = [dict(zip(EXPECTATIONS, x)) for x in itertools.product((False, True), repeat=4)]
-    which = sum((F.coalesce(F.col(f"e_{c}") if c in flags else F.lit(None), F.lit(usual[c])).cast("int") * (8 >> i) for i, c in enumerate(EXPECTATIONS)), F.lit(0))
-    return found, F.get(_literal([template_grid(**x) for x in each]), which)
+    return d, Automaton([template_grid(**x) for x in each], F.col("which"))
 
 
 def label_examples(features: DataFrame, by_document: DataFrame | None = None, **expectations: bool) -> DataFrame:
     """line_labels(doc_id, line_id, x_line, fn, code, pass) and the carried columns: pass 1 is the template, 2 and more its follow-on groups.
 
     Expectations are the same for all documents, or by_document(doc_id, expect_... columns); documents it lacks have the usual ones."""
-    found = spans(features)
     if by_document is None:
-        grid = _literal(template_grid(**expectations))
+        found = spans(features, Automaton([template_grid(**expectations)]))
     else:
-        found, grid = _grids(by_document, found)
-    # Exploding arrays of one value computes each expression once, where a filter would have it computed twice.
-    once = F.explode(F.filter(F.array(first_template(F.col("span"), grid)), lambda t: t.isNotNull()))
-    found = found.select("doc_id", "x_line", "span", once.alias("template"))
+        found = spans(*_expected(features, by_document))
     # A follow-on group is as long as the core and one line at least, which bounds the number of steps.
     found = found.withColumn("core", F.filter("template", lambda c: ~c.isin(XH, XFTN, XFTF)))
     label = lambda codes, k: F.transform(codes, lambda c: F.struct(c.alias("code"), k.cast("int").alias("pass")))
