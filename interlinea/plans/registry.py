@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical
 from ..operators import annotate, axes, document, edit, features, grouping, layout, markup, recognise, reports, sentences, words
-from ..sources import files, html, params
+from ..sources import files, html, params, patterns
 from ..sources.shared import shared_dir
 from ..streaming.incremental import Increments
 from . import oracle, synthetic
@@ -382,6 +382,18 @@ def params_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return params.params_wide(params.parse_params(_param_lines(spark, sf_dir))).select("doc_id", "ex_number_regex", "ex_head_number_regex", "ex_sub_number_regex", "lacks_numbered_examples", "expect_xv", "expect_xg_xg", "clean_ocr")
 
 
+def pattern_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each word of lower-case letters of the documents as patterns: its halves as alternatives, its halves one after the other, its first letter twice endless."""
+    d = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([a-z]+)"), F.lit(1)))).alias("word")).distinct()
+    d = d.where(F.length("word") > 1).withColumn("cut", F.floor(F.length("word") / 2).cast("int"))
+    a, b = F.expr("substring(word, 1, cut)"), F.expr("substring(word, cut + 1)")
+    of = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    each = F.array(of("(?:", a, "|", b, ")+$"), of("(", a, ")+(", b, ")*$"), of("(", F.substring("word", 1, 1), "+(", b, ")?)+$"))
+    # Few bytes, but much work in each: dealt out by a stated number, which isn't coalesced.
+    d = d.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "word")
+    return d.select("word", F.explode(each).alias("pattern")).withColumn("endless", patterns.endless(F.col("pattern")))
+
+
 def geography_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions and their nations as tab-indented text, read back as a tree."""
     r = table(spark, sf_dir, "region").select((F.col("r_regionkey") * 1000 + 1).cast("long").alias("line_id"), F.concat(F.lit("\t"), "r_name").alias("text"))
@@ -397,7 +409,7 @@ QUERIES = {
         igt_morph_report, igt_gloss_report, igt_multiword_repair, igt_person_number_repair, igt_misaligned_groups, igt_example_report,
         igt_editable_examples, igt_augmented_html, igt_abbreviation_tags, extracted_labels, extracted_example_report, marked_lines, extracted_page, report_files, reread_example_report, page_tokens, page_balanced, page_axes, page_nearest, page_descendants, page_repelled, page_layers, incremental_lines, page_tag_histogram, page_without_navigation, page_element_ids,
         page_lines, simplified_english, lexicon_by_frequency, english_counts, document_sentences, conversation_sentences, ocr_repairs, suffix_forms,
-        new_documents, event_run_lengths, event_forward_fill, event_gap_flags, block_ids, params_long, params_wide, geography_taxonomy,
+        new_documents, event_run_lengths, event_forward_fill, event_gap_flags, block_ids, params_long, params_wide, pattern_checks, geography_taxonomy,
     )
 }
 
@@ -452,5 +464,6 @@ ORACLE_SQL = {
     "block_ids": "WITH b AS (SELECT o_custkey AS doc_id, o_orderkey AS place, 'order' AS kind FROM orders UNION ALL SELECT o_custkey, l_orderkey, 'z_items' FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, kind) AS INTEGER) AS id FROM b",
     "params_long": f"{oracle.param_lines(_PARAM_LINES)} SELECT doc_id, string_split(text, ':' || chr(9))[1] AS param, substr(text, strpos(text, ':' || chr(9)) + 2) AS value FROM lines WHERE contains(text, ':' || chr(9))",
     "params_wide": f"{oracle.param_lines(_PARAM_LINES)} SELECT DISTINCT doc_id, '^\\([0-9]+\\)' AS ex_number_regex, '[' || n || '-9]+' AS ex_head_number_regex, '' AS ex_sub_number_regex, false AS lacks_numbered_examples, true AS expect_xv, true AS expect_xg_xg, false AS clean_ocr FROM lines",
+    "pattern_checks": "WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(coalesce(text, ''), '[a-z]+')) AS word FROM documents), h AS (SELECT word, left(word, len(word) // 2) AS a, substr(word, len(word) // 2 + 1) AS b FROM w WHERE len(word) > 1) SELECT word, '(?:' || a || '|' || b || ')+$' AS pattern, a || b = b || a AS endless FROM h UNION ALL SELECT word, '(' || a || ')+(' || b || ')*$', false FROM h UNION ALL SELECT word, '(' || word[1] || '+(' || b || ')?)+$', true FROM h",
     "geography_taxonomy": oracle.TAXONOMY,
 }
