@@ -4,7 +4,8 @@ A text's words, in lower case and joined by one space, are scanned twice. Exact
 phrase's words stand consecutively. A notice with at most k errors (inserted, deleted or replaced characters)
 has one of its k + 1 pieces unharmed, so an Aho-Corasick automaton of all notices' pieces locates the
 candidates; round each, the regex library matches the whole notice with at most k errors and reports the span. Words that tell
-a notice from others have to be in the match as they are, so errors can't turn one licence into another.
+a notice from others, versions too, have to be in the match as they are, so errors can't turn one licence into another; where notices of a family
+overlap, the one with more such words stays, which is the longest.
 
 Defined cases: null text is empty, has no words and no labels and scores 0; overlapping places all count;
 repeated rows are scanned one by one; very long texts are scanned whole; of matches that begin together, all labels are
@@ -28,28 +29,46 @@ PHRASES = {"mit license": "mit", "apache license": "apache", "general public lic
 #: Short notices, in normalised words, the labels they give, and their words that tell them from other notices: these have to be exact.
 NOTICES = {
     "permission is hereby granted free of charge to any person obtaining a copy": ("mit-notice", ()),
-    "licensed under the apache license version 2 0": ("apache-notice", ("apache",)),
+    "licensed under the apache license version 2 0": ("apache-notice", ("apache", "2", "0")),
+    "licensed under the apache license version 1 1": ("apache-1-notice", ("apache", "1")),
     "redistribution and use in source and binary forms with or without modification are permitted": ("bsd-notice", ()),
-    "this program is free software you can redistribute it and or modify": ("gpl-notice", ()),
+    "this program is free software you can redistribute it and or modify": ("gpl-notice", ("software",)),
     "permission to use copy modify and or distribute this software for any purpose": ("isc-notice", ()),
     "this source code form is subject to the terms of the mozilla public license": ("mpl-notice", ("mozilla",)),
     "released under the mit license": ("mit-notice", ("mit",)),
     "licensed under the gnu general public license": ("gpl-notice", ("gnu", "general")),
     "this is free and unencumbered software released into the public domain": ("public-domain-notice", ()),
-    "licensed under cc by 4 0": ("cc-by-notice", ("cc", "by")),
-    "licensed under cc by sa 4 0": ("cc-by-sa-notice", ("cc", "by", "sa")),
-    "licensed under cc by nd 4 0": ("cc-by-nd-notice", ("cc", "by", "nd")),
-    "licensed under cc by nc 4 0": ("cc-by-nc-notice", ("cc", "by", "nc")),
-    "licensed under cc by nc sa 4 0": ("cc-by-nc-sa-notice", ("cc", "by", "nc", "sa")),
-    "licensed under cc by nc nd 4 0": ("cc-by-nc-nd-notice", ("cc", "by", "nc", "nd")),
     "all rights reserved": ("rights-reserved", ("rights",)),
 }
+# Families: the sentence that the general licences share goes on with their names, and terms of the same licence stand before or after its version.
+for _name, _words in {"gpl": ("general",), "agpl": ("affero", "general"), "lgpl": ("lesser", "general")}.items():
+    NOTICES[f"this program is free software you can redistribute it and or modify it under the terms of the gnu {' '.join(_words)} public license"] = (f"{_name}-notice", ("software", "gnu", *_words))
+for _version in (("4", "0"), ("3", "0")):
+    NOTICES[f"licensed under cc by {' '.join(_version)}"] = ("cc-by-notice", ("cc", "by", *_version))
+    for _words in (("sa",), ("nd",), ("nc",), ("nc", "sa"), ("nc", "nd")):
+        for _places in ((*_words, *_version), (*_version, *_words)):
+            NOTICES[f"licensed under cc by {' '.join(_places)}"] = (f"cc-by-{'-'.join(_words)}-notice", ("cc", "by", *_version, *_words))
+#: Most notices of a catalogue that is read from a table: it is held by each Python worker.
+MOST_NOTICES = 10_000
 #: Errors allowed for each so many characters of a notice.
 CHARS_PER_ERROR = 12
 #: Bytes to one: letters A-Z lowered, digits, lower-case letters and all beyond ASCII kept, the rest blank.
 FOLD = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 
 
+def catalogue(rows: DataFrame, most: int = MOST_NOTICES) -> dict[str, tuple]:
+    """A catalogue like NOTICES from rows(notice string, label string, exact array<string>).
+
+    Notices and exact words are folded as texts are. A notice that has no words, or no label, is left out; of one that is there more than once the least
+    label stays; exact words that are null are none. More than `most` rows are refused."""
+    got = rows.select("notice", "label", "exact").limit(most + 1).collect()
+    if len(got) > most:
+        raise ValueError(f"a catalogue may have {most} notices")
+    words = lambda x: (x or "").encode().translate(FOLD).decode().split()
+    kept = sorted((" ".join(words(r.notice)), r.label, tuple(w for x in r.exact or () for w in words(x))) for r in got if words(r.notice) and r.label)
+    return {notice: (label, exact) for notice, label, exact in reversed(kept)}
+
+
 class Scanner:
     """The automaton of the pieces and the bounded-error patterns; made once in each Python worker."""
 
@@ -87,6 +106,10 @@ class Scanner:
         for i, spans in self.windows(text).items():
             _, (label, exact) = self.notices[i]
             for lo, hi in spans:
+                # A match has the exact words whole, so a stretch without them has no match.
+                near = f" {text[lo:hi]} "
+                if not all(f" {w} " in near for w in exact):
+                    continue
                 for m in self.patterns[i].finditer(text, lo, hi):
                     found = m.group().split(" ")
                     if all(w in found for w in exact):

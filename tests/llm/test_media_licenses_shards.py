@@ -183,6 +183,49 @@ def test_other_licences_get_no_label_of_a_near_one():
         assert labels(text) == set(), text
 
 
+FAMILIES = {
+    "licensed under the apache license version 1 1": {"apache-1-notice"},
+    "licensed under the apache license version 3 0": set(),
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license": {"agpl-notice"},
+    "this program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License": {"lgpl-notice"},
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 3": {"gpl-notice"},
+    "this program is free software you can redistribute it and or modify it as you like": {"gpl-notice"},
+    "licensed under cc by 4 0 sa": {"cc-by-sa-notice"},
+    "licensed under CC BY-NC-ND 4.0": {"cc-by-nc-nd-notice"},
+    "licensed under cc by 4 0 nc sa": {"cc-by-nc-sa-notice"},
+    "licensed under cc by 4 0": {"cc-by-notice"},
+    "licensed under cc by 3 0 sa": {"cc-by-sa-notice"},
+    "licensed under cc by 9 0": set(),
+    "released under the isc license": set(),
+    "subject to the terms of the common public license": set(),
+}
+
+
+@pytest.mark.parametrize("text", list(FAMILIES))
+def test_families(text):
+    assert labels(f"words before {text} words after") == FAMILIES[text]
+
+
+def test_long_texts_of_notices():
+    """A notice at the end of a long text, and very many of them."""
+    notice = "licensed under the gnu general public license"
+    found = licenses.scan(f"{'word ' * 300000}{notice}".encode())
+    assert found[0] == 300007 and [f[2] for f in found[5]] == ["gpl-notice"] and found[2:4] == (300004, 300004)
+    assert len(licenses.scan(f"{notice} x ".encode() * 200)[5]) == 200
+
+
+def test_catalogue_from_a_table(spark):
+    rows = [("Copying is allowed, to everybody", "own", ["Copying"]), ("copying is allowed to everybody", "zzz", None), ("...", "none", None), (None, "null", None), ("one without a label", None, None), ("all is free for all", "free", None)]
+    table = spark.createDataFrame(rows, "notice string, label string, exact array<string>")
+    notices = licenses.catalogue(table)
+    assert notices == {"copying is allowed to everybody": ("own", ("copying",)), "all is free for all": ("free", ())}
+    docs = spark.createDataFrame([(1, "Copying is allowd to everybody."), (2, "All is free for al!")], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.license_scan(docs, notices=notices).collect()} == {1: "own", 2: "free"}
+    assert licenses.catalogue(table.limit(0)) == {}
+    with pytest.raises(ValueError):
+        licenses.catalogue(table, most=3)
+
+
 def test_own_catalogue(spark):
     docs = spark.createDataFrame([(1, "Copying is allowd to everybody for every purpose."), (2, "all rights reserved"), (3, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(docs, notices={"copying is allowed to everybody": ("own", ("copying",))}).collect()}
