@@ -2,7 +2,8 @@
 
 Edges stay in tables in the shared folder; only a count and a sum come to the driver after each round.
 A hub's edges are never gathered in one task: minima are partial aggregates, and the join back to the
-edges is an ordinary one, which adaptive execution splits where a key is large.
+edges is a merge join, which adaptive execution splits where a key is large and which, unlike a broadcast, leaves nothing
+with the driver: a round's tables would be built there and stay until its garbage is collected, round after round.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from .common import remove, stored
 
 def _to_minimum(directed: DataFrame) -> DataFrame:
     """Each edge (a, b) with the least b of a."""
-    return directed.join(directed.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "a2"), F.col("a") == F.col("a2")).select("a", "b", "m")
+    least = directed.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "a2")
+    return directed.join(least.hint("merge"), F.col("a") == F.col("a2")).select("a", "b", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ every chain of l consecutive segments holds at most floor(l d / (d + 1)) of the
 index key is a chain of two segments with its whole budget built in: the first segment exact, the second with one bit
 wiped out (64 keys a fingerprint, whatever d is). Pairs that meet under a key are pruned by the chain of three, then
 checked in full. Only distinct fingerprints take part, and a dense bucket gives a spanning forest of its
-links rather than all pairs. A bucket above BLOCK fingerprints is dealt out as pairs of blocks.
+links rather than all pairs. A bucket above BLOCK fingerprints is dealt out as pairs of blocks. Joins are merge joins by hint: tables just
+below the size that Spark broadcasts are built whole on the driver, and there are dozens of joins in a run.
 
 near_duplicates() links by fingerprints alone. near_copies() takes the links of fingerprints of wider shingles as candidates, adds
 those of an exact search, and holds texts against those that lead their component by their sets of shingles, so that only
@@ -182,7 +183,7 @@ def links(fps: DataFrame, block: int = BLOCK, distance: int = DISTANCE) -> DataF
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = index_keys(fps.repartition(n, "fp"), distance)  # each row becomes 64, so rows are dealt out evenly before
     often = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("k", "k2")
-    met = keys.join(often, F.col("k") == F.col("k2")).select("k", "fp", F.ceil(F.col("n") / block).cast("int").alias("s"))
+    met = keys.join(often.hint("merge"), F.col("k") == F.col("k2")).select("k", "fp", F.ceil(F.col("n") / block).cast("int").alias("s"))
     own = F.pmod(F.xxhash64("fp"), F.col("s")).cast("int")
     dealt = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("s") - 1)))
     dealt = dealt.select("k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "fp")
@@ -196,12 +197,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
     distinct, distinct_path = stored(distinct, "distinct_fingerprints")
     found = components(links(distinct.select(F.lit(0).alias("r"), "fp")).select("a", "b"))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp2"), F.col("fp") == F.col("fp2"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(found.withColumnRenamed("node", "fp2").hint("merge"), F.col("fp") == F.col("fp2"), "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted, _ = stored(rooted, "rooted")
     remove(spark, distinct_path)
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "root2")
-    of = rooted.join(named, F.col("root") == F.col("root2")).select(F.col("fp").alias("fp2"), "component_id")
-    return prints.join(of, F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
+    of = rooted.join(named.hint("merge"), F.col("root") == F.col("root2")).select(F.col("fp").alias("fp2"), "component_id")
+    return prints.join(of.hint("merge"), F.col("fp") == F.col("fp2")).select("doc_id", "fp", "component_id")
 
 
 def frequent_shingles(source: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -344,10 +345,10 @@ def set_links(sets: DataFrame, similarity: float = COPY_SIMILARITY, block: int =
     keys = sets.select(F.explode("first").alias("k"), "node").repartition(n, "k").sortWithinPartitions("k", "node")
     met, _ = stored(keys.mapInArrow(_repeated(block), "k long, node long, own int"), "copy_prefixes")
     large = met.where("node IS NULL").select(F.col("k").alias("k_"), F.col("own").alias("s"))
-    dealt = met.where("node IS NOT NULL").join(large, F.col("k") == F.col("k_"), "left").select("k", "node", "own", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1)).alias("other"))
+    dealt = met.where("node IS NOT NULL").join(large.hint("merge"), F.col("k") == F.col("k_"), "left").select("k", "node", "own", F.explode(F.sequence(F.lit(0), F.coalesce("s", F.lit(1)) - 1)).alias("other"))
     dealt = dealt.select("k", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), F.col("node").alias("node_"))
     sets = sets.select("node", "n", "bits").dropDuplicates(["node"])
-    whole = dealt.join(sets.select("node", "n", "bits"), F.col("node_") == F.col("node")).select("k", "lo", "hi", "node", "n", "bits")
+    whole = dealt.join(sets.select("node", "n", "bits").hint("merge"), F.col("node_") == F.col("node")).select("k", "lo", "hi", "node", "n", "bits")
     return whole.repartition(n, "k", "lo", "hi").sortWithinPartitions("k", "lo", "hi", "node").mapInArrow(_set_links(similarity), "a long, b long").distinct()
 
 
@@ -442,7 +443,7 @@ def leaders(pool: DataFrame, size: int, similarity: float, block: int = GROUP) -
         first = pool.select("root", "o", "t").withColumn("n", F.row_number().over(order)).where(F.col("n") <= block)
         cuts, cuts_path = stored(first.where(F.col("n") == block).select(F.col("root").alias("root_"), F.struct("o", "t").alias("cut")), "copy_cuts")
         more = not cuts.isEmpty()
-        cut = pool.join(cuts, F.col("root") == F.col("root_"), "left") if more else pool.withColumn("cut", F.lit(None))
+        cut = pool.join(cuts.hint("merge"), F.col("root") == F.col("root_"), "left") if more else pool.withColumn("cut", F.lit(None))
         within = F.lit(True) if not more else F.coalesce(F.struct("o", "t") <= F.col("cut"), F.lit(True))
         now = cut.where(within).select("root", "o", "t", "raw")
         led, _ = stored(now.repartition(n, "root").sortWithinPartitions("root", "o", "t").mapInArrow(find, ddl), "copy_leaders")
@@ -452,8 +453,8 @@ def leaders(pool: DataFrame, size: int, similarity: float, block: int = GROUP) -
             sizes, sizes_path = stored(cut.where(~within).groupBy(F.col("root").alias("root_")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts")), "copy_sizes")
             at_root = F.col("root") == F.col("root_")
             part = F.pmod(F.xxhash64("o", "t"), F.col("parts")).cast("int")
-            after = cut.where(~within).drop("root_").join(sizes, at_root).select("root", part.alias("part"), F.lit(True).alias("follows"), "o", "t", "raw")
-            before = led.join(sizes, at_root).select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("follows"), "o", "t", "raw")
+            after = cut.where(~within).drop("root_").join(sizes.hint("merge"), at_root).select("root", part.alias("part"), F.lit(True).alias("follows"), "o", "t", "raw")
+            before = led.join(sizes.hint("merge"), at_root).select("root", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("follows"), "o", "t", "raw")
             dealt = after.unionByName(before).repartition(n, "root", "part").sortWithinPartitions("root", "part", "follows", "o", "t")
             rest, path = stored(dealt.mapInArrow(hold, ddl), "copy_rest")
             remove(spark, sizes_path)
@@ -495,23 +496,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def rep(c: str) -> DataFrame:
         return by_print.select(F.col("r").alias(f"r_{c}"), F.col("fp").alias(f"fp_{c}"), F.col("rep").alias(f"rep_{c}"))
 
-    near = met.join(rep("a"), (F.col("r") == F.col("r_a")) & (F.col("a") == F.col("fp_a"))).join(rep("b"), (F.col("r") == F.col("r_b")) & (F.col("b") == F.col("fp_b")))
+    near = met.join(rep("a").hint("merge"), (F.col("r") == F.col("r_a")) & (F.col("a") == F.col("fp_a"))).join(rep("b").hint("merge"), (F.col("r") == F.col("r_b")) & (F.col("b") == F.col("fp_b")))
     shared = kept(by_print.where("n > 1").select(F.col("r").alias("r_"), F.col("fp").alias("fp_"), "rep"), "shared_prints")
-    same = each.join(shared, (F.col("r") == F.col("r_")) & (F.col("fp") == F.col("fp_"))).where("node <> rep")
+    same = each.join(shared.hint("merge"), (F.col("r") == F.col("r_")) & (F.col("fp") == F.col("fp_"))).where("node <> rep")
     by_print_links = near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).unionByName(same.select(F.col("node").alias("a"), F.col("rep").alias("b")))
     sets = found.select(F.xxhash64("t", "fps").alias("node"), "n", "first", "bits")
     of = components(by_print_links.unionByName(set_links(sets, similarity)))
 
-    members = kept(texts.join(of.withColumnRenamed("node", "node_"), F.col("node") == F.col("node_")).select("root", "o", F.col("t").alias("t_")), "copy_members")
+    members = kept(texts.join(of.withColumnRenamed("node", "node_").hint("merge"), F.col("node") == F.col("node_")).select("root", "o", F.col("t").alias("t_")), "copy_members")
     may_be = sieve(members.select(F.col("o.q").alias("h")))
     pool = source.where(may_be(F.col("q"))).join(members.hint("merge"), (F.col("q") == F.col("o.q")) & (F.col("t") == F.col("t_"))).select("root", "o", "t", "raw")
     led = leaders(kept(pool, "copy_pool"), size, similarity, block)
 
     # Documents that go, or that have repeated rows.
-    gone = members.select(F.col("o.q").alias("q_"), "t_").join(led, ["q_", "t_"], "left_anti")
-    staying = texts.select(F.col("o.q").alias("q_"), F.col("t").alias("t_"), F.lit(True).alias("first")).join(gone, ["q_", "t_"], "left_anti")
+    gone = members.select(F.col("o.q").alias("q_"), "t_").join(led.hint("merge"), ["q_", "t_"], "left_anti")
+    staying = texts.select(F.col("o.q").alias("q_"), F.col("t").alias("t_"), F.lit(True).alias("first")).join(gone.hint("merge"), ["q_", "t_"], "left_anti")
     counted = found.groupBy("q", "t").agg(F.count(F.lit(1)).alias("c"))
-    marks = counted.join(staying, (F.col("q") == F.col("q_")) & (F.col("t") == F.col("t_")), "left").where("first IS NULL OR c > 1")
+    marks = counted.join(staying.hint("merge"), (F.col("q") == F.col("q_")) & (F.col("t") == F.col("t_")), "left").where("first IS NULL OR c > 1")
     marks, _ = stored(marks.select(F.col("q").alias("q_"), F.col("t").alias("t_"), F.col("first").isNotNull().alias("stays")), "copy_marks")
     for path in paths:
         remove(spark, path)
@@ -522,7 +523,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = marks.where("stays").drop("stays")
     if repeated.isEmpty():
         return once
-    again = docs.join(repeated, here).withColumn(s_, F.row_number().over(Window.partitionBy(q_, t_).orderBy(q_))).where(F.col(s_) == 1)
+    again = docs.join(repeated.hint("merge"), here).withColumn(s_, F.row_number().over(Window.partitionBy(q_, t_).orderBy(q_))).where(F.col(s_) == 1)
     return once.unionByName(again.select(*docs.columns))
 
 

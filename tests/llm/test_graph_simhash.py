@@ -244,3 +244,17 @@ def test_set_links_join_all_similar_sets(spark, block, known):
             both = len(np.intersect1d(x, y))
             if both >= 0.8 * (len(x) + len(y) - both):
                 assert find(got, i) == find(got, j)
+
+
+def test_joins_of_a_round_leave_nothing_with_the_driver(spark):
+    """Their tables are small enough to be broadcast; a plan with broadcasts is one whose tables are built on the driver."""
+    from pyspark.sql import functions as F
+
+    from interlinea.llm import graph
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d e"), (3, None)], "doc_id long, text string")
+    prints = simhash.fingerprints(docs).select(F.lit(0).alias("r"), "fp")
+    for df in (graph._large_star(edges), graph._small_star(edges), simhash.links(prints), simhash.near_duplicates(docs)):
+        assert "SortMergeJoin" in plan(df) and "Broadcast" not in plan(df)
