@@ -447,3 +447,12 @@ def test_page_markers_before_numbers(spark):
         got.setdefault(r["doc_id"], set()).add(r["text"])
     assert got == {"n": {"(1) x", "7 y"}, "m": {"7 y", "see (2)"}, "none": {"7 y"}}
     assert lines.where("text = 'zone line'").count() == 3
+
+
+def test_features_normalise_a_line_once_and_are_dealt_out_by_number(spark):
+    lines = spark.createDataFrame([(1, 1, "(1) the sub-word 2.3 of-a\xa0b"), (1, 2, None)], "doc_id long, line_id int, text string")
+    f = features.line_features(lines)
+    plan = f._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("|ll|ve|m|re)") == 1
+    assert "REPARTITION_BY_NUM" in f._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in f.orderBy("line_id").select("word_count", "english_count", "has_many_junctures").collect()][0] == (4, 1, False)  # the word of-a b
