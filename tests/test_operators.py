@@ -456,3 +456,41 @@ def test_features_normalise_a_line_once_and_are_dealt_out_by_number(spark):
     assert plan.count("|ll|ve|m|re)") == 1
     assert "REPARTITION_BY_NUM" in f._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in f.orderBy("line_id").select("word_count", "english_count", "has_many_junctures").collect()][0] == (4, 1, False)  # the word of-a b
+
+
+ODD = ["", " ", "a", "a.", "(1) a-b c - d=e", "‘He didn’t go.’", "x y  z\t", "It's  vs. him’s ", "A-final NATO in 1.5% (3)", "e-PST f-SG", "a\xa0\xa0b \xa0", "so,  ", "ends. \x85", "Σας [x] y)", "no 'n't", "tense-final\n", "v1s Vs x", "/ab/ c~d;", 'said "x!" ', "2.1 Tones", "Kim in Rome"]
+
+
+def test_steps_are_skipped_only_where_nothing_matches(spark):
+    """Guarded steps and looks at the last characters say what the patterns themselves say."""
+    from interlinea.functions.lexical import simplify_english, tokens, with_tokens
+
+    d = spark.createDataFrame([(1, i, t) for i, t in enumerate([*ODD, *[a + b for a in ODD[2::2] for b in ODD[3::2]]])], "doc_id long, line_id int, text string")
+    t = with_tokens(d, "text", "t").select("text", "t", tokens(simplify_english(F.col("text"))).alias("said")).collect()
+    assert [r.text for r in t if r.t != r.said] == []
+    f = features.line_features(d)
+    text, bare = F.col("text"), F.col("text_minus_metadata")
+    count = lambda c, p: F.regexp_count(c, F.lit(p))
+    plain = {
+        "is_terminating": text.rlike(features.TERMINATOR), "is_continuing": text.rlike(features.CONTINUER), "is_left_quoted": bare.rlike("^[\"'‘“]"), "has_clause_break": bare.rlike("[,;]"),
+        "line_word_length": 1 + count(text, r"[\s\x{A0}]+") - count(text, features.BOUNDARY_SPACE), "plain_space_count": count(bare, features.PLAIN_SPACE), "pad_space_count": count(bare, features.PAD_SPACE),
+        "has_section_number": ~F.col("has_ex_number") & bare.rlike(features.SECTION), "length_quoted": F.coalesce(F.length(F.regexp_substr(bare, F.lit(features.QUOTED))), F.lit(0)),
+    }
+    differ = F.array(*[F.when(~F.col(name).eqNullSafe(said), name) for name, said in plain.items()])
+    assert f.select("text", F.array_compact(differ).alias("differ")).where("size(differ) > 0").collect() == []
+
+
+def test_lines_are_sorted_once_for_features_and_spans(spark):
+    from interlinea.plans import registry
+
+    plan = registry.igt_labels(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(" Sort [") == 1
+
+
+def test_words_without_a_pair_are_spread_and_lines_merged_at_once(spark):
+    from interlinea.plans import registry
+
+    d = spark.createDataFrame([(1, 1, 1, "1", "", i, fn, 1, k, w) for i, fn, ws in ((2, "xv", "a b"), (3, "xg", "x1 y2 z k1")) for k, w in enumerate(ws.split(), 1)], "doc_id long, x_line int, xgg_no int, x_number string, x_sub_number string, line_id int, fn string, line_no int, word_no int, word string")
+    assert [r.word for r in words.repair_person_number(d).where("fn = 'xg'").orderBy("word_no").collect()] == ["x1y2z", "k1"]
+    plan = registry.igt_multiword_repair(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "island" not in plan and "xxhash64" in plan
