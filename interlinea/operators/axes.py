@@ -21,7 +21,9 @@ def regions(t: DataFrame) -> DataFrame:
     """regions(doc_id, start, end, level, name, parent, tok) of the elements of balanced tokens; empty ones end where they start. The root's
     parent is 0."""
     order = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = t.where("kind <> 'text'")
+    # Tags are dealt out by a stated number of partitions, which isn't coalesced: it settles what a task sorts. Regions are read more than once, and
+    # what is dealt out here is made once for all of them.
+    d = t.where("kind <> 'text'").select("doc_id", "ord", "kind", "name", "tok").repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
     # A start tag and its end tag have one level, and so has an empty element among its siblings.
     d = d.withColumn("level", (F.sum(step).over(order) + (F.col("kind") != "open").cast("int")).cast("int"))

@@ -168,6 +168,12 @@ def balanced(docs: DataFrame) -> DataFrame:
     return t.select("doc_id", "ord", "tok", "kind", "name", F.when(F.col("kind") == "text", _text(F.col("tok"))).alias("text"), "implied")
 
 
+def dealt_out(docs: DataFrame) -> DataFrame:
+    """docs by a stated number of partitions, which isn't coalesced: a page is few bytes as it stands, and many once it is tokens in several sorts, so
+    what a task holds is settled here. Tokens keep this partitioning through all windows by document, and aren't shuffled."""
+    return docs.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
 def attributes(tok: Column) -> Column:
     """The attributes of a tag as a map; of a repeated one the first."""
     one = r"""([A-Za-z_:][-A-Za-z0-9_:.]*)\s*=\s*("[^"]*"|'[^']*')"""

@@ -494,3 +494,25 @@ def test_words_without_a_pair_are_spread_and_lines_merged_at_once(spark):
     assert [r.word for r in words.repair_person_number(d).where("fn = 'xg'").orderBy("word_no").collect()] == ["x1y2z", "k1"]
     plan = registry.igt_multiword_repair(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "island" not in plan and "xxhash64" in plan
+
+
+@pytest.mark.parametrize("name", ["page_layers", "page_axes"])
+def test_pages_are_dealt_out_by_a_stated_number(spark, name):
+    """What a task sorts isn't left to coalescing, which goes by the bytes of pages as they are shuffled."""
+    from interlinea.plans import registry
+
+    assert "REPARTITION_BY_NUM" in registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_extraction_joins_before_it_sorts_lines(spark):
+    """After lines are dealt out and sorted, features and labels neither join nor shuffle them."""
+    from interlinea.plans.extract import extract
+
+    docs = spark.createDataFrame([("d", "<p>(1) a-b c</p><p>x-y z</p><p>‘He.’</p>")], "doc_id string, html string")
+    by_document = spark.createDataFrame([("d", r"^\([0-9]+\)", "[0-9]+", "", "", True)], "doc_id string, ex_number_regex string, ex_head_number_regex string, ex_sub_number_regex string, language_identifier_xf_line_regex string, expect_xv boolean")
+    x = extract(docs, by_document, keep=lambda d: d)
+    assert "REPARTITION_BY_NUM" in x.tokens._jdf.queryExecution().executedPlan().toString()
+    plan = x.labels._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Sort [doc_id")]
+    assert "Join" not in above and "Repartition" not in above
+    assert [(r.line_id, r.fn) for r in x.labels.orderBy("line_id").collect()] == [(1, "xv"), (2, "xg"), (3, "xf")]
