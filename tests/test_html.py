@@ -109,3 +109,16 @@ def test_long_pages_and_tags(spark):
     check(rows[0])
     assert sum(r.implied for r in rows[0]) == 20_000 and len(rows[1]) == 3 and len(rows[2]) == 20_000
     assert re.sub("</p>", "", written(rows[0])) == pages[0]
+
+
+def test_pages_that_windows_read_are_shuffled_as_pages(spark):
+    """Not as tokens, by the plan: no exchange stands above the one that deals out pages with their repairs."""
+    docs = spark.createDataFrame([(1, "<p>a<p>b")], "doc_id int, html string")
+    plan = html.number_in_order(html.balanced(html.dealt_out(docs), deal=True), ["p"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan and "Python" in plan
+
+
+def test_cells_are_looked_for_in_pages_that_have_some(spark):
+    pages = ["<p>a</p>", "<table><tr><TH>a</table>", "<!-- <td> -->b", "<<!-- -->td>c</td>", None, "<thing>", "<td a='b'>"]
+    kept = html.with_cells(spark.createDataFrame(list(enumerate(pages)), "doc_id int, html string"))
+    assert {1, 3, 6} <= {r.doc_id for r in kept.collect()} <= {1, 3, 5, 6}
