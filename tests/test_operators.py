@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -516,3 +517,23 @@ def test_extraction_joins_before_it_sorts_lines(spark):
     above = plan[: plan.index("Sort [doc_id")]
     assert "Join" not in above and "Repartition" not in above
     assert [(r.line_id, r.fn) for r in x.labels.orderBy("line_id").collect()] == [(1, "xv"), (2, "xg"), (3, "xf")]
+
+
+def test_pairs_of_lines_are_those_of_words(spark):
+    """What is made of a row a line equals what is made of a row a word, also for lines without words, several gloss lines and null numbers."""
+    rng, rows = random.Random(5), []
+    word = lambda: rng.choice(["a", "b-C.", "d=e", "F+g,", "h﹤i", "j!"])
+    for d in range(400):
+        n, i = rng.choice([0, 1, 2, 3]), 0
+        for fn in rng.choice([["xv", "xg"], ["xu", "xv", "xg"], ["xv", "xg", "xg"], ["xv"]]):
+            i += 1
+            text = " ".join(word() for _ in range(rng.choice([n, n, n, 0, n + 1])))
+            rows.append((d if d else None, 1, d % 2, i, fn, text, None if d % 3 else str(d), None))
+    lines = spark.createDataFrame(rows, "doc_id int, x_line int, xgg_no int, line_id int, fn string, text string, x_number string, x_sub_number string")
+    w, of = words.split_words(lines), words.lines_of_words(lines)
+    both = [(words.word_pairs(w), words.word_pairs_of_lines(of)), (words.alignment(w), words.alignment_of_lines(of)), (words.morphemes(words.word_pairs(w)), words.morphemes(words.word_pairs_of_lines(of)))]
+    for a, b in both:
+        a, b = (sorted(map(repr, x.select(*a.columns).collect())) for x in (a, b))
+        assert a == b and len(a) > 10
+    plan = words.morphemes(words.word_pairs_of_lines(of))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") + plan.count("Sort(") <= 3
