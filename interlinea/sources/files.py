@@ -17,12 +17,15 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import Row, StructType
 
 KEEP, REPLACE = "keep", "replace"
+#: Lines of files that a batch holds.
+LINES = 4096
 
 
 def folder_of(path: str) -> str:
@@ -39,6 +42,7 @@ class Published(WriterCommitMessage):
 
     made: int
     there: int
+    names: str | None = None
 
 
 class FileWriter(DataSourceWriter):
@@ -46,15 +50,20 @@ class FileWriter(DataSourceWriter):
         self.folder, self.existing, self.job = folder_of(options["path"]), options.get("existing", KEEP), options["job"]
         if self.existing not in (KEEP, REPLACE):
             raise ValueError(f"existing is {KEEP} or {REPLACE}, not {self.existing}")
-        self.attempts = os.path.join(self.folder, f"_attempts-{self.job}")
+        self.attempts, self.listed = os.path.join(self.folder, f"_attempts-{self.job}"), options.get("listed")
 
     def write(self, rows: Iterator[Row]) -> Published:
         own = os.path.join(self.attempts, uuid.uuid4().hex)
         os.makedirs(own)
-        out, name, made, there = None, None, 0, 0
+        out, name, made, there, names = None, None, 0, 0, None
+        if self.listed:
+            os.makedirs(folder_of(self.listed), exist_ok=True)
+            names = open(os.path.join(folder_of(self.listed), f"_{os.path.basename(own)}"), "w", encoding="utf-8", newline="\n")  # noqa: SIM115
 
         def publish() -> bool:
             out.close()
+            if names:
+                names.write(name + "\n")
             target = os.path.join(self.folder, name)
             if self.existing == REPLACE:
                 os.replace(out.name, target)
@@ -83,10 +92,17 @@ class FileWriter(DataSourceWriter):
         finally:
             if out:
                 out.close()
+            if names:
+                names.close()
             shutil.rmtree(own, ignore_errors=True)
-        return Published(made, there)
+        return Published(made, there, names and names.name)
 
     def commit(self, messages: list[Published]) -> None:
+        # Lists of attempts that don't count keep the underscore, so they aren't read.
+        for m in messages:
+            if m and m.names:
+                folder, listed = os.path.split(m.names)
+                os.replace(m.names, os.path.join(folder, listed.removeprefix("_")))
         shutil.rmtree(self.attempts, ignore_errors=True)
         told = os.path.join(self.folder, f"_job-{self.job}.json")
         with open(told, "w") as f:
@@ -107,16 +123,18 @@ class DocumentFiles(DataSource):
         return FileWriter(dict(self.options))
 
 
-def write_files(lines: DataFrame, path: str, name: str = "name", line: str = "line", order: list[str] | None = None, existing: str = KEEP) -> dict[str, int]:
+def write_files(lines: DataFrame, path: str, name: str = "name", line: str = "line", order: list[str] | None = None, existing: str = KEEP, listed: str | None = None) -> dict[str, int]:
     """Writes each name's lines, in order, as a file of the folder; how many files were made, and how many were there already.
 
-    A null line writes nothing, so a file may be empty. Files' rows meet by one shuffle and are streamed, never held."""
+    A null line writes nothing, so a file may be empty. Files' rows meet by one shuffle and are streamed, never held. listed: a folder for the names
+    of the files, a list a task, from which read_reports() finds them."""
     spark, job = lines.sparkSession, uuid.uuid4().hex
     folder = folder_of(path)
     os.makedirs(folder, exist_ok=True)
     spark.dataSource.register(DocumentFiles)
     dealt = lines.repartition(F.col(name)).sortWithinPartitions(name, *(order or [])).select(F.col(name).alias("name"), F.col(line).alias("line"))
-    dealt.write.format("document_files").mode("append").option("existing", existing).option("job", job).save(path)
+    out = dealt.write.format("document_files").mode("append").option("existing", existing).option("job", job)
+    (out.option("listed", listed) if listed else out).save(path)
     told = os.path.join(folder, f"_job-{job}.json")
     with open(told) as f:
         out = json.load(f)
@@ -132,13 +150,37 @@ def _joined(columns: list[str]) -> F.Column:
     return F.concat_ws("\t", *[bare(c) for c in columns])
 
 
-def write_reports(report: DataFrame, path: str, ending: str, columns: list[str], order: list[str], header: bool = False) -> dict[str, int]:
+def write_reports(report: DataFrame, path: str, ending: str, columns: list[str], order: list[str], header: bool = False, listed: str | None = None) -> dict[str, int]:
     """A report of all documents as tab-separated files, one a document, without quoting; tabs and line ends in values are spaces."""
     rows = report.select(F.concat(F.col("doc_id").cast("string"), F.lit(ending)).alias("name"), F.lit(1).alias("part"), *order, _joined(columns).alias("line"))
     if header:
         top = rows.select("name").distinct().select("name", F.lit(0).alias("part"), *[F.lit(None).cast(t).alias(c) for c, t in rows.select(*order).dtypes], F.lit("\t".join(columns)).alias("line"))
         rows = rows.unionByName(top)
-    return write_files(rows, path, order=["part", *order], existing=REPLACE)
+    return write_files(rows, path, order=["part", *order], existing=REPLACE, listed=listed)
+
+
+def read_reports(spark: SparkSession, path: str, listed: str, columns: list[str]) -> DataFrame:
+    """(name, columns): what reports without a header say, of the files that are listed.
+
+    Spark's own reader would hold each file's status on the driver, which grows with the documents; here tasks open the files that they have names of."""
+    folder = folder_of(path)
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = [], []
+            for name in batch.column(0).to_pylist():
+                with open(os.path.join(folder, name), encoding="utf-8", newline="\n") as f:
+                    for line in f:
+                        names.append(name)
+                        texts.append(line.removesuffix("\n"))
+                        if len(texts) == LINES:
+                            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["name", "line"])
+                            names, texts = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["name", "line"])
+
+    names = spark.read.text(listed).distinct().repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "value")
+    parsed = F.from_csv("line", ", ".join(f"{c} string" for c in columns), {"sep": "\t", "quote": ""})
+    return names.mapInArrow(lines, "name string, line string").withColumn("r", parsed).select("name", "r.*")
 
 
 def write_pages(pages: DataFrame, path: str, column: str = "html", ending: str = ".html") -> dict[str, int]:
